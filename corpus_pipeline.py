@@ -1,0 +1,8 @@
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError

@@ -1,0 +1,41 @@
+import random
+
+from pyspark.sql import functions as F
+
+from quoin.llm.url_filter import RULE_SCHEMA, RULES, filter_urls
+
+
+def brute(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        rest = rest[cut:]
+        path = rest[: min((i for i in (rest.find(c) for c in "?#") if i >= 0), default=len(rest))]
+    fit = [(len(h + p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
+
+
+URLS = [None, "", "no scheme", "http://", "http://NET/", "https://a.b.Example.NET/en/1?x#y", "http://example.net?q=/en/", "x://example.com/de/", "x://xexample.com/de/", "a://b://example.org/fr/", "http://u.org/fr/\n", "http://example.net/en/", "http://example.net/en/", "http://éxample.net/", "http://net./", "http://.net/"]
+
+
+def test_urls_against_brute_force(spark):
+    rnd = random.Random(1)
+    rules = RULES + [(rnd.choice(["a.b", "b", "c.a.b", "net", "x.net"]), "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randint(0, 3))), rnd.choice(["allow", "block"])) for _ in range(40)]
+    rules = list({(h, p): (h, p, a) for h, p, a in rules}.values())
+    urls = URLS + [f"h://{'.'.join(rnd.choice('abcx') for _ in range(rnd.randint(1, 3)))}{rnd.choice(['', '.net'])}/{''.join(rnd.choice('xy/') for _ in range(rnd.randint(0, 4)))}" for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, "other") for i, u in enumerate(urls)], "page_id long, url string, Rule string").repartition(3)
+    frame = spark.createDataFrame(rules, RULE_SCHEMA)
+    want = {i: brute(u, rules) for i, u in enumerate(urls)}
+    for limit in (1000, 3):
+        got = filter_urls(pages, frame, max_broadcast_rules=limit)
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == want
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], RULE_SCHEMA)
+    pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    assert filter_urls(pages.filter(F.lit(False)), none).count() == 0
+    assert [tuple(r) for r in filter_urls(pages, none).select("host", "rule", "verdict").collect()] == [("a.net", None, "allow")]
