@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quoin.llm import url_filter
+from quoin.llm import pii, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {

@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+
+from quoin.llm.pii import Trees, all_spans, base_spans, find_pii, fit_trees, luhn, op10_pii, redact, redacted
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    digits = lambda s: "".join(c for c in s if "0" <= c <= "9")
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], ["email", "ip", "card", "phone"].index(s[0])))
+
+
+def test_base_spans_against_regular_expressions():
+    rnd = random.Random(2)
+    for _ in range(30000):
+        text = "".join(rnd.choice(["a", "B", ".", "@", "-", "1", "25", "300", "+", " ", "(", ")", "é", "\n", "0", "_", "4111111111111111"]) for _ in range(rnd.randint(0, 24)))
+        assert base_spans(text) == brute(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+" * 400_000, "a@" * 100_000, "+1" * 200_000, "1 " * 200_000, "a-" * 200_000):
+        base_spans(text)
+        all_spans(text, Trees(threshold=0.5))
+
+
+def test_luhn():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+
+
+def test_redaction_takes_the_union_of_overlapping_spans():
+    assert redacted("call +4111111111111111 now", base_spans("call +4111111111111111 now")) == "call +<card> now"
+    assert redacted("x a@b.co, 1.2.3.4", base_spans("x a@b.co, 1.2.3.4")) == "x <email>, <ip>"
+
+
+def test_trees_find_secrets_without_their_names(spark):
+    rnd = random.Random(3)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some words password={key(18)} and so on {''.join(rnd.choice('0123456789') for _ in range(17))}", "x") for i in range(400)]
+    rows += [(1000, f"bare {key(20)}", "x"), (1001, None, "y"), (1002, "", "y"), (1002, "", "y"), (1003, "plain words " * 5000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, PII string").repartition(3)
+    model = fit_trees(docs)
+    assert model.threshold <= 1 and len(model.trees) > 0
+    got = {r.doc_id: r.pii for r in find_pii(docs, model=model).collect()}
+    assert [s.kind for s in got[1000]] == ["secret"] and got[1001] == got[1002] == got[1003] == []
+    assert sum(any(s.kind == "secret" for s in got[i]) for i in range(400)) > 390
+    clean = {r.doc_id: r.text for r in redact(docs, model=model).collect()}
+    assert clean[1000] == "bare <secret>" and clean[1001] is None and clean[1003] == "plain words " * 5000
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rows = [(1, "a@b.co +1 (555) 123-4567 10.0.0.1"), (2, None), (3, ""), (4, "a@b.co +1 (555) 123-4567 10.0.0.1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_pii(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        spans = brute(text or "")
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and got[i].spans == line
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op10_pii(spark, f"{tmp_path}/none").count() == 0
