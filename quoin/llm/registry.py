@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quoin.llm import best_fit, mpeg_audio, packed_ids, pii, url_filter
+from quoin.llm import best_fit, mpeg_audio, packed_ids, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_ids": packed_ids.op7_token_ids,
     "op8_best_fit_packing": best_fit.op8_best_fit_packing,
     "op9_media_columns": mpeg_audio.op9_media_columns,
