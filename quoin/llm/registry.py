@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quoin.llm import best_fit, html_extract, mpeg_audio, packed_ids, pii, quality, toxicity, url_filter
+from quoin.llm import best_fit, html_extract, mpeg_audio, ngram_join, packed_ids, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
