@@ -42,3 +42,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id", broadcast_ids: int = 1_000_000) -> DataFrame:
+    """docs but for the ids in gone, a stored table. It is broadcast if it has at most broadcast_ids rows; rows with null ids
+    stay."""
+    few = gone.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, id_column, "left_anti")

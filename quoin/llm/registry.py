@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quoin.llm import best_fit, html_extract, mpeg_audio, ngram_join, packed_ids, pii, quality, toxicity, url_filter
+from quoin.llm import best_fit, decontaminate, html_extract, mpeg_audio, ngram_join, packed_ids, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_ids": packed_ids.op7_token_ids,
     "op8_best_fit_packing": best_fit.op8_best_fit_packing,
