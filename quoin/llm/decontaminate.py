@@ -9,7 +9,6 @@ threshold shares a shingle with the item, so windows without any item's shingle
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +32,7 @@ class Items:
     ids: list[int] = field(default_factory=list)
     sets: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    index: list[dict[int, list[int]]] = field(default_factory=list)
+    index: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # by block and value: which items may be near
 
 
 @dataclass
@@ -57,9 +56,11 @@ class Benchmark:
 
 
 def signs(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each shingle a row of its weight, with the sign of each bit of its mixed hash."""
+    """For each shingle a row of its weight (in thousandths, so that sums are exact), with the sign of each bit of its mixed
+    hash."""
     bits = np.unpackbits(mix(shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.where(bits, weights[:, None], -weights[:, None])
+    whole = np.round(weights * 1000).astype(np.int64)[:, None]
+    return np.where(bits, whole, -whole)
 
 
 def prints_of(sums: np.ndarray) -> np.ndarray:
@@ -92,35 +93,28 @@ def prepare(items: list[tuple[int, str | None]], radius: int = 20, blocks: int =
     out = Benchmark(known, np.log1p(len(kept) / df), float(np.log1p(len(kept))), [], sorted({min(SIZE, n) for *_, n in kept}), radius, blocks, threshold)
     by_words: dict[int, Items] = {}
     for item, shingles, n in kept:
-        group = by_words.setdefault(n, Items(n, index=[defaultdict(list) for _ in range(blocks)]))
+        group = by_words.setdefault(n, Items(n))
         group.ids.append(item)
         group.sets.append(np.unique(shingles))
         group.prints = np.append(group.prints, prints_of(signs(shingles, out.weigh(shingles)).sum(0)[None]))
+    width = BITS // blocks
     for group in by_words.values():
-        for k, values in enumerate(block_values(group.prints, blocks)):
+        group.index = np.zeros((blocks, 1 << width, len(group.ids)), bool)
+        for k, values in enumerate(block_values(group.prints, blocks).tolist()):
             for b, value in enumerate(values):
-                for v in near_values(int(value), BITS // blocks, radius // blocks):
-                    group.index[b][v].append(k)
-        group.index = [dict(x) for x in group.index]
+                group.index[b, near_values(value, width, radius // blocks), k] = True
     out.groups = [by_words[n] for n in sorted(by_words)]
     return out
 
 
 def candidates(group: Items, prints: np.ndarray, radius: int, blocks: int) -> list[tuple[int, int]]:
     """(position in prints, item's position) of all pairs within the radius."""
-    met: set[tuple[int, int]] = set()
-    distinct, back = np.unique(prints, return_inverse=True)
-    found: dict[int, list[int]] = {}
-    for k, values in enumerate(block_values(distinct, blocks).tolist()):
-        some = sorted({i for b, v in enumerate(values) for i in group.index[b].get(v, ())})
-        if some:
-            apart = np.bitwise_count(group.prints[some] ^ distinct[k])
-            close = [i for i, d in zip(some, apart.tolist(), strict=True) if d <= radius]
-            if close:
-                found[k] = close
-    for at, k in enumerate(back.tolist()):
-        met.update((at, i) for i in found.get(k, ()))
-    return sorted(met)
+    near = np.zeros((len(prints), len(group.ids)), bool)
+    for b, values in enumerate(block_values(prints, blocks).T):
+        near |= group.index[b, values]
+    at, k = np.nonzero(near)
+    close = np.bitwise_count(prints[at] ^ group.prints[k]) <= radius
+    return list(zip(at[close].tolist(), k[close].tolist(), strict=True))
 
 
 def similarity(a: np.ndarray, b: np.ndarray, benchmark: Benchmark) -> float:
@@ -130,30 +124,38 @@ def similarity(a: np.ndarray, b: np.ndarray, benchmark: Benchmark) -> float:
     return float(both / every) if every else 0.0
 
 
+def regions(hits: np.ndarray, reach: int, end: int, most: int = 20_000) -> list[tuple[int, int]]:
+    """Bounds of the stretches of shingles that windows around hits can cover. Stretches longer than ``most`` are cut into
+    overlapping ones, so that a very long document's sums are held in parts."""
+    out: list[list[int]] = []
+    for low, high in zip(np.maximum(0, hits - reach).tolist(), np.minimum(end, hits + reach).tolist(), strict=True):
+        if out and low <= out[-1][1] and high - out[-1][0] <= most:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [(a, b) for a, b in out]
+
+
 def search(words: np.ndarray, hits: dict[int, np.ndarray], shingles: dict[int, np.ndarray], benchmark: Benchmark) -> list[tuple[int, int, int, float]]:
     """(item_id, start, words, similarity) of the best window for each item found in a document's word hashes. hits: by shingle
     size, positions of shingles that some item has. Of equal windows the first counts."""
     best: dict[int, tuple[float, int, int]] = {}
-    n = len(words)
-    for group in benchmark.groups:
-        size, w = min(SIZE, group.words), min(group.words, n)
-        if w < size or not len(hits[size]):
-            continue
-        spread = (hits[size][:, None] - np.arange(w - size + 1)).ravel()
-        starts = np.unique(spread[(spread >= 0) & (spread <= n - w)])
-        for part in np.array_split(starts, max(1, len(starts) // 4096)):
-            low, high = int(part[0]), int(part[-1]) + w - size + 1
-            if high - low > 3 * (len(part) + w):  # far apart: window by window
-                sums = np.stack([signs(shingles[size][s : s + w - size + 1], benchmark.weigh(shingles[size][s : s + w - size + 1])).sum(0) for s in part.tolist()])
-            else:
-                run = shingles[size][low:high]
-                total = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(run, benchmark.weigh(run)), axis=0)])
-                sums = total[part - low + w - size + 1] - total[part - low]
-            for at, k in candidates(group, prints_of(np.round(sums, 9)), benchmark.radius, benchmark.blocks):
-                start = int(part[at])
-                likeness = similarity(np.unique(shingles[size][start : start + w - size + 1]), group.sets[k], benchmark)
-                if likeness >= benchmark.threshold - 1e-12 and (likeness, -start) > (best.get(k_id := group.ids[k], (0.0, 1, 0))[0], best.get(k_id, (0.0, 1, 0))[1]):
-                    best[k_id] = (likeness, -start, w)
+    n, longest = len(words), max(g.words for g in benchmark.groups)
+    for size, at in hits.items():
+        for low, high in regions(at, longest, n - size + 1):
+            run = shingles[size][low:high]
+            total = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(signs(run, benchmark.weigh(run)), axis=0)])
+            marks = np.concatenate([[0], np.cumsum(np.bincount(at[(at >= low) & (at < high)] - low, minlength=high - low))])
+            for group in benchmark.groups:
+                span = min(group.words, n) - size + 1
+                if min(SIZE, group.words) != size or not 1 <= span <= high - low:
+                    continue
+                starts = np.flatnonzero(marks[span:] > marks[:-span])
+                for at_window, k in candidates(group, prints_of(total[starts + span] - total[starts]), benchmark.radius, benchmark.blocks):
+                    start = low + int(starts[at_window])
+                    likeness = similarity(np.unique(shingles[size][start : start + span]), group.sets[k], benchmark)
+                    if likeness >= benchmark.threshold - 1e-12 and (likeness, -start) > best.get(group.ids[k], (0.0, 1, 0))[:2]:
+                        best[group.ids[k]] = (likeness, -start, span + size - 1)
     return [(i, -s, w, p) for i, (p, s, w) in sorted(best.items())]
 
 
