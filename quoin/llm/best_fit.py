@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.llm.common import store, table
-from quoin.llm.tokens import Encoder, crc, pieces
+from quoin.llm.tokens import crc, encoder, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 #: length; the first rank and how many ranks; the first sequence, pieces of this length in each, and where they begin.
@@ -113,11 +113,11 @@ def cut_documents(docs: DataFrame, capacity: int = 2048, last_id: int = 0, vocab
     of one length within one task."""
 
     def cut(batches):
-        encoder, seen, task = Encoder(vocabulary), defaultdict(int), TaskContext.get().partitionId()
+        words, seen, task = encoder(vocabulary), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, start, ids in pieces(encoder.encode(text or ""), capacity, last_id):
+                for k, start, ids in pieces(words.encode(text or ""), capacity, last_id):
                     n = len(ids) // 4
                     rows.append((doc, k, start, n, crc(ids), task, seen[n]))
                     seen[n] += 1

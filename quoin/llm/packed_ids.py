@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import store, table
-from quoin.llm.tokens import Encoder, pieces
+from quoin.llm.tokens import encoder, pieces
 
 SEQUENCES = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
@@ -76,7 +76,7 @@ def pack_ids(docs: DataFrame, capacity: int = 2048, last_id: int = 0, group_toke
     the closing id alone; equal rows are packed each."""
 
     def pack(batches):
-        encoder, base, made = Encoder(vocabulary), TaskContext.get().partitionId() << 36, 0
+        words, base, made = encoder(vocabulary), TaskContext.get().partitionId() << 36, 0
         held: list[tuple[int, int, bytes]] = []
         tokens = 0
 
@@ -97,7 +97,7 @@ def pack_ids(docs: DataFrame, capacity: int = 2048, last_id: int = 0, group_toke
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, _, ids in pieces(encoder.encode(text or ""), capacity, last_id):
+                for k, _, ids in pieces(words.encode(text or ""), capacity, last_id):
                     held.append((doc, k, ids))
                     tokens += len(ids) // 4
                 if tokens >= group_tokens:

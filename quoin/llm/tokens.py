@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -26,7 +27,7 @@ def default_vocabulary() -> str:
 class Encoder:
     """text -> little-endian unsigned 32-bit ids. ``cache_words`` bounds the memory that kept words take."""
 
-    def __init__(self, vocabulary: str | None = None, cache_words: int = 300_000):
+    def __init__(self, vocabulary: str | None = None, cache_words: int = 600_000):
         import public_tokenizers
         import tiktoken
 
@@ -56,6 +57,12 @@ class Encoder:
         return self._plain(first) + b"".join([kept(w) or make(w) for w in words])
 
 
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str | None = None) -> Encoder:
+    """One encoder for all tasks that a worker process runs, so that the vocabulary is read once and known words stay known."""
+    return Encoder(vocabulary)
+
+
 def pieces(ids: bytes, capacity: int, last_id: int) -> Iterator[tuple[int, int, bytes]]:
     """(piece, start, ids) of a document's ids and a closing id; only documents over capacity are cut, and the first piece
     may be the shorter one."""
