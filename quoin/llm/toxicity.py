@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoin.llm.common import held_out, store, table
+from quoin.llm.shingles import shingle_sets
 
 # Word classes of the grammar, in the four languages of the corpus.
 TARGETS = frozenset("you your you're he she they them him her these those du ihr euch dich sie er vous tu toi ils elle te vosotros usted ustedes tú él ella".split())
@@ -107,12 +108,26 @@ def stems_of(text: str) -> set[str]:
 
 def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
     """(text, y, part) of at most train_rows labelled documents outside the held-out fold, in the order of their ids' hashes,
-    half of them of either label if there are so many. Part 0 of 5 is for calibration."""
+    half of them of either label if there are so many. Part 0 of 2 is for calibration.
+
+    Of copies one stays, as words that copies share would look like evidence from many documents: of the rows with one label
+    and the same least shingle of three words, and then of those with the same greatest one, that with the smallest id.
+    """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna().filter(~held_out(F.col("doc_id")))
     halves = [picked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows // 2) for y in (0, 1)]
     few = halves[0].unionByName(halves[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    few = few.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "y", "part")
+
+    def keys(batches):
+        for batch in batches:
+            ends = [(int(s[0]), int(s[-1])) if len(s) else (0, 0) for s in shingle_sets(batch.column("text"), 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())], names=[*batch.schema.names, "least", "most"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
+    rows = store(rows.mapInArrow(keys, "doc_id long, text string, y int, least long, most long"), "labelled")
+    firsts = rows.groupBy("least", "y").agg(F.min_by(F.struct("most", "doc_id"), F.struct("doc_id", "most")).alias("r")).select("y", "r.*")
+    firsts = firsts.groupBy("most", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")  # train_rows at most
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
+    return rows.join(F.broadcast(firsts), "doc_id", "left_semi").select("text", "y", part.alias("part"))
 
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, most_stems: int = 3_000, least_seen: int = 6, least_odds: float = 1.5) -> Grammar:
