@@ -243,6 +243,24 @@ select id, phone_key, rotated_to::varchar as rotated_to, rotated_to is null and
 select id, case when substr(phone, 5, 1) = '7' then phone end as phone, concat('0', substr(phone, 5, 3), ' ', substr(phone, 8, 3), ' ', substr(phone, 11, 4)) as local, cast(null as varchar) as short from app_user""",
     "iqd_format": "select id, concat(format('{:,}', cast(floor(base_price + 0.5) as bigint)), ' د.ع') as price from product",
     "iqd_parse": "select id, cast(floor(base_price + 0.5) as bigint) as amount, cast(0 as bigint) as of_title from product",
+    "notif_mark_read": """
+select id, user_id, strftime(coalesce(case when id % 22 = 0 then timestamp '2024-02-01' end, read_at, case when user_id % 10 = 3 and user_id in (select id from app_user) then timestamp '2024-02-01' end), '%Y-%m-%d %H:%M:%S') as read_at from notification""",
+    "push_subscriptions": """
+select endpoint, arg_max(user_id, event_id) as user_id from (select *, concat('https://push.example/', user_id % 40) as endpoint from events) e where event_type = 'click' group by endpoint
+having not exists (select 1 from events x where x.event_type = 'error' and concat('https://push.example/', x.user_id % 40) = e.endpoint and x.user_id = arg_max(e.user_id, e.event_id) and x.event_id > max(e.event_id))""",
+    "vendor_register": r"""
+select id as user_id, name as store_name, concat(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), '-', right(id::varchar, 5)) as slug, lower(name) as slug_norm, 'PENDING' as status, 'VENDOR' as role
+from app_user where name is not null and id % 7 = 3 and id not in (select user_id from vendor)""",
+    "vendor_settings": r"""
+select id, case when id % 3 = 0 then concat('متجر ', id) else store_name end as store_name, case when id % 4 = 0 then cast(id % 5 as int) else governorate_id end as governorate_id,
+       regexp_replace(regexp_replace(lower(store_name), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, case when id % 3 = 0 then concat('متجر ', id) else lower(store_name) end as slug_norm from vendor""",
+    "variant_update": """
+select id, price, stock, is_active, stock < reserved_stock as oversold from (select x.id, reserved_stock, cast(case when hit and x.id % 3 = 0 then 2500 else price end as double) as price, case when hit then cast(x.id % 20 as int) else stock end as stock, is_active and not (hit and x.id % 8 = 0) as is_active
+from (select *, id % 6 = 0 and id % 4 = 0 as hit from product_variant) x)""",
+    "product_archive": "select id, case when id % 18 = 0 then 'ARCHIVED' else status end as status from product",
+    "settings_update": """select * from (values ('banner', '{"a": 1}'), ('commission_rate', '0.15'), ('delivery_fee', '6000')) t(key, value)""",
+    "complete_profile": """
+select id, case when role = 'CUSTOMER' and id % 10 = 0 then concat('User ', id) else name end as name, case when role = 'CUSTOMER' and id % 20 = 10 then concat('u', id, '@example.com') end as email from app_user""",
 }
 
 

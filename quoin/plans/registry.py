@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.operators import accounts, catalog, orders
+from quoin.operators import accounts, catalog, orders, updates
 from quoin.sources.market import Market
 
 
@@ -35,6 +35,8 @@ BUILDERS: dict[str, Callable[[Market], DataFrame]] = {
     "product_review_flow": accounts.product_review_flow, "block_user": accounts.block_user, "otp_rate_limit": accounts.otp_rate_limit, "otp_state": accounts.otp_state, "session_state": accounts.session_state,
     "quality_report": accounts.quality_report, "text_normalize": accounts.text_normalize, "slugify": accounts.slugs, "tokenize": accounts.token_counts, "phone_normalize": accounts.phone_normalize, "iqd_format": accounts.iqd_format,
     "iqd_parse": accounts.iqd_parse, "admission_fold": orders.admission_fold, "lifecycle_fold": orders.lifecycle_fold,
+    "address_changes": updates.address_changes, "notif_mark_read": updates.notif_mark_read, "push_subscriptions": updates.push_subscriptions, "vendor_register": updates.vendor_register, "vendor_settings": updates.vendor_settings,
+    "variant_update": updates.variant_update, "product_archive": updates.product_archive, "settings_update": updates.settings_update, "complete_profile": updates.complete_profile,
 }
 
 
