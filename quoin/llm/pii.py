@@ -2,7 +2,8 @@
 
 Generators of high recall propose spans, which may overlap. Spans of the four base kinds follow a fixed format and always
 stay. Looser candidates (addresses with spelled-out signs, digit groups of unusual form, values that look like keys) are
-scored by boosted trees over format and context features; those above a calibrated threshold are added. The trees
+added by explicit evidence, a naming word in front or both bracketed signs, whatever the table around them. The others are
+scored by boosted trees over format and context features; those above a calibrated threshold are added too. The trees
 are trained here, on a bounded number of candidates (``train_rows``) taken in hash order from the whole table: what the
 base formats and the words beside a value decide is the label, and exactly these features are withheld from the trees,
 so that they carry the decision over to candidates without such formats or words.
@@ -181,7 +182,8 @@ def walk(tree, row) -> float:
 
 
 def candidate_label(text: str, span: Span) -> int:
-    """The training label: whether words in front name the value as a secret, or the spelled-out address has both signs."""
+    """Explicit evidence, which decides by itself and is the training label: whether words in front name the value as a secret,
+    or the spelled-out address has both signs."""
     return int(span[0] == "contact" or bool(NAMED.search(text[max(0, span[1] - 24) : span[1]])))
 
 
@@ -190,7 +192,7 @@ def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, preci
     smallest hash of all rows. Tasks send one candidate a slot at most.
 
     The threshold is the least one that reaches ``precision`` on a fifth of them that is held out. With fewer than 20
-    candidates of either label nothing is added to the base spans (threshold above 1).
+    candidates of either label there are no trees (threshold above 1), and explicit evidence alone adds spans.
     """
     half = train_rows // 2
 
@@ -229,7 +231,8 @@ def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, preci
 def find_pii(docs: DataFrame, text: str = "text", model: Trees | None = None) -> DataFrame:
     """Adds pii: array of (kind, start, end) by start, then kind; code points, end exclusive. A column so named is replaced.
 
-    Base spans are all kept, also where kinds overlap. An added span must not overlap a base span or an earlier added one.
+    Base spans are all kept, also where kinds overlap. An added span must not overlap a base span or an earlier added one;
+    those with explicit evidence come first and need no model.
     Null and empty texts have an empty array. Work is linear in the text; equal rows stay separate rows.
     """
     kept = [c for c in docs.columns if c.lower() != "pii"]
@@ -252,11 +255,15 @@ def find_pii(docs: DataFrame, text: str = "text", model: Trees | None = None) ->
 
 def all_spans(text: str, trees: Trees) -> list[Span]:
     found = base_spans(text)
-    if trees.threshold <= 1:
-        scored = [(trees.score(features(text, s)), s) for s in loose_spans(text)]
-        for _, s in sorted(((p, s) for p, s in scored if p >= trees.threshold), key=lambda x: (-x[0], x[1][1])):
-            if all(s[2] <= o[1] or o[2] <= s[1] for o in found):
-                found.append(s)
+    kept = []
+    for s in loose_spans(text):
+        if candidate_label(text, s):
+            kept.append((math.inf, s))
+        elif trees.threshold <= 1 and (p := trees.score(features(text, s))) >= trees.threshold:
+            kept.append((p, s))
+    for _, s in sorted(kept, key=lambda x: (-x[0], x[1][1])):
+        if all(s[2] <= o[1] or o[2] <= s[1] for o in found):
+            found.append(s)
     return sorted(found, key=order)
 
 
