@@ -4,9 +4,13 @@ Generators of high recall propose spans, which may overlap. Spans of the four ba
 stay. Looser candidates (addresses with spelled-out signs, digit groups of unusual form, values that look like keys) are
 added by explicit evidence, a naming word in front or both bracketed signs, whatever the table around them. The others are
 scored by boosted trees over format and context features; those above a calibrated threshold are added too. The trees
-are trained here, on a bounded number of candidates (``train_rows``) taken in hash order from the whole table: what the
-base formats and the words beside a value decide is the label, and exactly these features are withheld from the trees,
-so that they carry the decision over to candidates without such formats or words.
+are trained here, on a bounded number of candidates (``train_rows``) taken in hash order from the whole table, once for
+values and addresses and once for digit groups: what the naming words and signs beside a value decide is the label, and
+exactly these features are withheld from the trees, so that they carry the decision over to candidates without such
+words. Other words around a candidate are features.
+
+A value behind a naming word is proposed whatever its length and signs. The exception is a word of letters alone that
+follows a blank and is itself followed by another word ("password: must be long"): that is prose, not evidence.
 """
 
 from __future__ import annotations
@@ -25,15 +29,27 @@ from pyspark.sql import types as T
 
 from quoin.llm.common import table
 
-KINDS = ("email", "ip", "card", "phone", "secret", "contact")
+KINDS = ("email", "ip", "card", "phone", "secret", "contact", "number")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Looser generators.
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?[(\[]?\s?at\s?[)\]]\s?[A-Za-z0-9-]{2,63}(?:\s?[(\[]\s?dot\s?[)\]]\s?[A-Za-z0-9-]{2,63})+")
-LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,255}[0-9])[A-Za-z0-9_+/-]{16,256}={0,2}(?![A-Za-z0-9_+/=-])")
-NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s?[:=]{1,2}\s?[\"']?$")
+LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])")
+GROUPS = re.compile(r"(?<![A-Za-z0-9])\(?[0-9]++(?:[\x20()./-]{1,3}+[0-9]++)+")
+DIGITS = re.compile(r"[0-9]+")
+NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s?[:=]{1,2}\s?[\"']?"
+NAMING = re.compile(NAMES)
+NAMED = re.compile(NAMES + "$")
+QUOTED = re.compile(r"[^\"'\r\n]++(?=[\"'])")
+VALUE = re.compile(r"[^\s\"'<>,;&]++")
+PROSE = re.compile(r"[^\W\d_]++[.,;]?\s\s?[^\W\d_]")
+#: What names a group of digits in front of it.
+NUMBERED = re.compile(r"(?i)\b(?:ssn|social security|phone|telephone|tel|mobile|cell|call|fax|passport|account|iban)\b(?: (?:no|number|is|me|us|at))*\.?\s?[#:=]?\s?$")
+#: Words around a candidate that name nothing by themselves.
+PRIVATE = re.compile(r"(?i)\b(?:login|auth\w*|user\w*|credential\w*|bearer|key|private|contact|customer|name)\b")
+PUBLIC = re.compile(r"(?i)\b(?:commit|sha\w*|md5|hash|version|build|uuid|url|https?|isbn|page|pages|vol|date|years?)\b")
 
 Span = tuple[str, int, int]
 
@@ -95,25 +111,60 @@ def order(span: Span) -> tuple[int, int]:
     return span[1], KINDS.index(span[0])
 
 
+def named_values(text: str) -> Iterator[Span]:
+    """Values behind naming words: to the closing quote if there is an opening one, else to the next white space or sign."""
+    after = 0
+    for m in NAMING.finditer(text):
+        if m.start() < after:
+            continue
+        quote = text[m.end() - 1] in "\"'" and QUOTED.match(text, m.end())
+        found = quote or VALUE.match(text, m.end())
+        if found and (quote or not (text[m.end() - 1].isspace() and PROSE.match(text, m.end()))):
+            after = found.end()
+            end = after if quote else m.end() + len(found[0].rstrip(".:!?)]}"))
+            if end > m.end():
+                yield "secret", m.end(), end
+
+
+def digit_groups(text: str) -> Iterator[Span]:
+    """Chains of groups of digits with 7 to 15 digits in all. Of a longer chain, all runs of two to five groups with so many."""
+    for chain in GROUPS.finditer(text):
+        parts = [m.span() for m in DIGITS.finditer(text, *chain.span())]
+        if sum(b - a for a, b in parts) <= 15:
+            runs = [(chain.start(), parts)]
+        else:
+            runs = [(parts[i][0], parts[i : i + k]) for i in range(len(parts)) for k in range(2, min(5, len(parts) - i) + 1)]
+        for start, run in runs:
+            if 7 <= sum(b - a for a, b in run) <= 15:
+                yield "number", start, run[-1][1]
+
+
 def loose_spans(text: str) -> list[Span]:
-    """Candidates beyond the base formats; they may overlap each other."""
-    found: list[Span] = [("secret", m.start(), m.end()) for m in LONG_TOKEN.finditer(text)]
+    """Candidates beyond the base formats; they may overlap each other. Work is linear in the text."""
+    found: list[Span] = [("secret", m.start(), m.end()) for m in LONG_TOKEN.finditer(text) if DIGITS.search(m[0])]
+    if ":" in text or "=" in text:
+        known = set(found)
+        found += [s for s in named_values(text) if s not in known]
+    found += digit_groups(text)
     if "at" in text:
         found += [("contact", m.start(), m.end()) for m in SPELLED.finditer(text)] if re.search(r"[(\[]\s?at\s?[)\]]", text) else []
     return found
 
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "distinct", "entropy", "switches", "longest_letters", "hex", "vowels", "pair_at", "edge_before", "edge_after")
+FEATURES = ("length", "digits", "upper", "lower", "other", "distinct", "entropy", "switches", "longest_letters", "hex", "vowels", "pair_at", "edge_before", "edge_after", "groups", "last_group", "private_words", "public_words")
 
 
 def features(text: str, span: Span) -> list[float]:
-    """Format and context of a candidate. What decides the training labels (the base formats' checks and the naming words
-    in front) is left out."""
+    """Format and context of a candidate. What decides the training labels (the naming words and their sign in front) is left
+    out: signs and quotes at the edges count as white space, and naming words don't count as words around it."""
     kind, start, end = span
     s = text[start:end]
     n = max(1, len(s))
     counts = np.unique(np.frombuffer(s.encode("utf-32-le"), "<u4"), return_counts=True)[1] / n
     kinds = ["d" if c.isdigit() else "a" if c.isalpha() else "-" for c in s]
+    before = text[max(0, start - 40) : start]
+    around = (NUMBERED if kind == "number" else NAMED).sub("", before) + " " + text[end : end + 40]
+    groups = DIGITS.findall(s) if kind == "number" else []
     run = longest = 0
     for c in kinds:
         run = run + 1 if c == "a" else 0
@@ -122,17 +173,31 @@ def features(text: str, span: Span) -> list[float]:
         float(len(s)), sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(c.islower() for c in s) / n, kinds.count("-") / n,
         len(counts) / n, float(-(counts * np.log2(counts)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, longest / n,
         sum(c in "0123456789abcdefABCDEF" for c in s) / n, sum(c in "aeiouAEIOU" for c in s) / n, float(kind == "contact"),
-        float(start == 0 or text[start - 1].isspace()), float(end == len(text) or text[end : end + 1].isspace()),
+        float(start == 0 or open_edge(text[start - 1])), float(end == len(text) or open_edge(text[end])),
+        float(len(groups)), float(len(groups[-1])) if groups else 0.0, float(len(PRIVATE.findall(around))), float(len(PUBLIC.findall(around))),
     ]
 
 
+def open_edge(sign: str) -> bool:
+    return sign.isspace() or sign in "\"':="
+
+
 @dataclass
 class Trees:
-    """Gradient boosting on logistic loss with trees of depth two over quantile bins; ``threshold`` is on the probability."""
+    """Gradient boosting on logistic loss with trees of depth two over quantile bins; ``threshold`` is on the probability.
+    ``numbers`` is the model for digit groups."""
 
     base: float = 0.0
     trees: list[tuple] = field(default_factory=list)
     threshold: float = 1.0
+    numbers: Trees | None = None
+
+    def accepts(self, text: str, span: Span) -> float | None:
+        """The probability of a candidate that reaches the threshold of its kind's trees."""
+        model = self.numbers if span[0] == "number" else self
+        if model is None or model.threshold > 1 or (p := model.score(features(text, span))) < model.threshold:
+            return None
+        return p
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, least: int = 5) -> Trees:
@@ -182,14 +247,17 @@ def walk(tree, row) -> float:
 
 
 def candidate_label(text: str, span: Span) -> int:
-    """Explicit evidence, which decides by itself and is the training label: whether words in front name the value as a secret,
-    or the spelled-out address has both signs."""
+    """Explicit evidence, which decides by itself and is the training label: whether words in front name the value as a secret
+    or number, or the spelled-out address has both signs."""
+    if span[0] == "number":
+        return int(bool(NUMBERED.search(text[max(0, span[1] - 40) : span[1]])))
     return int(span[0] == "contact" or bool(NAMED.search(text[max(0, span[1] - 24) : span[1]])))
 
 
 def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, precision: float = 0.995) -> Trees:
-    """Trees on at most train_rows candidates: for each label and each of train_rows / 2 hash slots, the candidate with the
-    smallest hash of all rows. Tasks send one candidate a slot at most.
+    """Trees on at most train_rows candidates, and as many digit groups for theirs: for each label and each of train_rows / 2
+    hash slots, the candidate with the smallest hash of all rows. Tasks send one candidate a slot at most. Named values
+    that no format proposes (short ones, those without digits) have no unnamed counterparts and are not trained on.
 
     The threshold is the least one that reaches ``precision`` on a fifth of them that is held out. With fewer than 20
     candidates of either label there are no trees (threshold above 1), and explicit evidence alone adds spans.
@@ -197,22 +265,31 @@ def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, preci
     half = train_rows // 2
 
     def gather(batches):
-        kept: dict[tuple[int, int], tuple[int, list[float]]] = {}
+        kept: dict[tuple[int, int, int], tuple[int, list[float]]] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for span in loose_spans(t or ""):
+                    if span[0] == "secret" and not (LONG_TOKEN.fullmatch(t, span[1], span[2]) and DIGITS.search(t, span[1], span[2])):
+                        continue
                     around = f"{span[0]} {t[max(0, span[1] - 30) : span[2] + 30]}".encode("utf-8", "surrogatepass")
                     key = int.from_bytes(hashlib.blake2b(around, digest_size=7).digest(), "big")
-                    at = candidate_label(t, span), key % half
+                    at = int(span[0] == "number"), candidate_label(t, span), key % half
                     if at not in kept or key < kept[at][0]:
                         kept[at] = key, features(t, span)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in kept], pa.int32()), pa.array([k[1] for k in kept], pa.int64()), pa.array([v[0] for v in kept.values()], pa.int64()), pa.array([v[1] for v in kept.values()], pa.list_(pa.float64()))],
-            names=["label", "slot", "key", "x"],
+            [pa.array([k[0] for k in kept], pa.int32()), pa.array([k[1] for k in kept], pa.int32()), pa.array([k[2] for k in kept], pa.int64()), pa.array([v[0] for v in kept.values()], pa.int64()), pa.array([v[1] for v in kept.values()], pa.list_(pa.float64()))],
+            names=["number", "label", "slot", "key", "x"],
         )
 
-    found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(gather, "label int, slot long, key long, x array<double>")
-    rows = found.groupBy("label", "slot").agg(F.min("key").alias("key"), F.min_by("x", "key").alias("x")).orderBy("label", "slot").collect()  # train_rows at most
+    found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(gather, "number int, label int, slot long, key long, x array<double>")
+    rows = found.groupBy("number", "label", "slot").agg(F.min("key").alias("key"), F.min_by("x", "key").alias("x")).orderBy("number", "label", "slot").collect()  # twice train_rows at most
+    model = calibrated([r for r in rows if not r.number], precision)
+    model.numbers = calibrated([r for r in rows if r.number], precision)
+    return model
+
+
+def calibrated(rows: list, precision: float) -> Trees:
+    """Trees on four fifths of rows (label, key, x), with the threshold from the others."""
     y = np.array([r.label for r in rows], float)
     if y.sum() < 20 or len(y) - y.sum() < 20:
         return Trees(threshold=2.0)
@@ -259,11 +336,15 @@ def all_spans(text: str, trees: Trees) -> list[Span]:
     for s in loose_spans(text):
         if candidate_label(text, s):
             kept.append((math.inf, s))
-        elif trees.threshold <= 1 and (p := trees.score(features(text, s))) >= trees.threshold:
+        elif (p := trees.accepts(text, s)) is not None:
             kept.append((p, s))
-    for _, s in sorted(kept, key=lambda x: (-x[0], x[1][1])):
-        if all(s[2] <= o[1] or o[2] <= s[1] for o in found):
+    taken = bytearray(len(text) if kept else 0)
+    for _, start, end in found if kept else ():
+        taken[start:end] = b"\1" * (end - start)
+    for _, s in sorted(kept, key=lambda x: (-x[0], x[1][1], -x[1][2])):
+        if taken.find(1, s[1], s[2]) < 0:
             found.append(s)
+            taken[s[1] : s[2]] = b"\1" * (s[2] - s[1])
     return sorted(found, key=order)
 
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quoin.llm.pii import Trees, all_spans, base_spans, find_pii, fit_trees, luhn, op10_pii, redact, redacted
+from quoin.llm.pii import Trees, all_spans, base_spans, find_pii, fit_trees, loose_spans, luhn, op10_pii, redact, redacted
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -80,3 +80,34 @@ def test_explicit_evidence_needs_no_table(spark):
     many = docs.unionByName(spark.createDataFrame([(k + 10, f"secret={'%016x' % (k * 7919)} and {k:017d}") for k in range(60)], docs.schema))
     again = {r.doc_id: [tuple(s) for s in r.pii] for r in find_pii(many, model=fit_trees(many)).filter("doc_id < 3").collect()}
     assert again == {k: got[k] for k in (1, 2)}
+
+
+def test_generators_propose_numbers_and_named_values_of_any_length():
+    none, key = Trees(threshold=2.0), "a1" * 150
+    for text, want in [
+        ("ssn 123-45-6789.", [("number", 4, 15)]),
+        ("call (555) 123-4567 now", [("number", 5, 19)]),
+        (f"token={key} x", [("secret", 6, 306)]),
+        ("password=hunter2", [("secret", 9, 16)]),
+        ("pwd: letmein.", [("secret", 5, 12)]),
+        ("api_key = 'two words' x", [("secret", 11, 20)]),
+        ("The password: must be long. Secret: the end", []),
+        ("pages 12-34 of 1998-1999, 10.0.0.300", []),
+    ]:
+        assert all_spans(text, none) == want, text
+    for text in ("see 123-45-6789", "(555) 123-4567", key):
+        assert loose_spans(text)[0][1:] == (text.index(text.split(" ")[-1]) if text[0] == "s" else 0, len(text))
+    assert ("number", 25, 36) in loose_spans("1 2 3 4 5 6 7 8 9 10 111 123-45-6789 1000000".replace("111 ", "111 "))
+    for text in ("1-" * 200_000, "1 (" * 130_000, "token=" * 70_000, "token='" * 60_000, "a1" * 200_000, "(" * 400_000):
+        loose_spans(text)
+
+
+def test_trees_carry_named_numbers_over(spark):
+    rnd = random.Random(5)
+    group = lambda n: f"{rnd.randrange(10**n):0{n}d}"
+    rows = [(i, f"ssn {group(3)}-{group(2)}-{group(4)} in the years {group(4)}-{group(4)} and") for i in range(400)] + [(1000, "it was 123-45-6789 there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit_trees(docs)
+    assert model.threshold > 1 and model.numbers.threshold <= 1
+    assert all_spans("it was 987-65-4321 there", model) == [("number", 7, 18)]
+    assert all_spans("in the years 1998-1999 and", model) == []
