@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin.sources.stored import shared_dir as shared_dir
+from quoin.sources.stored import store as store
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 words_of = re.compile(WORD).findall
@@ -20,25 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a fresh temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quoin-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, so that later stages don't compute it again and
-    a lost executor costs only the tasks it ran."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quoin/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -63,6 +63,25 @@ def test_admission_against_a_loop(spark):
         assert got[i] == (ok, left.get(v, 0))
 
 
+def test_admission_refuses_whole_carts(spark):
+    rnd = random.Random(6)
+    requests = [(i, rnd.randint(1, 7), f"2024-01-{i * 7 % 9 + 1:02d} 00:00:00", rnd.choice([1, 1, 2, 5, None if i == 50 else 3])) for i in range(150) for _ in range(rnd.randint(1, 4))]
+    stock = {k: rnd.randint(20, 90) for k in range(1, 7)}
+    frame = spark.createDataFrame(requests, "checkout_id long, variant_id long, placed_at string, quantity int").withColumn("placed_at", F.col("placed_at").cast("timestamp_ntz"))
+    rows = orders.admission(frame, spark.createDataFrame(list(stock.items()), "variant_id long, available int")).collect()
+    left, want, split = dict(stock), {}, 0
+    for _, i in sorted({(r[2], r[0]) for r in requests}):
+        cart = [(r[1], r[3]) for r in requests if r[0] == i]
+        after = dict(left)
+        for v, q in cart:
+            after[v] = after.get(v, 0) - (q or 10**6)
+        want[i] = all(after[v] >= 0 for v, _ in cart)
+        split += not want[i] and any(q and left.get(v, 0) >= q for v, q in cart)
+        left = after if want[i] else left
+    assert len(rows) == len(requests) and {(r.checkout_id, r.admitted) for r in rows} == set(want.items())
+    assert split > 10 and {v: min(r.left for r in rows if r.variant_id == v) for v in stock} == {v: left[v] for v in stock}
+
+
 def test_lifecycle_against_a_loop(spark):
     rnd = random.Random(4)
     changes = [(rnd.randint(0, 40), f"2024-01-01 00:{i:02d}:{rnd.randint(0, 9):02d}", rnd.choice(rules.STATUSES), rnd.choice(rules.ACTORS)) for i in range(60) for _ in range(6)]
