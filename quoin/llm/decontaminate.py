@@ -9,6 +9,7 @@ threshold shares a shingle with the item, so windows without any item's shingle
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +38,8 @@ class Items:
 
 @dataclass
 class Benchmark:
-    known: np.ndarray  # all items' shingles, sorted, with their weights
+    known: np.ndarray  # all items' shingles, sorted
+    common: np.ndarray  # shingles of two items or more of the whole benchmark, sorted, with their weights
     weights: np.ndarray
     unknown: float
     groups: list[Items]
@@ -47,8 +49,10 @@ class Benchmark:
     threshold: float
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], self.unknown)
+        if not len(self.common):
+            return np.full(len(shingles), self.unknown)
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.weights[at], self.unknown)
 
     def holds(self, shingles: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
@@ -80,17 +84,23 @@ def block_values(prints: np.ndarray, blocks: int) -> np.ndarray:
     return np.stack([(prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1) for b in range(blocks)], axis=1).astype(np.int64)
 
 
-def prepare(items: list[tuple[int, str | None]], radius: int = 20, blocks: int = 8, threshold: float = 0.8) -> Benchmark | None:
-    """Fingerprints and index of items (id, text); those without words are left out. None if there are none."""
-    kept: list[tuple[int, np.ndarray, int]] = []
-    for first, words, bounds in word_hashes(pa.array([t for _, t in items], pa.string())):
+def item_shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(position, shingles, words) of each text that has words."""
+    for first, words, bounds in word_hashes(texts):
         for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if b > a:
-                kept.append((items[first + k][0], grams(words[a:b], min(SIZE, b - a)), int(b - a)))
+                yield first + k, grams(words[a:b], min(SIZE, b - a)), int(b - a)
+
+
+def prepare(items: list[tuple[int, str | None]], radius: int = 20, blocks: int = 8, threshold: float = 0.8, counts: tuple[int, np.ndarray, np.ndarray] | None = None) -> Benchmark | None:
+    """Fingerprints and index of items (id, text); those without words are left out. None if there are none. counts: if the
+    items are a part of a benchmark, its number of items, shingles of two or more of them (sorted) and how many."""
+    kept = [(items[k][0], s, n) for k, s, n in item_shingles(pa.array([t for _, t in items], pa.string()))]
     if not kept:
         return None
     known, df = np.unique(np.concatenate([np.unique(s) for _, s, _ in kept]), return_counts=True)
-    out = Benchmark(known, np.log1p(len(kept) / df), float(np.log1p(len(kept))), [], sorted({min(SIZE, n) for *_, n in kept}), radius, blocks, threshold)
+    total, common, df = counts or (len(kept), known[df > 1], df[df > 1])
+    out = Benchmark(known, common, np.log1p(total / df), float(np.log1p(total)), [], sorted({min(SIZE, n) for *_, n in kept}), radius, blocks, threshold)
     by_words: dict[int, Items] = {}
     for item, shingles, n in kept:
         group = by_words.setdefault(n, Items(n))
@@ -159,24 +169,39 @@ def search(words: np.ndarray, hits: dict[int, np.ndarray], shingles: dict[int, n
     return [(i, -s, w, p) for i, (p, s, w) in sorted(best.items())]
 
 
+def shingle_counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items (item_id, t) with words, shingles of two or more of them (sorted) and how many."""
+
+    def make(batches):
+        for batch in batches:
+            for _, s, _ in item_shingles(batch.column(0)):
+                own = np.append(np.unique(s).view(np.int64), 0)  # the last one counts the items
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(own)) == len(own) - 1)], names=["shingle", "whole"])
+
+    found = items.select("t").mapInArrow(make, "shingle long, whole boolean").groupBy("shingle", "whole").count().filter("whole or count > 1").collect()
+    shared = sorted((r.shingle % 2**64, r["count"]) for r in found if not r.whole)
+    return sum(r["count"] for r in found if r.whole), np.array([s for s, _ in shared], np.uint64), np.array([n for _, n in shared], np.int64)
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", radius: int = 20, threshold: float = 0.8, max_broadcast_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): for each row of docs and each item in it, the most similar window of the
     item's length in words, if it reaches ``threshold``.
 
     Weights are ln(1 + items / items with the shingle). An item with fewer than five words is one shingle. Null, empty and blank
     texts hold nothing and no item is found in them; equal rows of docs give equal rows, and items with equal ids and texts
-    count once. More than max_broadcast_items items are taken in blocks, each of which meets all documents;
-    weights are then those within a block.
+    count once. More than max_broadcast_items items are taken in blocks, each of which meets all documents; weights are
+    those over the whole benchmark, and the shingles that items share are broadcast with each block.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(item_text).cast("string").alias("t")).dropna().distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     blocks = max(1, -(-items.count() // max_broadcast_items))
+    counts = shingle_counts(items) if blocks > 1 else None
     found = None
     for k in range(blocks):
-        few = items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).orderBy("item_id", "t").limit(2 * max_broadcast_items + 1).collect()
+        few = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "t").limit(2 * max_broadcast_items + 1).collect()
         if len(few) > 2 * max_broadcast_items:
             raise ValueError("a block of items is more than twice the size asked for; lower max_broadcast_items")
-        prepared = prepare([(r.item_id, r.t) for r in few], radius=radius, threshold=threshold)
+        prepared = prepare([(r.item_id, r.t) for r in few], radius=radius, threshold=threshold, counts=counts)
         part = _search_block(rows, prepared)
         found = part if found is None else found.unionByName(part)
     return found
