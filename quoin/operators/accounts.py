@@ -117,6 +117,15 @@ def otp_rate_limit(m: Market, hours: int = 24, most: int = 3) -> DataFrame:
     return m.otp_code.select("id", "phone_key", F.expr(f"count(*) {window}").alias("recent")).withColumn("refused", F.col("recent") > most)
 
 
+def otp_refusals(codes: DataFrame) -> DataFrame:
+    """Codes (id, phone_key, created_at) by the reference's limit: another code is refused when 3 or more were sent to the phone
+    in the 10 minutes before, or 8 or more in the 60 minutes before, both bounds and codes of the same moment included. The
+    code itself is left out of both counts."""
+    sent = lambda minutes: F.expr(f"count(*) over (partition by phone_key order by created_at range between interval {minutes} minutes preceding and current row) - 1")
+    rows = codes.select("id", "phone_key", sent(10).alias("short"), sent(60).alias("long"))
+    return rows.withColumn("refused", (F.col("short") >= 3) | (F.col("long") >= 8))
+
+
 def otp_state(m: Market, as_of: str = "2024-01-15 00:00:00", seconds: int = 300) -> DataFrame:
     """Each phone's newest code and whether it is still valid; earlier ones are void."""
     newest = m.otp_code.groupBy("phone_key").agg(F.max(F.struct("created_at", "id")).alias("c"), F.count("*").alias("codes"))

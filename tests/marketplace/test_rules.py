@@ -82,6 +82,14 @@ def test_admission_refuses_whole_carts(spark):
     assert split > 10 and {v: min(r.left for r in rows if r.variant_id == v) for v in stock} == {v: left[v] for v in stock}
 
 
+def test_codes_are_refused_by_either_limit(spark):
+    minutes = {"a": [0, 300, 600, 900, 1200], "b": [4, 6, 9, 14], "c": [0, 8, 16, 24, 32, 40, 48, 56, 60, 140]}
+    rows = [(k * 100 + m, p, m) for k, (p, ms) in enumerate(minutes.items()) for m in ms]
+    codes = spark.createDataFrame(rows, "id long, phone_key string, m long").select("id", "phone_key", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, m)").alias("created_at"))
+    want = {i for i, p, m in rows if sum(m - 10 <= x <= m for x in minutes[p]) - 1 >= 3 or sum(m - 60 <= x <= m for x in minutes[p]) - 1 >= 8}
+    assert {r.id for r in accounts.otp_refusals(codes).collect() if r.refused} == want == {114, 260}
+
+
 def test_lifecycle_against_a_loop(spark):
     rnd = random.Random(4)
     changes = [(rnd.randint(0, 40), f"2024-01-01 00:{i:02d}:{rnd.randint(0, 9):02d}", rnd.choice(rules.STATUSES), rnd.choice(rules.ACTORS)) for i in range(60) for _ in range(6)]
