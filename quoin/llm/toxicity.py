@@ -132,8 +132,9 @@ def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, most_stems: int = 3_000, least_seen: int = 6, least_odds: float = 1.5) -> Grammar:
     """Learns stems on one half of a bounded sample: those in at least ``least_seen`` toxic documents whose log odds, less two
-    standard errors, are above ``least_odds``. Of a word and its stems the shortest that does nearly as well is kept. A
-    logistic is fitted to the clauses' sums in the other half, at the labels' own proportions. Without labels of both
+    standard errors, are above ``least_odds``, the ``most_stems`` with the highest odds at most. Of a word and its stems the shortest that does nearly as well is kept. A
+    logistic is fitted to the clauses' sums in the other half, at the proportions of the labels that
+    aren't held out. Without labels of both
     kinds every score is the same and below one half."""
     sample = labelled(docs, labels, train_rows)
 
@@ -171,7 +172,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, mo
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["x", "y", "n"])
 
     rows = sample.filter("part = 0").mapInArrow(sums, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()  # 802 at most
-    overall = labels.agg(F.avg(F.col("toxic").cast("double")).alias("share")).collect()[0].share
+    overall = labels.filter(~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double")).alias("share")).collect()[0].share
     x, y, n = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n"))
     here = totals[""][0] / sum(totals[""])
     grammar.bias, grammar.slope = logistic(x, y, n * np.where(y == 1, overall / here, (1 - overall) / (1 - here)))

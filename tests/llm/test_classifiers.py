@@ -83,3 +83,17 @@ def test_votes_against_brute_force():
         near = sorted(range(80), key=lambda k: -(v @ voters.vectors[k]))[:15]
         w = [max(v @ voters.vectors[k], 1e-3) ** 12 for k in near]
         assert got == pytest.approx(sum(a * voters.labels[k] for a, k in zip(w, near)) / sum(w))
+
+
+def test_held_out_labels_change_no_score(spark):
+    import zlib
+
+    from quoin.llm.toxicity import fit_grammar
+
+    rows = [(i, f"w{i % 17}er w{i % 13}er you are a {'dreckling' if i % 4 == 0 else 'neighbour'} w{i % 11}er") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grammars = []
+    for flipped in (False, True):
+        labels = [(i, 1 if flipped and zlib.crc32(str(i).encode()) % 5 == 0 else int(i % 4 == 0)) for i, _ in rows]
+        grammars.append(fit_grammar(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert (grammars[0].bias, grammars[0].slope, grammars[0].stems) == (grammars[1].bias, grammars[1].slope, grammars[1].stems)
