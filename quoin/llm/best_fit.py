@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import store, table
+from quoin.llm.common import in_batches, store, table
 from quoin.llm.tokens import crc, encoder, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -113,18 +113,19 @@ def cut_documents(docs: DataFrame, capacity: int = 2048, last_id: int = 0, vocab
     of one length within one task."""
 
     def cut(batches):
-        words, seen, task = encoder(vocabulary), defaultdict(int), TaskContext.get().partitionId()
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, start, ids in pieces(words.encode(text or ""), capacity, last_id):
-                    n = len(ids) // 4
-                    rows.append((doc, k, start, n, crc(ids), task, seen[n]))
-                    seen[n] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        seen, task = defaultdict(int), TaskContext.get().partitionId()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        with encoder(vocabulary) as words:
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for k, start, ids in pieces(words.encode(text or ""), capacity, last_id):
+                        n = len(ids) // 4
+                        rows.append((doc, k, start, n, crc(ids), task, seen[n]))
+                        seen[n] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
 
 
 def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -135,15 +136,10 @@ def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = each.select("task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))  # a length has a row for each task
     ranked = cut.join(first, ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
-    by_length: dict[int, np.ndarray] = {}
-    runs = plan(counts, capacity)
-    for n in counts:
-        by_length[n] = np.array(sorted(r[1:] for r in runs if r[0] == n) if len(runs) < 2000 else [], np.int64).reshape(-1, 5)
-    if len(runs) >= 2000:
-        grouped = defaultdict(list)
-        for r in runs:
-            grouped[r[0]].append(r[1:])
-        by_length = {n: np.array(sorted(rs), np.int64) for n, rs in grouped.items()}
+    grouped = defaultdict(list)
+    for n, *run in plan(counts, capacity):
+        grouped[n].append(run)
+    by_length = {n: np.array(sorted(runs), np.int64) for n, runs in grouped.items()}
     shared = cut.sparkSession.sparkContext.broadcast(by_length)
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -160,7 +156,7 @@ def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
                 offset[rows] = run[:, 4] + within % run[:, 3] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(look_up, out)
+    return in_batches(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), look_up, out)
 
 
 def pack_best_fit(docs: DataFrame, capacity: int = 2048, last_id: int = 0, vocabulary: str | None = None) -> DataFrame:

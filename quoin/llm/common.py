@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quoin.sources.stored import shared_dir as shared_dir
 from quoin.sources.stored import store as store
@@ -21,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch, where the session doesn't set its own: a worker holds few long texts at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def in_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow over batches bounded by rows and bytes. A single row is never cut, however long it is."""
+    conf = df.sparkSession.conf
+    for key in BATCHES.keys() - conf.getAll.keys():
+        conf.set(key, BATCHES[key])
+    return df.mapInArrow(make, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import table
+from quoin.llm.common import in_batches, table
 from quoin.llm.shingles import grams, mix, word_hashes
 
 FOUND = "doc_id long, item_id long, start long, n_words long, similarity double"
@@ -178,7 +178,7 @@ def shingle_counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
                 own = np.append(np.unique(s).view(np.int64), 0)  # the last one counts the items
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(own)) == len(own) - 1)], names=["shingle", "whole"])
 
-    found = items.select("t").mapInArrow(make, "shingle long, whole boolean").groupBy("shingle", "whole").count().filter("whole or count > 1").collect()
+    found = in_batches(items.select("t"), make, "shingle long, whole boolean").groupBy("shingle", "whole").count().filter("whole or count > 1").collect()
     shared = sorted((r.shingle % 2**64, r["count"]) for r in found if not r.whole)
     return sum(r["count"] for r in found if r.whole), np.array([s for s, _ in shared], np.uint64), np.array([n for _, n in shared], np.int64)
 
@@ -235,7 +235,7 @@ def _search_block(rows: DataFrame, prepared: Benchmark | None) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return rows.mapInArrow(look, FOUND)
+    return in_batches(rows, look, FOUND)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import table
+from quoin.llm.common import in_batches, table
 
 # Element classes of HTML.
 RAW = frozenset("script style noscript template textarea title iframe object svg math select option button xmp noembed noframes".split())
@@ -260,7 +260,7 @@ def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
             texts = [main_text(h or "") for h in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*others, *made])
 
-    return rows.mapInArrow(extract, T.StructType([f for f in rows.schema.fields if f.name != html_column] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return in_batches(rows, extract, T.StructType([f for f in rows.schema.fields if f.name != html_column] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

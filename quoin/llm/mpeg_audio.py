@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import table
+from quoin.llm.common import in_batches, table
 
 # Fixed values of the format: bit rates (kbit/s) by index and sampling rates (Hz) by index for layer III, by version
 # (3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5).
@@ -220,7 +220,7 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
             media = [encode(padded((t or "").encode())) for t in batch.column(kept.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(media, pa.binary())], names=[*kept, "media"])
 
-    return rows.mapInArrow(make, rows.withColumn("media", F.lit(b"")).schema)
+    return in_batches(rows, make, rows.withColumn("media", F.lit(b"")).schema)
 
 
 def measure(media: bytes) -> tuple[int, str, int, str]:
@@ -244,4 +244,4 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=[c.split()[0] for c in out.split(", ")],
             )
 
-    return stored.select(F.col("doc_id").cast("long"), "n_bytes", "media").mapInArrow(read, out)
+    return in_batches(stored.select(F.col("doc_id").cast("long"), "n_bytes", "media"), read, out)

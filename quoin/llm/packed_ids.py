@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import store, table
+from quoin.llm.common import in_batches, store, table
 from quoin.llm.tokens import encoder, pieces
 
-SEQUENCES = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
+SEQUENCES = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, id_bytes int, ids binary"
 
 
 class Rooms:
@@ -71,23 +71,23 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack_ids(docs: DataFrame, capacity: int = 2048, last_id: int = 0, group_tokens: int = 4_000_000, vocabulary: str | None = None) -> DataFrame:
-    """A row for each sequence: the ids (little-endian unsigned 16-bit, padded with ``last_id`` to capacity), cumulative segment
-    lengths from 0, where positions begin anew, and each segment's document and piece. Null texts are empty and hold
+    """A row for each sequence: the ids (little-endian unsigned, id_bytes each: two, or four where the vocabulary has larger ids;
+    padded with ``last_id`` to capacity), cumulative segment lengths from 0, where positions begin anew, and each segment's document and piece. Null texts are empty and hold
     the closing id alone; equal rows are packed each."""
 
     def pack(batches):
-        words, base, made = encoder(vocabulary), TaskContext.get().partitionId() << 36, 0
+        base, made = TaskContext.get().partitionId() << 36, 0
         held: list[tuple[int, int, bytes]] = []
         tokens = 0
 
-        def rows():
+        def rows(width: int):
             nonlocal made
             out = []
             for members in best_fit_decreasing([len(x[2]) // 4 for x in held], capacity):
-                ids = np.full(capacity, last_id, "<u2")
+                ids = np.full(capacity, last_id, f"<u{width}")
                 ends = np.cumsum([0] + [len(held[i][2]) // 4 for i in members])
                 ids[: ends[-1]] = np.frombuffer(b"".join(held[i][2] for i in members), "<u4")
-                out.append((base + made, int(ends[-1]), [held[i][0] for i in members], [held[i][1] for i in members], ends.tolist(), ends[:-1].tolist(), ids.tobytes()))
+                out.append((base + made, int(ends[-1]), [held[i][0] for i in members], [held[i][1] for i in members], ends.tolist(), ends[:-1].tolist(), width, ids.tobytes()))
                 made += 1
                 if len(out) == 1000:
                     yield batch_of(out)
@@ -95,23 +95,25 @@ def pack_ids(docs: DataFrame, capacity: int = 2048, last_id: int = 0, group_toke
             if out:
                 yield batch_of(out)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, _, ids in pieces(words.encode(text or ""), capacity, last_id):
-                    held.append((doc, k, ids))
-                    tokens += len(ids) // 4
-                if tokens >= group_tokens:
-                    yield from rows()
-                    held, tokens = [], 0
-        yield from rows()
-
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        with encoder(vocabulary) as words:
+            width = 2 if max(words.largest, last_id) < 1 << 16 else 4
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for k, _, ids in pieces(words.encode(text or ""), capacity, last_id):
+                        held.append((doc, k, ids))
+                        tokens += len(ids) // 4
+                    if tokens >= group_tokens:
+                        yield from rows(width)
+                        held, tokens = [], 0
+            yield from rows(width)
+
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary())
     names = [c.split()[0] for c in SEQUENCES.split(", ")]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, SEQUENCES)
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), pack, SEQUENCES)
 
 
 def digest(sequences: DataFrame) -> DataFrame:
@@ -123,13 +125,13 @@ def digest(sequences: DataFrame) -> DataFrame:
             columns = {n: batch.column(n) for n in batch.schema.names}
             ends = columns["cu_seqlens"].to_pylist()
             ids, resets = columns["ids"].to_pylist(), columns["position_resets"].to_pylist()
-            positions = [zlib.crc32(np.concatenate([np.arange(b - a) for a, b in zip(r, e[1:], strict=True)]).astype("<u2").tobytes()) for r, e in zip(resets, ends, strict=True)]
+            positions = [zlib.crc32(np.concatenate([np.arange(b - a) for a, b in zip(r, e[1:], strict=True)]).astype("<u4").tobytes()) for r, e in zip(resets, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [columns["sequence_id"], columns["n_tokens"], pa.array([len(e) - 1 for e in ends], pa.int32()), columns["doc_ids"], columns["pieces"], columns["cu_seqlens"], pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(positions, pa.int64())],
                 names=[c.split()[0] for c in out.split(", ")],
             )
 
-    return sequences.mapInArrow(sums, out)
+    return in_batches(sequences, sums, out)
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

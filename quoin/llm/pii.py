@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import table
+from quoin.llm.common import in_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "contact", "number")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -281,7 +281,7 @@ def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, preci
             names=["number", "label", "slot", "key", "x"],
         )
 
-    found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(gather, "number int, label int, slot long, key long, x array<double>")
+    found = in_batches(docs.select(F.col(text).cast("string").alias("t")), gather, "number int, label int, slot long, key long, x array<double>")
     rows = found.groupBy("number", "label", "slot").agg(F.min("key").alias("key"), F.min_by("x", "key").alias("x")).orderBy("number", "label", "slot").collect()  # twice train_rows at most
     model = calibrated([r for r in rows if not r.number], precision)
     model.numbers = calibrated([r for r in rows if r.number], precision)
@@ -327,7 +327,7 @@ def find_pii(docs: DataFrame, text: str = "text", model: Trees | None = None) ->
                 out.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_spans(t or "", trees)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(span_type))], names=[*kept, "pii"])
 
-    return rows.mapInArrow(spans, schema)
+    return in_batches(rows, spans, schema)
 
 
 def all_spans(text: str, trees: Trees) -> list[Span]:
@@ -361,7 +361,7 @@ def redact(docs: DataFrame, text: str = "text", model: Trees | None = None) -> D
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_batches(docs, clean, docs.schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

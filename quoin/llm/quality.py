@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import held_out, table
+from quoin.llm.common import held_out, in_batches, table
 
 #: Character classes: lower, upper, digit, blank, newline, other white space, each ASCII sign, and what is left.
 CLASSES = np.full(256, 6, np.int64)
@@ -108,7 +108,8 @@ def fit_voters(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, dimen
             rows = [text_vector(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["doc_id", "y", "at", "v"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").mapInArrow(vectors, "doc_id long, y int, at array<long>, v array<double>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    found = in_batches(texts, vectors, "doc_id long, y int, at array<long>, v array<double>")
     # Repeated rows of a document count once, so that no more than train_rows reach the driver.
     rows = found.groupBy("doc_id").agg(F.min_by(F.struct("y", "at", "v"), F.size("at")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     n = rows.num_rows
@@ -141,7 +142,7 @@ def score_quality(docs: DataFrame, voters: Voters, text: str = "text", block: in
                 found.append(model.vote(model.project([text_vector(t or "") for t in texts.slice(i, block).to_pylist()])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=[*kept, "quality"])
 
-    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("quality", T.DoubleType())]))
+    return in_batches(rows, score, T.StructType([*rows.schema.fields, T.StructField("quality", T.DoubleType())]))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 BASE = 0x9E3779B97F4A7C1B
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes of text that are hashed at a time.
-PART = 1 << 20
+#: Bytes of text that are hashed at a time, more only where one word is longer.
+PART = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -31,11 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverses modulo 2 ** 64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, PART + 1)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 2**64))]
-    return _powers[0], _powers[1]
+    """BASE ** i and its inverses modulo 2 ** 64 for i < n. Those for a part are kept, longer ones are not."""
+    make = lambda n: [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 2**64))]
+    if not _powers:
+        _powers[:] = make(PART + 1)
+    up, down = _powers if n <= PART + 1 else make(n)
+    return up, down
 
 
 def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -51,10 +52,25 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PART, side="right")) - 1)
         at = offsets[first : last + 1] - offsets[first]
         part = raw[offsets[first] : offsets[last]]
-        yield first, *_hash_part(part, at)
+        yield first, *(_hash_part(part, at) if len(part) <= PART else _hash_long(part))
         first = last
 
 
+def _hash_long(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One long text, cut at separators."""
+    blanks = np.flatnonzero(SEPARATOR[text])
+    found, at = [], 0
+    while at < len(text):
+        k = int(np.searchsorted(blanks, at + PART, side="right")) - 1
+        if k < 0 or blanks[k] < at:  # a word longer than a part
+            k += 1
+        end = int(blanks[k]) + 1 if k < len(blanks) and len(text) - at > PART else len(text)
+        found.append(_hash_part(text[at:end], np.array([0, end - at]))[0])
+        at = end
+    words = np.concatenate(found)
+    return words, np.array([0, len(words)])
+
+
 def _hash_part(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~SEPARATOR[part]
     if not len(part) or not word.any():

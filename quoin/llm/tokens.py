@@ -1,7 +1,8 @@
 """Token ids of a public byte-level BPE, and pieces of documents no longer than a sequence.
 
 Ids equal those of the ``tokenizers`` library for the same vocabulary. A space followed by a word is always a token
-boundary of this vocabulary's pattern, so texts are cut at spaces and each word's ids are kept in a bounded cache.
+boundary of this vocabulary's pattern, so texts are cut at spaces and each word's ids are kept in a cache. It is bounded in
+bytes and emptied when a task ends; only the vocabulary stays with a worker process.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -24,18 +26,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Bytes that a kept word takes besides its signs and ids: two objects and its place in the table.
+ENTRY = 180
+
+
 class Encoder:
-    """text -> little-endian unsigned 32-bit ids. ``cache_words`` bounds the memory that kept words take."""
+    """text -> little-endian unsigned 32-bit ids. ``cache_bytes`` bounds the memory that kept words take."""
 
-    def __init__(self, vocabulary: str | None = None, cache_words: int = 600_000):
+    def __init__(self, vocabulary: str | None = None, cache_bytes: int = 16 << 20):
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary or default_vocabulary(), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: END_ID})
+        self.largest = max(END_ID, *ranks.values())
         self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_bytes, self.held = cache_bytes, 0
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.bpe.encode(text, allowed_special="all"), "<u4").tobytes()
@@ -43,11 +50,16 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self._plain(" " + word)
         if len(word) <= 40:
-            if len(self.cache) >= self.cache_words:
-                self.cache.clear()
+            if self.held >= self.cache_bytes:
+                self.forget()
             self.cache[word] = ids
+            self.held += ENTRY + len(word) + len(ids)
         return ids
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.held = 0
+
     def encode(self, text: str) -> bytes:
         """Runs of spaces are one token, so such texts are encoded as they are."""
         if "  " in text or text.endswith(" "):
@@ -57,12 +69,21 @@ class Encoder:
         return self._plain(first) + b"".join([kept(w) or make(w) for w in words])
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str | None = None) -> Encoder:
-    """One encoder for all tasks that a worker process runs, so that the vocabulary is read once and known words stay known."""
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str | None) -> Encoder:
     return Encoder(vocabulary)
 
 
+@contextmanager
+def encoder(vocabulary: str | None = None) -> Iterator[Encoder]:
+    """The worker process's encoder for one task. The vocabulary is read once; known words go when the task ends."""
+    found = _encoder(vocabulary)
+    try:
+        yield found
+    finally:
+        found.forget()
+
+
 def pieces(ids: bytes, capacity: int, last_id: int) -> Iterator[tuple[int, int, bytes]]:
     """(piece, start, ids) of a document's ids and a closing id; only documents over capacity are cut, and the first piece
     may be the shorter one."""

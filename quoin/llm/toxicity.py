@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import held_out, store, table
+from quoin.llm.common import held_out, in_batches, store, table
 from quoin.llm.shingles import shingle_sets
 
 # Word classes of the grammar, in the four languages of the corpus.
@@ -123,7 +123,7 @@ def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())], names=[*batch.schema.names, "least", "most"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
-    rows = store(rows.mapInArrow(keys, "doc_id long, text string, y int, least long, most long"), "labelled")
+    rows = store(in_batches(rows, keys, "doc_id long, text string, y int, least long, most long"), "labelled")
     firsts = rows.groupBy("least", "y").agg(F.min_by(F.struct("most", "doc_id"), F.struct("doc_id", "most")).alias("r")).select("y", "r.*")
     firsts = firsts.groupBy("most", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")  # train_rows at most
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
@@ -151,7 +151,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, mo
             some = rows[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1] for k, _ in some], pa.int32()), pa.array([n for _, n in some], pa.int64())], names=["stem", "y", "n"])
 
-    counts = store(sample.mapInArrow(count, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q")), "stems")
+    counts = store(in_batches(sample, count, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q")), "stems")
     totals = {r.stem: (r.p, r.q) for r in counts.filter(F.col("stem").isin("", " ")).collect()}
     if not all(totals.get(" ", (0, 0))):
         return Grammar()
@@ -171,7 +171,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, mo
                 seen[(round(min(40.0, shared.value.raw(text or "", automaton)), 1), y)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["x", "y", "n"])
 
-    rows = sample.filter("part = 0").mapInArrow(sums, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()  # 802 at most
+    rows = in_batches(sample.filter("part = 0"), sums, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()  # 802 at most
     overall = labels.filter(~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double")).alias("share")).collect()[0].share
     x, y, n = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n"))
     here = totals[""][0] / sum(totals[""])
@@ -208,7 +208,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> Dat
             found = [model.score(model.raw(t or "", automaton)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*kept, "toxicity"])
 
-    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return in_batches(rows, score, T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

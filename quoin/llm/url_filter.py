@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import LOWER, UPPER, table
+from quoin.llm.common import LOWER, UPPER, in_batches, table
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -107,7 +107,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
             verdict = pa.array([rules_here[i][3] if i >= 0 else default for i in found], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*batch.schema.names, "rule", "verdict"])
 
-    return parsed.mapInArrow(judge, schema)
+    return in_batches(parsed, judge, schema)
 
 
 def _by_suffix(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
