@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from quoin.llm.components import connected_components
-from quoin.llm.ngram_join import near_duplicates, op2_ngram_jaccard_join
+from quoin.llm import ngram_join
+from quoin.llm.ngram_join import near_duplicates, op2_ngram_jaccard_join, without_near_duplicates
 from quoin.llm.shingles import shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,7 +66,7 @@ def corpus(seed):
 
 def test_hashes_against_plain_words():
     rnd = random.Random(11)
-    texts = [None, "", *("".join(rnd.choice(["a", "B", "é", " ", "\t", "\n", "\x0b", "\x1c", " ", "ab", "ba"]) for _ in range(rnd.randint(0, 30))) for _ in range(500))]
+    texts = [None, "", "x" * 600_000 + " a " + "y" * 300_000, ("ab " * 200_000) + "b", *("".join(rnd.choice(["a", "B", "é", " ", "\t", "\n", "\x0b", "\x1c", " ", "ab", "ba"]) for _ in range(rnd.randint(0, 30))) for _ in range(500))]
     plain = [[w.translate({k: k + 32 for k in range(65, 91)}) for w in WORD.findall(t or "")] for t in texts]
     column = pa.array(["x", *texts, "y"]).slice(1, len(texts))
     known = {}
@@ -107,3 +108,65 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 0, None), (None, 1, 1)]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_rows(rows):
+    """The least doc_id of each row's class, rows being judged one by one, whatever their ids."""
+    sets = [brute_set(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for k, s in enumerate(sets):
+        for j in range(k):
+            if s and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                top[find(k)] = find(j)
+    return [min(i for x, (i, _) in enumerate(rows) if find(x) == find(k)) for k in range(len(rows))]
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    rnd = random.Random(21)
+    fresh = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    near = lambda ws: [*ws[:-1], "changed"]
+    a, b = fresh(60), fresh(70)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (3, b), (4, fresh(30)), (4, fresh(30)), (4, []), (5, near(a)), (5, [])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect())
+        assert got == sorted((i, len(brute_set(t)), c) for (i, t), c in zip(rows, brute_rows(rows), strict=True))
+        kept = sorted((r.doc_id, r.text) for r in without_near_duplicates(docs).collect())
+        assert kept == sorted([rows[0], rows[1], *rows[5:8], rows[9]])
+
+
+def test_stock_passages_make_few_pairs(spark):
+    rnd = random.Random(22)
+    stock = [[f"p{k}w{j}" for j in range(30)] for k in range(20)]
+    rows = [(i, " ".join(w for p in rnd.sample(stock, 10) for w in p)) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} tail {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    whole = ngram_join.across_components
+
+    def counted(*a):
+        out = whole(*a)
+        made.append(out.count())
+        return out
+
+    ngram_join.across_components = counted
+    split, ngram_join.SPLIT = ngram_join.SPLIT, 50
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    finally:
+        ngram_join.across_components, ngram_join.SPLIT = whole, split
+    assert got == brute(rows)
+    assert made[0] < 300
+
+
+def test_a_shingle_in_very_many_unlinked_documents(spark):
+    docs = spark.range(100_000).selectExpr("id as doc_id", "concat_ws(' ', 'one very common line of words', transform(sequence(1, 20), k -> concat('u', id, 'x', k))) as text")
+    got = near_duplicates(docs)
+    assert got.filter("component_id = doc_id and n_shingles = 22").count() == 100_000
