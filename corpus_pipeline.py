@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quoin.llm.best_fit import pack_best_fit
 from quoin.llm.common import store, table, without_ids
 from quoin.llm.decontaminate import find_passages
-from quoin.llm.ngram_join import near_duplicates
+from quoin.llm.ngram_join import without_near_duplicates
 from quoin.llm.pii import fit_trees, redact
 from quoin.llm.toxicity import fit_grammar, score_toxicity
 
@@ -27,11 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id, and one row of it."""
-    classes = store(near_duplicates(docs), "classes")
-    kept = without_ids(docs, classes.filter("doc_id <> component_id").select("doc_id"))
-    twice = classes.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    return (kept if twice.isEmpty() else kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))).select(*COLUMNS)
+    """Of each class of linked rows the one with the smallest id; rows that repeat an id are judged by their own texts."""
+    return without_near_duplicates(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
