@@ -4,7 +4,8 @@ import time
 
 import pytest
 
-from quoin.llm.html_extract import extract_text, label, main_text, op3_html_extraction
+from quoin.llm import html_extract
+from quoin.llm.html_extract import blocks_of, extract_text, graph, label, main_text, op3_html_extraction
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Title &amp; more</title><style>p{margin:0}</style><script>var t="</p>";track(0);</script></head>
 <body><header class="site-header"><p>Site</p></header><nav><ul><li><a href="/a">A long menu entry, with words.</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">Buy this now, it is good.</div>
@@ -32,6 +33,37 @@ def test_broken_pages():
         assert time.process_time() - start < 3, page[:20]
     assert main_text("<article>just text &amp; <i>more</i>") == "just text & more"
     assert main_text("<article><SCRIPT>x</sCript >y</article>") == "y"
+    assert main_text("<article><p data-a=it's class=x'y>Hello <b title='>'>you</b><p>a < b <3 <p title=\"open>lost") == "Hello you\na < b <3"
+
+
+def test_reading_takes_linear_time():
+    for page in ("<a " * 350_000, "<div>" * 100_000 + "</x>" * 100_000, "<svg>" * 100_000, "<a b='x" * 100_000, "<p a=\"" * 100_000, "<p>x</q>" * 60_000, "<!-- " * 200_000, "</div><li>" * 60_000, "<" * 500_000, "<p =" * 100_000):
+        start = time.process_time()
+        blocks_of(page)
+        assert time.process_time() - start < 2, page[:20]
+
+
+def test_the_cut_decides_blocks_of_weak_evidence():
+    words = "A sentence of the article, with a number of words in it. "
+    inside = f"<article><p>{words * 3}</p><p>{words * 2}</p><div class='share-note'>Up</div><p>{words * 3}</p><p>{words}</p></article>"
+    odds, edges = graph(blocks_of(inside))
+    assert [o > 0 for o in odds] == [True, True, False, True, True] and label(odds, edges) == [True] * 5
+    menu = "<div>" + "".join(f"<div><a href=/{k}>Part {k}</a></div>" for k in range(4)) + "<div>Not linked but long enough to look like some text</div>" + "".join(f"<div><a href=/{k}>Part {k}</a></div>" for k in range(4)) + "</div>"
+    odds, edges = graph(blocks_of(menu))
+    assert sum(o > 0 for o in odds) == 1 and not any(label(odds, edges))
+    calls = []
+    whole = html_extract.min_cut
+    html_extract.min_cut = lambda nodes, *a: calls.append(len(nodes)) or whole(nodes, *a)
+    try:
+        assert main_text(inside).count("\n") == 4 and calls
+    finally:
+        html_extract.min_cut = whole
+
+
+def test_names_and_inline_parts():
+    assert main_text('<article><p>One <span class="ad">BUY <span>NOW</span></span> two</p><div class="article-header"><h1>Head</h1></div><div class="share-price">12.5 a share</div><div class="share-buttons"><a href=x>Share</a></div><p>x<math><msup><mi>a</mi><mn>2</mn></msup></math> y</p><span class=ad>BUY</span></article>') == "One two\nHead\n12.5 a share\nxa2 y"
+    assert main_text("<main class='has-sidebar'><p>Kept text</p></main><article class='comment'><p>A reader's long remark on what was said there.</p></article>") == "Kept text"
+    assert main_text("<article><p>Seen</p><p style='display: none'>Unseen</p><p hidden>Unseen</p></article>") == "Seen"
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -47,9 +79,10 @@ def test_labels_against_all_labellings(seed):
 
 
 def test_long_undecided_pages_end_soon():
-    start = time.process_time()
-    main_text("<div>" + "<div>short words</div>" * 3000)
-    assert time.process_time() - start < 20
+    for page in ("<div>" + "<div>short words</div>" * 20_000, "<div>" + "<p>short words</p><div class=share-x>one</div><div><a>x</a></div>" * 5000, "<article>" + "<p>a</p><div class=share-x>b</div><div class=share>c</div>" * 5000):
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 10, page[:30]
 
 
 def test_query(spark, tmp_path):
