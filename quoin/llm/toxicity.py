@@ -1,19 +1,24 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers run over a clause's words, and their composition scores it: *insult* (a weighted acceptor of word stems),
-*threat* (intent, harm, target), *target* (second and third persons raise a neighbouring insult), *negation* (lowers what
-follows within a few words) and *reported speech* (a speech verb or a quotation lowers the rest of the clause). A
-document's score is a logistic of its clauses' sum. The stems' weights are log odds learned from labelled rows; word
-classes of the grammar are given below. A clause without a stem or a harm word scores nothing, so whole texts are
-first searched for these by an Aho-Corasick automaton, and only the clauses around its matches are parsed.
+Each word of a clause is read as a symbol: an insult (a learned stem), a negation, a verb of speech, a quotation mark, an
+intent, a harm, a target, or another word. Four transducers rewrite the symbols, and their composition is one machine:
+*threat* (intent, harm, then a target within a few words), *target* (an insult close behind a target, or just before one),
+*negation* (what follows within a few words) and *reported* (behind a verb of speech, or inside quotation marks). *Insult* is
+the weighted acceptor of stems below them. The machine turns a clause into events such as ``insult+target+negated``; an
+insult's event carries its stem's weight. A document's score is a logistic of the sums by event. Stems' weights and events'
+coefficients are learned from labelled rows; word classes are given below. A clause without a stem or a harm word has no
+event, so whole texts are first searched for these by an Aho-Corasick automaton, and only clauses around its
+matches are parsed.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,46 +35,138 @@ NEGATIONS = frozenset("not never no isn't aren't wasn't don't nicht kein keine n
 SPEECH = frozenset("said says wrote writes called calls quoted reported alleged sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 INTENTS = frozenset("will gonna shall werde werden vais allons voy vamos".split())
 HARMS = frozenset("kill hurt destroy beat burn shoot stab töten umbringen schlagen verletzen tuer frapper blesser matar golpear herir".split())
-#: What the transducers do to a weight, and after how many words negation and a target lose hold.
+CLASSES = {w: name for name, words in (("target", TARGETS), ("intent", INTENTS), ("speech", SPEECH), ("negation", NEGATIONS), ("harm", HARMS)) for w in words}
+#: What events weigh before anything is learned, and after how many words negation, a target and a harm lose hold.
 RAISED, LOWERED, REPORTED, THREAT, REACH = 1.3, 0.35, 0.5, 2.0, 3
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+PART = re.compile(WORD.pattern + r"|[\"“”„«»]")
 CLAUSE_ENDS = ".!?;:\n"
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 STEMS = (4, 5, 6, 7, 8)
-
-
-def clause_score(words: list[str], weight) -> float:
-    """The composed weight of a clause. ``weight`` maps a word to its weight as an insult, 0 if it is none."""
-    total, negated, target, reported, intent = 0.0, 0, 0, False, False
-    for k, word in enumerate(words):
-        if word in NEGATIONS:
-            negated = REACH + 1
-        elif word in SPEECH:
-            reported = True
-        if word in INTENTS:
-            intent = True
-        if word in TARGETS:
-            target = REACH + 1
-        value = weight(word)
-        if not value and intent and word in HARMS:
-            value = THREAT if any(w in TARGETS for w in words[k + 1 : k + 1 + REACH]) else 0.0
-        elif value and (target or any(w in TARGETS for w in words[k + 1 : k + 2])):
-            value *= RAISED
-        if value:
-            total += value * (LOWERED if negated else 1) * (REPORTED if reported else 1)
-        negated, target = max(0, negated - 1), max(0, target - 1)
-    return total
+END = "end"
+SYMBOLS = ("insult", "negation", "speech", "quote", "intent", "harm", "target", "other", END)
+TRANSDUCERS = ("threat", "target", "negation", "reported")
+EVENTS = tuple(f"{kind}{n}{r}" for kind in ("insult", "insult+target", "threat") for n in ("", "+negated") for r in ("", "+reported"))
+PRIOR = np.array([(THREAT if "threat" in e else 1.0) * (RAISED if "target" in e else 1.0) * (LOWERED if "negated" in e else 1.0) * (REPORTED if "reported" in e else 1.0) for e in EVENTS])
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Deterministic: for each state and symbol the next state and the symbols written. State 0 is the first one."""
+
+    arcs: tuple[dict[str, tuple[int, tuple[str, ...]]], ...]
+
+    @staticmethod
+    def of(first: Hashable, symbols: tuple[str, ...], step: Callable) -> Transducer:
+        """All states that step(state, symbol) -> (state, symbols written) reaches from the first one."""
+        number, todo, arcs = {first: 0}, deque([first]), []
+        while todo:
+            state, row = todo.popleft(), {}
+            for symbol in symbols:
+                after, written = step(state, symbol)
+                if after not in number:
+                    number[after] = len(number)
+                    todo.append(after)
+                row[symbol] = number[after], tuple(written)
+            arcs.append(row)
+        return Transducer(tuple(arcs))
+
+    def written(self) -> tuple[str, ...]:
+        return tuple(sorted({o for row in self.arcs for _, out in row.values() for o in out}))
+
+    def compose(self, after: Transducer) -> Transducer:
+        """The machine that hands what this one writes to ``after``."""
+
+        def step(state, symbol):
+            (a, b), out = state, []
+            a, middle = self.arcs[a][symbol]
+            for m in middle:
+                b, more = after.arcs[b][m]
+                out += more
+            return (a, b), out
+
+        return Transducer.of((0, 0), tuple(self.arcs[0]), step)
+
+
+def _is_word(symbol: str) -> bool:
+    return symbol not in ("quote", "threat", END)
+
+
+def _threat(state, symbol):
+    intent, left = state
+    if symbol == END:
+        return (False, 0), (END,)
+    if symbol == "target" and left:
+        return (intent, 0), ("threat", "target")
+    if _is_word(symbol):
+        left = REACH if symbol == "harm" and intent else max(0, left - 1)
+    return (intent or symbol == "intent", left), (symbol,)
+
+
+def _target(state, symbol):
+    left, waiting = state
+    if symbol == "threat":  # a target is next
+        return (left, False), (*(("insult+target",) if waiting else ()), symbol)
+    out = [("insult+target" if symbol == "target" else "insult")] if waiting else []
+    if symbol in ("quote", END):
+        return (left if symbol == "quote" else 0, False), (*out, symbol)
+    if symbol == "insult":
+        return (max(0, left - 1), not left), (*out, *(("insult+target",) if left else ()))
+    return (REACH if symbol == "target" else max(0, left - 1), False), (*out, symbol)
+
+
+def _negation(left, symbol):
+    if symbol == END:
+        return 0, (END,)
+    out = symbol + "+negated" if left and symbol.startswith(("insult", "threat")) else symbol
+    return (REACH if symbol == "negation" else max(0, left - _is_word(symbol))), (out,)
+
+
+def _reported(state, symbol):
+    speech, quoted = state
+    if symbol == END:
+        return (False, False), (END,)
+    out = symbol + "+reported" if (speech or quoted) and symbol.startswith(("insult", "threat")) else symbol
+    return (speech or symbol == "speech", quoted != (symbol == "quote")), (out,)
+
+
+STEPS = {"threat": ((False, 0), _threat), "target": ((0, False), _target), "negation": (0, _negation), "reported": ((False, False), _reported)}
+
+
+@lru_cache(maxsize=16)
+def machine(transducers: tuple[str, ...] = TRANSDUCERS) -> list[dict[str, tuple[int, tuple[int, ...]]]]:
+    """The composition of the transducers: for each state and symbol the next state and the positions of events in EVENTS."""
+    whole = Transducer.of(0, SYMBOLS, lambda state, symbol: (0, (symbol,)))
+    whole = reduce(lambda m, name: m.compose(Transducer.of(STEPS[name][0], m.written(), STEPS[name][1])), transducers, whole)
+    return [{s: (to, tuple(EVENTS.index(o) for o in out if o in EVENTS)) for s, (to, out) in row.items()} for row in whole.arcs]
+
+
+def clause_events(parts: list[str], weight: Callable[[str], float], arcs: list, sums: dict[int, float]) -> None:
+    """Adds a clause's events to sums. ``weight`` maps a word to its weight as an insult, 0 if it is none."""
+    state, held = 0, deque()
+    for part in [*parts, END]:
+        if part is END:
+            symbol = END
+        elif w := weight(part):
+            symbol = "insult"
+            held.append(w)
+        else:
+            symbol = CLASSES.get(part) or ("other" if part[0].isalpha() else "quote")
+        state, events = arcs[state][symbol]
+        for e in events:
+            sums[e] = sums.get(e, 0.0) + (1.0 if EVENTS[e].startswith("threat") else held.popleft())
 
 
 @dataclass
 class Grammar:
     """stems: word stem (a '$' at its end: the whole word) -> weight. A document's score is
-    1 / (1 + exp(-(bias + slope * sum)))."""
+    1 / (1 + exp(-(bias + coefficients . sums by event)))."""
 
     stems: dict[str, float] = field(default_factory=dict)
     bias: float = -4.0
-    slope: float = 1.0
+    coefficients: list[float] = field(default_factory=lambda: PRIOR.tolist())
+    transducers: tuple[str, ...] = TRANSDUCERS
 
     def weight(self, word: str) -> float:
         stems = self.stems
@@ -85,20 +182,21 @@ class Grammar:
             out.make_automaton()
         return out
 
-    def raw(self, text: str, automaton) -> float:
-        low = text.lower()
-        total, done = 0.0, -1
+    def events(self, text: str, automaton) -> dict[int, float]:
+        """Sums by event over the clauses of a text."""
+        low, arcs = text.lower(), machine(self.transducers)
+        sums, done = {}, -1
         for at, n in automaton.iter(low) if len(automaton) else ():
             if at < done or (at - n >= 0 and low[at - n].isalpha()):
                 continue
             start = max(low.rfind(c, 0, at) for c in CLAUSE_ENDS) + 1 if done < 0 else max(done, max(low.rfind(c, done, at) for c in CLAUSE_ENDS) + 1)
             ends = CLAUSE_END.search(low, at)
             done = ends.start() + 1 if ends else len(low)
-            total += clause_score(WORD.findall(low, start, done), self.weight)
-        return total
+            clause_events(PART.findall(low, start, done), self.weight, arcs, sums)
+        return sums
 
-    def score(self, raw: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * raw))))
+    def score(self, sums: dict[int, float]) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(self.coefficients[e] * v for e, v in sums.items())))))
 
 
 def stems_of(text: str) -> set[str]:
@@ -132,10 +230,10 @@ def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, most_stems: int = 3_000, least_seen: int = 6, least_odds: float = 1.5) -> Grammar:
     """Learns stems on one half of a bounded sample: those in at least ``least_seen`` toxic documents whose log odds, less two
-    standard errors, are above ``least_odds``, the ``most_stems`` with the highest odds at most. Of a word and its stems the shortest that does nearly as well is kept. A
-    logistic is fitted to the clauses' sums in the other half, at the proportions of the labels that
-    aren't held out. Without labels of both
-    kinds every score is the same and below one half."""
+    standard errors, are above ``least_odds``, the ``most_stems`` with the highest odds at most. Of a word and its stems the
+    shortest that does nearly as well is kept. The events' coefficients are a logistic over the sums by event in the other
+    half, at the proportions of the labels that aren't held out; events that are rare there stay near their prior weights.
+    Held-out labels are never read. Without labels of both kinds every score is the same and below one half."""
     sample = labelled(docs, labels, train_rows)
 
     def count(batches):
@@ -168,34 +266,38 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, mo
         automaton = shared.value.automaton()
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                seen[(round(min(40.0, shared.value.raw(text or "", automaton)), 1), y)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["x", "y", "n"])
+                found = shared.value.events(text or "", automaton)
+                seen[tuple(round(min(40.0, found.get(e, 0.0)), 1) for e in range(len(EVENTS))), y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.list_(pa.float64())), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["x", "y", "n"])
 
-    rows = in_batches(sample.filter("part = 0"), sums, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()  # 802 at most
+    rows = in_batches(sample.filter("part = 0"), sums, "x array<double>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()  # train_rows at most
     overall = labels.filter(~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double")).alias("share")).collect()[0].share
-    x, y, n = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n"))
+    x = np.array([r.x for r in rows], float).reshape(-1, len(EVENTS))
+    y, n = (np.array([r[c] for r in rows], float) for c in ("y", "n"))
     here = totals[""][0] / sum(totals[""])
-    grammar.bias, grammar.slope = logistic(x, y, n * np.where(y == 1, overall / here, (1 - overall) / (1 - here)))
+    grammar.bias, grammar.coefficients = logistic(x, y, n * np.where(y == 1, overall / here, (1 - overall) / (1 - here)))
     return grammar
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Bias and slope by Newton's steps on the likelihood of counts n, lightly penalised."""
-    bias, slope = -3.0, 1.0
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, list[float]]:
+    """Bias and coefficients by Newton's steps on the likelihood of counts n: a common slope on the prior weights, hardly
+    penalised, and for each event a penalised difference from it."""
+    inputs = np.column_stack([np.ones(len(x)), x @ PRIOR, x])
+    penalty = np.array([0.01, 0.05, *[5.0] * len(EVENTS)])
+    at = np.zeros(inputs.shape[1])
+    at[:2] = -3.0, 1.0
     for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(bias + slope * x, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(inputs @ at, -30, 30)))
         v = n * p * (1 - p)
-        g = np.array([(n * (y - p)).sum() - 0.01 * bias, (n * (y - p) * x).sum() - 0.05 * slope])
-        h = np.array([[v.sum() + 0.01, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.05]])
-        step = np.linalg.solve(h, g)
-        bias, slope = bias + float(np.clip(step[0], -1, 1)), slope + float(np.clip(step[1], -1, 1))
+        step = np.linalg.solve((inputs * v[:, None]).T @ inputs + np.diag(penalty), inputs.T @ (n * (y - p)) - penalty * at)
+        at += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-6:
             break
-    return min(bias, -0.5), max(slope, 0.1)
+    return min(float(at[0]), -0.5), np.maximum(max(at[1], 0.1) * PRIOR + at[2:], 0.0).tolist()
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
-    """Adds toxicity (0 to 1), replacing a column so named. Null and empty texts score as a text without any matched clause;
+    """Adds toxicity (0 to 1), replacing a column so named. Null and empty texts score as a text without any event;
     equal rows stay separate rows. Whole texts are searched, whatever their length."""
     kept = [c for c in docs.columns if c.lower() != "toxicity"]
     rows, at = docs.select(*kept), kept.index(text)
@@ -205,7 +307,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> Dat
         model = shared.value
         automaton = model.automaton()
         for batch in batches:
-            found = [model.score(model.raw(t or "", automaton)) for t in batch.column(at).to_pylist()]
+            found = [model.score(model.events(t or "", automaton)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*kept, "toxicity"])
 
     return in_batches(rows, score, T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())]))

@@ -1,27 +1,67 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from quoin.llm.quality import Voters, fit_voters, op4_quality_classifier, score_quality
-from quoin.llm.toxicity import LOWERED, RAISED, REPORTED, THREAT, Grammar, clause_score, fit_grammar, op6_toxicity, score_toxicity
+from quoin.llm.toxicity import CLASSES, EVENTS, PART, TRANSDUCERS, Grammar, clause_events, fit_grammar, logistic, machine, op6_toxicity, score_toxicity
+
+
+def events(text, weights, transducers=TRANSDUCERS):
+    sums = {}
+    clause_events(PART.findall(text), lambda w: weights.get(w, 0.0), machine(transducers), sums)
+    return {EVENTS[e]: v for e, v in sums.items()}
 
 
 def test_transducers_compose():
-    weight = {"fool": 2.0}.get
-    score = lambda s: clause_score(s.split(), lambda w: weight(w, 0.0))
-    assert score("the fool") == 2 and score("a fine day") == 0 and score("") == 0
-    assert score("you fool") == 2 * RAISED and score("not a fool") == 2 * LOWERED and score("not that he was such a fool") == 2
-    assert score("she called him a fool") == pytest.approx(2 * RAISED * REPORTED)
-    assert score("i will kill you") == THREAT and score("i will kill time") == 0 and score("they kill you") == 0
-    assert score("fool fool") == 4
+    got = lambda s, *a: events(s, {"fool": 2.0, "ass": 1.0}, *a)
+    assert got("the fool") == {"insult": 2} and got("a fine day") == got("") == {}
+    assert got("you fool") == got("fool you") == {"insult+target": 2} and got("fool ass you") == {"insult": 2, "insult+target": 1}
+    assert got("not a fool") == {"insult+negated": 2} and got("not that he was such a fool") == {"insult": 2}
+    assert got("she called him a fool") == {"insult+target+reported": 2} and got('a "fool" and ass') == {"insult+reported": 2, "insult": 1}
+    assert got("i will kill you") == {"threat": 1} and got("i will kill time") == got("they kill you") == {} and got("she said i will not kill you") == {"threat+negated+reported": 1}
+    assert got("fool fool") == {"insult": 4}
+    assert got("she said you fool", ("target",)) == {"insult+target": 2} and got("she said you fool", ()) == {"insult": 2}
+
+
+def plain_events(text, weights):
+    """The same events by looking around each word."""
+    out, parts = {}, PART.findall(text)
+    words = [(w, k) for k, w in enumerate(parts) if w[0].isalpha()]
+    add = lambda e, v: out.update({e: out.get(e, 0.0) + v})
+    kind = [None if weights.get(w) else CLASSES.get(w) for w, _ in words]
+    waits = 0
+    for i, (w, k) in enumerate(words):
+        reported = "speech" in kind[:i] or parts[:k].count('"') % 2 == 1
+        tail = ("+negated" if "negation" in kind[max(0, i - 3) : i] else "") + ("+reported" if reported else "")
+        if weights.get(w):
+            near = "target" in kind[max(0, i - 3) : i] or kind[i + 1 : i + 2] == ["target"] and parts[k + 1] != '"'
+            add(f"insult{'+target' * near}{tail}", weights[w])
+        if kind[i] == "target" and waits:
+            add(f"threat{tail}", 1.0)
+            waits = 0
+        else:
+            waits = 3 if kind[i] == "harm" and "intent" in kind[:i] else max(0, waits - 1)
+    return out
+
+
+def test_the_composition_against_looking_around_each_word():
+    rnd = random.Random(14)
+    weights = {"fool": 2.0, "ass": 1.0}
+    for _ in range(20_000):
+        text = " ".join(rnd.choice(["you", "fool", "ass", "not", "said", "will", "kill", "him", "x", "y", '"']) for _ in range(rnd.randint(0, 12)))
+        assert events(text, weights) == pytest.approx(plain_events(text, weights)), text
+    assert len(machine()) > 100
 
 
 def brute(grammar, text):
-    import re
-
-    return sum(clause_score(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", c), grammar.weight) for c in re.split(r"[.!?;:\n]", text.lower()))
+    sums = {}
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        for e, v in plain_events(clause, {w: grammar.weight(w) for w in PART.findall(clause)}).items():
+            sums[e] = sums.get(e, 0.0) + v
+    return sums
 
 
 def test_search_finds_the_clauses_that_a_full_parse_finds():
@@ -29,9 +69,19 @@ def test_search_finds_the_clauses_that_a_full_parse_finds():
     grammar = Grammar({"fool": 2.0, "idio": 3.0, "bad$": 1.0})
     automaton = grammar.automaton()
     for _ in range(3000):
-        text = " ".join(rnd.choice(["you", "fool", "fools", "idiotic", "bad", "badly", "xfool", "not", "said", "x.", "will", "kill", "him", "ok;", "Fool\n", "é"]) for _ in range(rnd.randint(0, 14)))
-        assert grammar.raw(text, automaton) == pytest.approx(brute(grammar, text)), text
-    assert Grammar().raw("anything", Grammar().automaton()) == 0
+        text = " ".join(rnd.choice(["you", "fool", "fools", "idiotic", "bad", "badly", "xfool", "not", "said", "x.", "will", "kill", "him", "ok;", "Fool\n", "é", '"']) for _ in range(rnd.randint(0, 14)))
+        assert {EVENTS[e]: v for e, v in grammar.events(text, automaton).items()} == pytest.approx(brute(grammar, text)), text
+    assert Grammar().events("anything", Grammar().automaton()) == {}
+
+
+def test_coefficients_are_learned():
+    rnd = np.random.default_rng(1)
+    x = np.zeros((4000, len(EVENTS)))
+    y = (rnd.random(4000) < 0.3).astype(float)
+    x[:, EVENTS.index("insult+target")] = 3 * y * (rnd.random(4000) < 0.7)
+    x[:, EVENTS.index("insult+reported")] = 3 * (rnd.random(4000) < 0.5)
+    bias, c = logistic(x, y, np.ones(4000))
+    assert bias < 0 and c[EVENTS.index("insult+target")] > 1 and c[EVENTS.index("insult+reported")] < 0.1
 
 
 @pytest.fixture(scope="module")
@@ -86,14 +136,10 @@ def test_votes_against_brute_force():
 
 
 def test_held_out_labels_change_no_score(spark):
-    import zlib
-
-    from quoin.llm.toxicity import fit_grammar
-
     rows = [(i, f"w{i % 17}er w{i % 13}er you are a {'dreckling' if i % 4 == 0 else 'neighbour'} w{i % 11}er") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     grammars = []
     for flipped in (False, True):
         labels = [(i, 1 if flipped and zlib.crc32(str(i).encode()) % 5 == 0 else int(i % 4 == 0)) for i, _ in rows]
         grammars.append(fit_grammar(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
-    assert (grammars[0].bias, grammars[0].slope, grammars[0].stems) == (grammars[1].bias, grammars[1].slope, grammars[1].stems)
+    assert grammars[0] == grammars[1]

@@ -35,7 +35,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     now = {r[0]: r[1] for r in rows}
     grammar = fit_grammar(docs, spark.read.parquet(f"{path}/labels.parquet"))
     automaton = grammar.automaton()
-    want = [{i: t for i, t in now.items() if grammar.score(grammar.raw(t or "", automaton)) < 0.5}]
+    want = [{i: t for i, t in now.items() if grammar.score(grammar.events(t or "", automaton)) < 0.5}]
     classes = brute_classes(sorted(want[-1].items()))
     want.append({i: t for i, t in want[-1].items() if classes[i][1] == i})
     leaks = {d for d, _ in brute_passages(want[-1].items(), items)}
