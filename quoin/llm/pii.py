@@ -2,12 +2,15 @@
 
 Generators of high recall propose spans, which may overlap. Spans of the four base kinds follow a fixed format and always
 stay. Looser candidates (addresses with spelled-out signs, digit groups of unusual form, values that look like keys) are
-added by explicit evidence, a naming word in front or both bracketed signs, whatever the table around them. The others are
-scored by boosted trees over format and context features; those above a calibrated threshold are added too. The trees
-are trained here, on a bounded number of candidates (``train_rows``) taken in hash order from the whole table, once for
-values and addresses and once for digit groups: what the naming words and signs beside a value decide is the label, and
-exactly these features are withheld from the trees, so that they carry the decision over to candidates without such
-words. Other words around a candidate are features.
+added by explicit evidence, a naming word in front or both signs of an address in brackets, whatever the table around them.
+The others are scored by boosted trees, one model with a threshold of its own for each kind; those above it are added too.
+
+The trees are trained here, on a bounded number of candidates of each kind (``train_rows``) taken in hash order from the
+whole table. Explicit evidence is the label, so the trees see a candidate as if it weren't there: naming word, sign and
+quotes in front are cut out before any context is read, and an address is read with its signs replaced. So what the trees
+learn are the form of the values and the words and signs around, and they carry these over to values without a name. Form
+comes first: the later trees, with smaller steps, are those on the context. Since values without explicit evidence may be
+personal too, they are taken as unlabelled, not as negative: the threshold is half the mean score of held-out named values.
 
 A value behind a naming word is proposed whatever its length and signs. The exception is a word of letters alone that
 follows a blank and is itself followed by another word ("password: must be long"): that is prose, not evidence.
@@ -35,7 +38,10 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Looser generators.
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?[(\[]?\s?at\s?[)\]]\s?[A-Za-z0-9-]{2,63}(?:\s?[(\[]\s?dot\s?[)\]]\s?[A-Za-z0-9-]{2,63})+")
+AT = re.compile(r"\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s", re.I)
+DOT = r"(?:\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s|\.)"
+SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)+", re.I)
+SPELLED_DOT = re.compile(r"\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s", re.I)
 LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])")
 GROUPS = re.compile(r"(?<![A-Za-z0-9])\(?[0-9]++(?:[\x20()./-]{1,3}+[0-9]++)+")
 DIGITS = re.compile(r"[0-9]+")
@@ -139,6 +145,20 @@ def digit_groups(text: str) -> Iterator[Span]:
                 yield "number", start, run[-1][1]
 
 
+def contacts(text: str) -> Iterator[Span]:
+    """Addresses with a spelled-out 'at', in brackets or not, and a domain with dots or spelled-out ones. Found from each 'at',
+    so that the work is linear in the text."""
+    after = 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > after and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
+            start -= 1
+        found = SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if found and (m[0].strip()[0] in "([{<" or SPELLED_DOT.search(found[0])):
+            after = found.end()
+            yield "contact", start, found.end()
+
+
 def loose_spans(text: str) -> list[Span]:
     """Candidates beyond the base formats; they may overlap each other. Work is linear in the text."""
     found: list[Span] = [("secret", m.start(), m.end()) for m in LONG_TOKEN.finditer(text) if DIGITS.search(m[0])]
@@ -146,61 +166,72 @@ def loose_spans(text: str) -> list[Span]:
         known = set(found)
         found += [s for s in named_values(text) if s not in known]
     found += digit_groups(text)
-    if "at" in text:
-        found += [("contact", m.start(), m.end()) for m in SPELLED.finditer(text)] if re.search(r"[(\[]\s?at\s?[)\]]", text) else []
+    found += contacts(text)
     return found
 
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "distinct", "entropy", "switches", "longest_letters", "hex", "vowels", "pair_at", "edge_before", "edge_after", "groups", "last_group", "private_words", "public_words")
+#: Of the features, so many at the front are of a value's form, the others of its context.
+FORM = 13
+FEATURES = ("length", "digits", "upper", "lower", "other", "distinct", "entropy", "switches", "longest_letters", "hex", "vowels", "groups", "last_group", "private_words", "public_words", "letters_around", "digits_around", "upper_around", "code_signs_around", "word_before", "word_after", "line_start", "line_end")
 
 
-def features(text: str, span: Span) -> list[float]:
-    """Format and context of a candidate. What decides the training labels (the naming words and their sign in front) is left
-    out: signs and quotes at the edges count as white space, and naming words don't count as words around it."""
+def plain_form(text: str, span: Span) -> tuple[str, str, str]:
+    """What stands before a candidate, the candidate and what stands behind it, without the explicit evidence: the naming word
+    with its sign and quotes is cut out, and an address has '@' and '.' for its signs."""
     kind, start, end = span
-    s = text[start:end]
+    before = text[max(0, start - 120) : start]
+    cut = (NUMBERED if kind == "number" else NAMED).sub("", before)
+    value = text[start:end]
+    if kind == "contact":
+        value = SPELLED_DOT.sub(".", AT.sub("@", value, count=1))
+    return cut.rstrip("\"'")[-40:], value, text[end : end + 41].lstrip("\"'")[:40]
+
+
+def features(text: str, span: Span) -> list[float]:
+    """Format and context of a candidate in its plain form."""
+    before, s, behind = plain_form(text, span)
     n = max(1, len(s))
-    counts = np.unique(np.frombuffer(s.encode("utf-32-le"), "<u4"), return_counts=True)[1] / n
+    counts = np.unique(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1] / n
     kinds = ["d" if c.isdigit() else "a" if c.isalpha() else "-" for c in s]
-    before = text[max(0, start - 40) : start]
-    around = (NUMBERED if kind == "number" else NAMED).sub("", before) + " " + text[end : end + 40]
-    groups = DIGITS.findall(s) if kind == "number" else []
+    around = before + " " + behind
+    groups = DIGITS.findall(s) if span[0] != "secret" else []
     run = longest = 0
     for c in kinds:
         run = run + 1 if c == "a" else 0
         longest = max(longest, run)
+    words_before, words_behind = before.split(), behind.split()
+    m = len(around)
     return [
-        float(len(s)), sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, sum(c.islower() for c in s) / n, kinds.count("-") / n,
+        float(len(s)), kinds.count("d") / n, sum(c.isupper() for c in s) / n, sum(c.islower() for c in s) / n, kinds.count("-") / n,
         len(counts) / n, float(-(counts * np.log2(counts)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, longest / n,
-        sum(c in "0123456789abcdefABCDEF" for c in s) / n, sum(c in "aeiouAEIOU" for c in s) / n, float(kind == "contact"),
-        float(start == 0 or open_edge(text[start - 1])), float(end == len(text) or open_edge(text[end])),
+        sum(c in "0123456789abcdefABCDEF" for c in s) / n, sum(c in "aeiouAEIOU" for c in s) / n,
         float(len(groups)), float(len(groups[-1])) if groups else 0.0, float(len(PRIVATE.findall(around))), float(len(PUBLIC.findall(around))),
+        sum(c.isalpha() for c in around) / m, sum(c.isdigit() for c in around) / m, sum(c.isupper() for c in around) / m, sum(c in "{}()[];<>\\/_#$&|" for c in around) / m,
+        float(len(words_before[-1])) if words_before else 0.0, float(len(words_behind[0])) if words_behind else 0.0,
+        float(not before.strip(" \t") or before.rstrip(" \t")[-1] == "\n"), float(not behind.strip(" \t") or behind.lstrip(" \t")[0] == "\n"),
     ]
 
 
-def open_edge(sign: str) -> bool:
-    return sign.isspace() or sign in "\"':="
-
-
 @dataclass
 class Trees:
     """Gradient boosting on logistic loss with trees of depth two over quantile bins; ``threshold`` is on the probability.
-    ``numbers`` is the model for digit groups."""
+    ``numbers`` and ``contacts`` are the models for digit groups and addresses, with thresholds of their own."""
 
     base: float = 0.0
     trees: list[tuple] = field(default_factory=list)
     threshold: float = 1.0
     numbers: Trees | None = None
+    contacts: Trees | None = None
 
     def accepts(self, text: str, span: Span) -> float | None:
         """The probability of a candidate that reaches the threshold of its kind's trees."""
-        model = self.numbers if span[0] == "number" else self
+        model = {"number": self.numbers, "contact": self.contacts}.get(span[0], self)
         if model is None or model.threshold > 1 or (p := model.score(features(text, span))) < model.threshold:
             return None
         return p
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, least: int = 5) -> Trees:
+    def fit(x: np.ndarray, y: np.ndarray, form_rounds: int = 30, context_rounds: int = 10, form_rate: float = 0.3, context_rate: float = 0.1, least: int = 5) -> Trees:
         model = Trees(base=float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
         at = np.full(len(y), model.base)
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.05, 0.95, 19))) for j in range(x.shape[1])]
@@ -208,8 +239,8 @@ class Trees:
         def split(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float] | None:
             best, kept = 1e-6, None
             whole = g[rows].sum() ** 2 / (h[rows].sum() + 1)
-            for j, values in enumerate(cuts):
-                for cut in values:
+            for j in columns:
+                for cut in cuts[j]:
                     left = rows[x[rows, j] <= cut]
                     if least <= len(left) <= len(rows) - least:
                         gl, hl = g[left].sum(), h[left].sum()
@@ -226,11 +257,12 @@ class Trees:
             low = x[rows, j] <= cut
             return j, cut, grow(rows[low], g, h, depth - 1), grow(rows[~low], g, h, depth - 1)
 
-        for _ in range(rounds):
+        form, context = range(FORM), range(FORM, x.shape[1])
+        for columns, rate in [(form, form_rate)] * form_rounds + [(context, context_rate)] * context_rounds:
             p = 1 / (1 + np.exp(-at))
             g, h = y - p, p * (1 - p)
             if np.abs(g).max() < 0.01:
-                break
+                continue
             tree = grow(np.arange(len(y)), g, h, 2)
             model.trees.append(tree)
             at += np.array([walk(tree, r) for r in x])
@@ -248,19 +280,25 @@ def walk(tree, row) -> float:
 
 def candidate_label(text: str, span: Span) -> int:
     """Explicit evidence, which decides by itself and is the training label: whether words in front name the value as a secret
-    or number, or the spelled-out address has both signs."""
-    if span[0] == "number":
-        return int(bool(NUMBERED.search(text[max(0, span[1] - 40) : span[1]])))
-    return int(span[0] == "contact" or bool(NAMED.search(text[max(0, span[1] - 24) : span[1]])))
+    or number, or the spelled-out address has both signs in brackets."""
+    kind, start, end = span
+    if kind == "contact":
+        signs = [AT.search(text, start, end)[0], *SPELLED_DOT.findall(text, start, end)]
+        return int(len(signs) > 1 and all(x.strip()[0] in "([{<" for x in signs))
+    return int(bool((NUMBERED if kind == "number" else NAMED).search(text[max(0, start - 40) : start])))
+
+
+MODELS = ("secret", "number", "contact")
 
 
-def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, precision: float = 0.995) -> Trees:
-    """Trees on at most train_rows candidates, and as many digit groups for theirs: for each label and each of train_rows / 2
-    hash slots, the candidate with the smallest hash of all rows. Tasks send one candidate a slot at most. Named values
-    that no format proposes (short ones, those without digits) have no unnamed counterparts and are not trained on.
+def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, least_score: float = 0.25) -> Trees:
+    """Trees on at most train_rows candidates of each kind: for each label and each of train_rows / 2 hash slots, the candidate
+    with the smallest hash of all rows. Tasks send one candidate a slot at most. Named values that no format proposes
+    (short ones, those without digits) have no unnamed counterparts and are not trained on.
 
-    The threshold is the least one that reaches ``precision`` on a fifth of them that is held out. With fewer than 20
-    candidates of either label there are no trees (threshold above 1), and explicit evidence alone adds spans.
+    The threshold of each kind is half the mean score of the named ones in a fifth of its candidates that is held out, and at least
+    ``least_score``: where named values are a share c of all personal ones, the scores are c times the probability. With
+    fewer than 20 candidates of either label there are no trees (threshold above 1), and explicit evidence alone adds spans.
     """
     half = train_rows // 2
 
@@ -273,22 +311,22 @@ def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, preci
                         continue
                     around = f"{span[0]} {t[max(0, span[1] - 30) : span[2] + 30]}".encode("utf-8", "surrogatepass")
                     key = int.from_bytes(hashlib.blake2b(around, digest_size=7).digest(), "big")
-                    at = int(span[0] == "number"), candidate_label(t, span), key % half
+                    at = MODELS.index(span[0]), candidate_label(t, span), key % half
                     if at not in kept or key < kept[at][0]:
                         kept[at] = key, features(t, span)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in kept], pa.int32()), pa.array([k[1] for k in kept], pa.int32()), pa.array([k[2] for k in kept], pa.int64()), pa.array([v[0] for v in kept.values()], pa.int64()), pa.array([v[1] for v in kept.values()], pa.list_(pa.float64()))],
-            names=["number", "label", "slot", "key", "x"],
+            names=["model", "label", "slot", "key", "x"],
         )
 
-    found = in_batches(docs.select(F.col(text).cast("string").alias("t")), gather, "number int, label int, slot long, key long, x array<double>")
-    rows = found.groupBy("number", "label", "slot").agg(F.min("key").alias("key"), F.min_by("x", "key").alias("x")).orderBy("number", "label", "slot").collect()  # twice train_rows at most
-    model = calibrated([r for r in rows if not r.number], precision)
-    model.numbers = calibrated([r for r in rows if r.number], precision)
+    found = in_batches(docs.select(F.col(text).cast("string").alias("t")), gather, "model int, label int, slot long, key long, x array<double>")
+    rows = found.groupBy("model", "label", "slot").agg(F.min("key").alias("key"), F.min_by("x", "key").alias("x")).orderBy("model", "label", "slot").collect()  # three times train_rows at most
+    model, numbers, addresses = (calibrated([r for r in rows if r.model == k], least_score) for k in range(len(MODELS)))
+    model.numbers, model.contacts = numbers, addresses
     return model
 
 
-def calibrated(rows: list, precision: float) -> Trees:
+def calibrated(rows: list, least_score: float) -> Trees:
     """Trees on four fifths of rows (label, key, x), with the threshold from the others."""
     y = np.array([r.label for r in rows], float)
     if y.sum() < 20 or len(y) - y.sum() < 20:
@@ -296,12 +334,8 @@ def calibrated(rows: list, precision: float) -> Trees:
     x = np.array([r.x for r in rows], float)
     held = np.array([r.key % 5 == 0 for r in rows])
     model = Trees.fit(x[~held], y[~held])
-    scored = sorted(((model.score(r), t) for r, t in zip(x[held].tolist(), y[held], strict=True)), reverse=True)
-    right, model.threshold = 0.0, 2.0
-    for k, (p, t) in enumerate(scored, 1):
-        right += t
-        if right / k >= precision and (k == len(scored) or scored[k][0] < p):
-            model.threshold = max(p, 0.5)
+    named = [model.score(r) for r in x[held & (y == 1)].tolist()]
+    model.threshold = max(least_score, float(np.mean(named)) / 2) if named else 0.5
     return model
 
 

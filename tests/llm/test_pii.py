@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quoin.llm.pii import Trees, all_spans, base_spans, find_pii, fit_trees, loose_spans, luhn, op10_pii, redact, redacted
+from quoin.llm.pii import Trees, all_spans, base_spans, candidate_label, contacts, features, find_pii, fit_trees, loose_spans, luhn, op10_pii, redact, redacted
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -111,3 +111,29 @@ def test_trees_carry_named_numbers_over(spark):
     assert model.threshold > 1 and model.numbers.threshold <= 1
     assert all_spans("it was 987-65-4321 there", model) == [("number", 7, 18)]
     assert all_spans("in the years 1998-1999 and", model) == []
+
+
+def test_explicit_evidence_is_no_feature():
+    key = "24be64439e3e49cf46b2"
+    for named, bare in [(f"it is token={key} now", f"it is {key} now"), (f'it is password: "{key}" now', f"it is {key} now"), ("my ssn 123-45-6789 is", "my 123-45-6789 is"), ("write jane (at) example [dot] org today", "write jane at example dot org today")]:
+        spans = [loose_spans(t)[0] for t in (named, bare)]
+        assert [candidate_label(t, s) for t, s in zip((named, bare), spans, strict=True)] == [1, 0]
+        assert features(named, spans[0]) == features(bare, spans[1])
+
+
+def test_addresses_of_any_length_with_and_without_brackets():
+    for text, want in [("jane at example dot org", [0, 23]), ("x" * 300 + " (at) example (dot) org", [0, 323]), ("j.d{at}a.b.c", [0, 12]), ("look at example.com", None), ("at (at) at", None)]:
+        assert [list(s[1:]) for s in contacts(text)] == ([want] if want else []), text
+    for text in ("a at " * 100_000, "a(at)" * 100_000, "a" * 400_000 + " at " + "b dot " * 90_000):
+        contacts(text) and list(contacts(text))
+
+
+def test_each_kind_has_its_own_threshold(spark):
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"token={key(24)} and {rnd.randrange(10**17, 10**18)} then ssn {rnd.randrange(100, 999)}-{rnd.randrange(10, 99)}-{rnd.randrange(1000, 9999)} in {rnd.randrange(1000, 9999)}-{rnd.randrange(1000, 9999)} by jane{i} (at) mail{i} (dot) org or meet at {key(3)}x dot") for i in range(300)]
+    rows += [(i + 1000, f"we met at place{i} dot {key(4)}") for i in range(300)]
+    model = fit_trees(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.threshold <= 1 and model.numbers.threshold <= 1 and model.contacts.threshold <= 1
+    found = all_spans(f"bare {key(24)}, mail jack7 at host4 dot org, no. 123-45-6789 of 1990-1991", model)
+    assert [s[0] for s in found] == ["secret", "contact", "number"]
