@@ -1,15 +1,17 @@
 """URL filters as a sort-merge range join.
 
 A host is turned round label by label, so that a rule for a host and all its subdomains is one interval of the
-sorted keys. Each task sorts its own urls by (key, path) and sweeps them once against the sorted rules. A stack holds
-the rules whose host interval is open; below it, a second stack holds those whose path prefix is open. Nothing is
-shuffled. The rules are broadcast when they are at most ``max_broadcast_rules``; a longer list is joined by shuffling on
-(host suffix) instead, which gives the same rows.
+sorted keys. Each partition sorts its urls by (key, path) and sweeps them once against the sorted rules. A stack holds
+the rules whose host interval is open; below it, a second stack holds those whose path prefix is open.
+
+Rules that are at most ``max_broadcast_rules`` are broadcast, and nothing is shuffled. A longer list is dealt by ranges of
+keys instead: a rule goes to every range that its interval meets (beyond its own, only rules above a range's first key do),
+urls go to the range of their key, ranges with many urls are dealt over several tasks, and the same sweep merges both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,44 +40,52 @@ def host_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
-def _sweep(rows: list[tuple[str, str, int]], rules: list[tuple[str, str, int]]) -> Iterator[tuple[int, int]]:
-    """rows: sorted (key, path, position). rules: sorted (key, path, number). Yields (position, number or -1).
+def key_of(host: Column) -> Column:
+    """host_key as an expression."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
-    Of the rules that fit, the longest (host and path together) wins; on a tie the one with the longer host.
-    """
-    open_hosts: list[tuple[str, list[tuple[str, str, int]]]] = []
-    next_rule, key_now = 0, None
-    by_path: list[tuple[str, str, int]] = []
-    open_paths: list[tuple[str, tuple[int, int, int]]] = []
-    next_path = 0
-    for key, path, at in rows:
-        if key != key_now:
-            while next_rule < len(rules) and rules[next_rule][0] <= key:
-                rule_key = rules[next_rule][0]
-                while open_hosts and not rule_key.startswith(open_hosts[-1][0]):
-                    open_hosts.pop()
-                if open_hosts and open_hosts[-1][0] == rule_key:
-                    open_hosts[-1][1].append(rules[next_rule])
-                else:
-                    open_hosts.append((rule_key, [rules[next_rule]]))
-                next_rule += 1
-            while open_hosts and not key.startswith(open_hosts[-1][0]):
-                open_hosts.pop()
-            by_path = sorted((r for _, held in open_hosts for r in held), key=lambda r: r[1])
-            key_now, open_paths, next_path = key, [], 0
-        while next_path < len(by_path) and by_path[next_path][1] <= path:
-            k, p, number = by_path[next_path]
-            while open_paths and not p.startswith(open_paths[-1][0]):
-                open_paths.pop()
-            rank = (len(k) - 1 + len(p), len(k), number)
-            open_paths.append((p, max(rank, open_paths[-1][1]) if open_paths else rank))
-            next_path += 1
-        while open_paths and not path.startswith(open_paths[-1][0]):
-            open_paths.pop()
-        yield at, open_paths[-1][1][2] if open_paths else -1
-
-
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_broadcast_rules: int = 200_000) -> DataFrame:
+
+Rule = tuple[str, str, str, str]  # key, path, name, action
+
+
+class Sweep:
+    """Rules are opened and urls judged in one common order of keys, a key's rules before its urls; urls of one key in the order of
+    their paths. Of the rules that fit, the longest (host and path together) wins; on a tie the one with the longer host."""
+
+    def __init__(self):
+        self.hosts: list[tuple[str, list[Rule]]] = []
+        self.key: str | None = None
+
+    def open(self, rule: Rule) -> None:
+        self.close(rule[0])
+        if self.hosts and self.hosts[-1][0] == rule[0]:
+            self.hosts[-1][1].append(rule)
+        else:
+            self.hosts.append((rule[0], [rule]))
+        self.key = None
+
+    def close(self, key: str) -> None:
+        while self.hosts and not key.startswith(self.hosts[-1][0]):
+            self.hosts.pop()
+
+    def judge(self, key: str, path: str) -> Rule | None:
+        if key != self.key:
+            self.close(key)
+            self.by_path = sorted((r for _, held in self.hosts for r in held), key=lambda r: r[1])
+            self.key, self.paths, self.next = key, [], 0
+        while self.next < len(self.by_path) and self.by_path[self.next][1] <= path:
+            rule = self.by_path[self.next]
+            while self.paths and not rule[1].startswith(self.paths[-1][0]):
+                self.paths.pop()
+            rank = (len(rule[0]) - 1 + len(rule[1]), len(rule[0]), rule)
+            self.paths.append((rule[1], max(rank, self.paths[-1][1]) if self.paths else rank))
+            self.next += 1
+        while self.paths and not path.startswith(self.paths[-1][0]):
+            self.paths.pop()
+        return self.paths[-1][1][2] if self.paths else None
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_broadcast_rules: int = 100_000, task_urls: int = 1_000_000) -> DataFrame:
     """Judge every row's url: adds host, path, rule (like 'net/', or null) and verdict, replacing columns so named.
 
     rules has host, path and action ('allow' or 'block'); rules with a null in them are left out, and of equal rules the
@@ -83,44 +93,94 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     empty host and path and fit no rule. Rows that are equal stay separate rows; an empty table gives an empty table.
     """
     clean = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "action").dropna().groupBy("host", "path").agg(F.max("action").alias("action"))
+    clean = clean.select(key_of(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("name"), "action")
     made = ["host", "path", "rule", "verdict"]
     kept = [c for c in pages.columns if c.lower() not in made]
     source = F.col(url) if url in kept else pages[url]
-    parsed = pages.select(*kept, url_host(source).alias("host"), url_path(source).alias("path"))
+    parsed = pages.select(F.struct(*kept).alias("row"), url_host(source).alias("host"), url_path(source).alias("path"))
+    parsed = parsed.withColumn("key", key_of(F.col("host")))
     taken = clean.limit(max_broadcast_rules + 1).collect()
-    if len(taken) > max_broadcast_rules:
-        return _by_suffix(parsed, clean, default)
-    listed = sorted((host_key(r.host), r.path, r.host + r.path, r.action) for r in taken)
-    shared = pages.sparkSession.sparkContext.broadcast(listed)
-    schema = T.StructType([*parsed.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+    judged = _by_broadcast(parsed, [tuple(r) for r in taken], default) if len(taken) <= max_broadcast_rules else _by_ranges(parsed, clean, default, max_broadcast_rules, task_urls)
+    return judged.select("row.*", "host", "path", "rule", "verdict")
+
+
+def _verdicts(batch: pa.RecordBatch, found: list[Rule | None], default: str) -> pa.RecordBatch:
+    rule, verdict = pa.array([r and r[2] for r in found], pa.string()), pa.array([r[3] if r else default for r in found], pa.string())
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "host", "path")), rule, verdict], names=["row", "host", "path", "rule", "verdict"])
+
+
+def _judged(parsed: DataFrame) -> T.StructType:
+    text = [T.StructField(c, T.StringType()) for c in ("rule", "verdict")]
+    return T.StructType([*(parsed.schema[c] for c in ("row", "host", "path")), *text])
+
+
+def _by_broadcast(parsed: DataFrame, rules: list[Rule], default: str) -> DataFrame:
+    shared = parsed.sparkSession.sparkContext.broadcast(sorted(rules))
 
     def judge(batches):
-        rules_here = shared.value
-        keyed = [(r[0], r[1], i) for i, r in enumerate(rules_here)]
+        rules_here, sweep, ahead = shared.value, Sweep(), 0
         for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            rows = sorted(zip(map(host_key, hosts), paths, range(len(hosts)), strict=True))
-            found = [-1] * len(rows)
-            for at, number in _sweep(rows, keyed):
-                found[at] = number
-            rule = pa.array([rules_here[i][2] if i >= 0 else None for i in found], pa.string())
-            verdict = pa.array([rules_here[i][3] if i >= 0 else default for i in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*batch.schema.names, "rule", "verdict"])
+            found = []
+            for key, path in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                while ahead < len(rules_here) and rules_here[ahead][0] <= key:
+                    sweep.open(rules_here[ahead])
+                    ahead += 1
+                found.append(sweep.judge(key, path))
+            yield _verdicts(batch, found, default)
 
-    return in_batches(parsed, judge, schema)
+    return in_batches(parsed.sortWithinPartitions("key", "path"), judge, _judged(parsed))
 
 
-def _by_suffix(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same verdicts for rules too many to broadcast: each distinct (host, path) meets the rules of its host's suffixes.
+def _by_ranges(parsed: DataFrame, rules: DataFrame, default: str, range_rules: int, task_urls: int) -> DataFrame:
+    """The same for rules too many to broadcast. The driver holds one key in range_rules and the ranges' numbers of urls."""
 
-    The rules are collected by host into sorted lists; urls are made distinct first, so a hot host costs its distinct paths.
-    """
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = parsed.select("host", "path").distinct()
-    met = asked.select("host", "path", F.explode(suffixes).alias("suffix")).join(rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "action"), "suffix").filter(F.col("path").startswith(F.col("prefix")))
-    best = met.groupBy("host", "path").agg(F.max(F.struct((F.length("suffix") + F.length("prefix")).alias("n"), F.length("suffix").alias("m"), F.concat("suffix", "prefix").alias("rule"), "action")).alias("b"))
-    return parsed.join(best, ["host", "path"], "left").select(*parsed.columns, F.col("b.rule").alias("rule"), F.coalesce("b.action", F.lit(default)).alias("verdict"))
+    def marks(batches):
+        seen = 0
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            some = [k for i, k in enumerate(keys, seen) if i % range_rules == 0]
+            seen += len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["key"])
+
+    bounds = sorted({r.key for r in in_batches(rules.select("key").orderBy("key"), marks, "key string").collect()})
+
+    def number(df: DataFrame, low: str, high: str, kind: str) -> DataFrame:
+        """A row for each range that [low, high] meets."""
+
+        def make(batches):
+            for batch in batches:
+                lows, highs = batch.column(low).to_pylist(), batch.column(high).to_pylist()
+                spans = [range(bisect_right(bounds, a), bisect_right(bounds, b) + 1) for a, b in zip(lows, highs, strict=True)]
+                rows = batch.take(pa.array([i for i, x in enumerate(spans) for _ in x], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([k for x in spans for k in x], pa.int32())], names=[*rows.schema.names, kind])
+
+        return in_batches(df, make, T.StructType([*df.schema.fields, T.StructField(kind, T.IntegerType())]))
+
+    urls = number(parsed, "key", "key", "range")
+    tasks = F.ceil(F.col("count") / task_urls).cast("long").alias("tasks")
+    sizes = urls.groupBy("range").count().select("range", tasks)
+    urls = urls.join(F.broadcast(sizes), "range").select("range", F.pmod(F.xxhash64("host", "path", F.monotonically_increasing_id()), "tasks").alias("task"), "key", F.lit(1).alias("kind"), "path", "row", "host")
+    dealt = number(rules.withColumn("last", F.concat("key", F.lit("\U0010ffff"))), "key", "last", "range").join(F.broadcast(sizes), "range")
+    dealt = dealt.select("range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "key", F.lit(0).alias("kind"), "path", F.lit(None).cast(parsed.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("host"), "name", "action")
+    both = urls.withColumns({"name": F.lit(None).cast("string"), "action": F.lit(None).cast("string")}).unionByName(dealt)
+
+    def judge(batches):
+        sweep, part = Sweep(), None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("range", "task", "kind", "key", "path", "name", "action")]
+            at, found = [], []
+            for i, (span, task, kind, *rule) in enumerate(zip(*columns, strict=True)):
+                if part != (span, task):
+                    sweep, part = Sweep(), (span, task)
+                if kind:
+                    at.append(i)
+                    found.append(sweep.judge(rule[0], rule[1]))
+                else:
+                    sweep.open(tuple(rule))
+            yield _verdicts(batch.take(pa.array(at, pa.int64())), found, default)
+
+    parts = both.repartition("range", "task").sortWithinPartitions("range", "task", "key", "kind", "path")
+    return in_batches(parts, judge, _judged(parsed))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

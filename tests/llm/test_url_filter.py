@@ -29,8 +29,9 @@ def test_urls_against_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "other") for i, u in enumerate(urls)], "page_id long, url string, Rule string").repartition(3)
     frame = spark.createDataFrame(rules, RULE_SCHEMA)
     want = {i: brute(u, rules) for i, u in enumerate(urls)}
-    for limit in (1000, 3):
-        got = filter_urls(pages, frame, max_broadcast_rules=limit)
+    for limit, many in ((1000, 9), (20, 1000), (3, 9), (1, 1)):
+        got = filter_urls(pages, frame, max_broadcast_rules=limit, task_urls=many)
+        assert got.count() == len(urls)
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == want
 
 
