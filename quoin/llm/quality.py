@@ -1,14 +1,17 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes a sparse vector of hashed pairs and triples of character classes, and of levels of repetition and shape. A
-truncated singular value decomposition of a bounded labelled sample gives the latent space; its vectors and labels are
-broadcast (their number is a parameter). For every document the exact cosines with all of them are computed in blocks,
-and the nearest vote with their labels, weighted by similarity.
+A text becomes a sparse vector of hashed terms (its words), of pairs and hashed triples of character classes, and of levels of
+repetition and shape, weighted by how few of the sample have each. A truncated singular value decomposition of a bounded
+labelled sample gives the latent space; its vectors and labels are broadcast (their number is a parameter). For every
+document the exact cosines with all of them are computed in blocks, and the nearest vote with their labels, weighted
+by similarity.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,8 @@ N_CLASSES = 39
 TRIPLES = 1024
 LEVELS = 16
 SHAPES = ("distinct_words", "distinct_lines", "repeats", "upper", "signs", "digits", "word_length", "line_length", "length", "title")
-WIDTH = N_CLASSES**2 + TRIPLES + LEVELS * len(SHAPES)
+TERMS, TERM_SHARE = 2048, 0.5
+WIDTH = N_CLASSES**2 + TRIPLES + LEVELS * len(SHAPES) + TERMS
 
 
 def _level(value: float) -> int:
@@ -66,6 +70,12 @@ def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     first = N_CLASSES**2 + TRIPLES
     at.append(np.array([first + LEVELS * k + _level(float(s)) for k, s in enumerate(shapes)]))
     values.append(np.full(len(shapes), 1 / np.sqrt(len(shapes))))
+    terms = Counter(text.lower().split())
+    if terms:
+        found = np.bincount([crc32(w.encode("utf-8", "surrogatepass")) % TERMS for w in terms], np.sqrt(list(terms.values())), TERMS)
+        where = np.flatnonzero(found)
+        at.append(where + WIDTH - TERMS)
+        values.append(TERM_SHARE * found[where] / np.linalg.norm(found))
     return np.concatenate(at), np.concatenate(values)
 
 
@@ -92,7 +102,10 @@ class Voters:
             return np.full(len(vectors), 0.5)
         cosines = vectors @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+        tied = cosines == least
+        tied &= np.cumsum(tied, axis=1) <= k - (cosines > least).sum(1, keepdims=True)
+        near = np.nonzero((cosines > least) | tied)[1].reshape(-1, k)
         weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-3).astype(float) ** self.power
         return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1)
 
@@ -111,7 +124,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, dimen
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
     found = in_batches(texts, vectors, "doc_id long, y int, at array<long>, v array<double>")
     # Repeated rows of a document count once, so that no more than train_rows reach the driver.
-    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("y", "at", "v"), F.size("at")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("y", "at", "v"), F.struct(F.size("at"), "at", "v")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     n = rows.num_rows
     if not n:
         return Voters(np.ones(WIDTH), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
@@ -120,13 +133,21 @@ def fit_voters(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, dimen
         matrix[i, at] = v
     weights = np.log((1 + n) / (1 + (matrix > 0).sum(0))) + 0.3
     matrix *= weights.astype(np.float32)
-    values, basis = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
-    basis = basis[:, np.argsort(-values)[: min(dimensions, n)]].astype(np.float32)
+    basis = leading(matrix, min(dimensions, n))
     latent = matrix @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     return Voters(weights, basis, latent, np.array(rows["y"].to_pylist(), float))
 
 
+def leading(matrix: np.ndarray, dimensions: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """The right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
+    start = np.random.default_rng(seed).standard_normal((matrix.shape[1], min(dimensions + 16, *matrix.shape)))
+    q = np.linalg.qr(start)[0].astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(matrix.T @ (matrix @ q))[0]
+    return (q @ np.linalg.svd(matrix @ q, full_matrices=False)[2].T)[:, :dimensions].astype(np.float32)
+
+
 def score_quality(docs: DataFrame, voters: Voters, text: str = "text", block: int = 512) -> DataFrame:
     """Adds quality (0 to 1, higher is better), replacing a column so named. A null text counts as empty and is scored like
     any other; equal rows stay separate rows."""
