@@ -38,16 +38,19 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Looser generators.
-AT = re.compile(r"\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s", re.I)
+AT = re.compile(r"(?:\s?[(\[{<]\s?|\s)(?P<at>at)(?:\s?[)\]}>]\s?|\s)", re.I)
+OPEN, CLOSED = "([{<", ")]}>"
+AT_WORD = re.compile(r"[\s(\[{<][aA][tT][\s)\]}>]")
 DOT = r"(?:\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s|\.)"
 SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)+", re.I)
 SPELLED_DOT = re.compile(r"\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s", re.I)
 LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])")
 GROUPS = re.compile(r"(?<![A-Za-z0-9])\(?[0-9]++(?:[\x20()./-]{1,3}+[0-9]++)+")
 DIGITS = re.compile(r"[0-9]+")
-NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s?[:=]{1,2}\s?[\"']?"
-NAMING = re.compile(NAMES)
-NAMED = re.compile(NAMES + "$")
+NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s?"
+NAME = re.compile(NAMES + "$")
+SIGN = re.compile(r"[:=]{1,2}\s?[\"']?")
+NAMED = re.compile(NAMES + SIGN.pattern + "$")
 QUOTED = re.compile(r"[^\"'\r\n]++(?=[\"'])")
 VALUE = re.compile(r"[^\s\"'<>,;&]++")
 PROSE = re.compile(r"[^\W\d_]++[.,;]?\s\s?[^\W\d_]")
@@ -120,8 +123,8 @@ def order(span: Span) -> tuple[int, int]:
 def named_values(text: str) -> Iterator[Span]:
     """Values behind naming words: to the closing quote if there is an opening one, else to the next white space or sign."""
     after = 0
-    for m in NAMING.finditer(text):
-        if m.start() < after:
+    for m in SIGN.finditer(text):
+        if m.start() < after or not NAME.search(text, max(after, m.start() - 14), m.start()):
             continue
         quote = text[m.end() - 1] in "\"'" and QUOTED.match(text, m.end())
         found = quote or VALUE.match(text, m.end())
@@ -145,16 +148,26 @@ def digit_groups(text: str) -> Iterator[Span]:
                 yield "number", start, run[-1][1]
 
 
+def bracketed(sign: str) -> bool:
+    sign = sign.strip()
+    return sign[0] in OPEN and sign[-1] in CLOSED
+
+
 def contacts(text: str) -> Iterator[Span]:
     """Addresses with a spelled-out 'at', in brackets or not, and a domain with dots or spelled-out ones. Found from each 'at',
     so that the work is linear in the text."""
     after = 0
-    for m in AT.finditer(text):
+    for word in AT_WORD.finditer(text):
+        at = word.start()
+        spaced = at - 1 if text[at] in "([{<" else at - 2  # of white space and a bracket in front, where they begin
+        m = next((m for k in range(max(0, spaced), at + 1) if (m := AT.match(text, k)) and m.start("at") == at + 1), None)
+        if not m:
+            continue
         start = m.start()
         while start > after and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
             start -= 1
         found = SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
-        if found and (m[0].strip()[0] in "([{<" or SPELLED_DOT.search(found[0])):
+        if found and (bracketed(m[0]) or SPELLED_DOT.search(found[0])):
             after = found.end()
             yield "contact", start, found.end()
 
@@ -284,7 +297,7 @@ def candidate_label(text: str, span: Span) -> int:
     kind, start, end = span
     if kind == "contact":
         signs = [AT.search(text, start, end)[0], *SPELLED_DOT.findall(text, start, end)]
-        return int(len(signs) > 1 and all(x.strip()[0] in "([{<" for x in signs))
+        return int(len(signs) > 1 and all(map(bracketed, signs)))
     return int(bool((NUMBERED if kind == "number" else NAMED).search(text[max(0, start - 40) : start])))
 
 
