@@ -15,14 +15,18 @@ FOLDED, INTO = "آأإٱىةؤئ", "ااااي" "هوي"
 WIDE_SPACES = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
 
 
+#: Signs that compatibility composition leaves alone, alone and beside each other.
+COMPOSED = "\\x00-\\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0621-\u063A\u0641-\u064A\u0660-\u0669\u06F0-\u06F9\u2013\u2014\u2018-\u201D"
+
+
 @pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition, which Spark has no function for; Arrow batches."""
-    return _nfkc(text)
+    """Compatibility composition, which Spark has no function for. Only texts with a sign that it may change go through Arrow."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text)
 
 
 def latin_digits(text: Column) -> Column:

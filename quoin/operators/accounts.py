@@ -79,7 +79,7 @@ def product_reviews(m: Market) -> DataFrame:
 
 def review_eligibility(m: Market) -> DataFrame:
     """Reviews with whether their writer has a realised order of the product; the newest of a user and product counts."""
-    bought = m.order_item.join(m.vendor_order.filter(F.col("status").isin(*rules.REALISED)).select("checkout_id", "vendor_id", "customer_id"), ["checkout_id", "vendor_id"]).select(F.col("customer_id").alias("user_id"), "product_id").distinct().withColumn("eligible", F.lit(True))
+    bought = m.order_item.join(m.checkout.filter(F.col("status").isin(*rules.REALISED)).select("checkout_id", "customer_id"), "checkout_id").select(F.col("customer_id").alias("user_id"), "product_id").distinct().withColumn("eligible", F.lit(True))
     newest = m.review.groupBy("user_id", "product_id").agg(F.max(F.struct("created_at", "id", "rating")).alias("r"))
     return newest.join(bought, ["user_id", "product_id"], "left").select("user_id", "product_id", F.col("r.id").alias("id"), F.col("r.rating").alias("rating"), F.coalesce("eligible", F.lit(False)).alias("eligible"))
 
@@ -126,6 +126,14 @@ def otp_refusals(codes: DataFrame) -> DataFrame:
     return rows.withColumn("refused", (F.col("short") >= 3) | (F.col("long") >= 8))
 
 
+def otp_limits(m: Market) -> DataFrame:
+    """The limit over the sign-up codes, as if every fourth user shared one phone and time ran a hundred times as fast, so that
+    both windows refuse some."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    fast = start + F.make_dt_interval(secs=(F.unix_seconds(F.col("created_at").cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))) / 100)
+    return otp_refusals(m.otp_code.select("id", (F.col("phone_key") % 4).alias("phone_key"), fast.alias("created_at")))
+
+
 def otp_state(m: Market, as_of: str = "2024-01-15 00:00:00", seconds: int = 300) -> DataFrame:
     """Each phone's newest code and whether it is still valid; earlier ones are void."""
     newest = m.otp_code.groupBy("phone_key").agg(F.max(F.struct("created_at", "id")).alias("c"), F.count("*").alias("codes"))

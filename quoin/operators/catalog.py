@@ -9,14 +9,14 @@ from quoin.functions import rules
 from quoin.sources.market import Market
 
 SORTS = {
-    "newest": [F.desc, "id"], "price_asc": [F.asc, "base_price"], "price_desc": [F.desc, "base_price"],
+    "newest": [F.desc, "id"], "price_asc": [F.asc, "base_price"], "price_desc": [F.desc, "base_price"], "rating": [F.desc, "rating_avg"],
 }
 
 
 def sold_counts(m: Market) -> DataFrame:
     """Units sold by product, from realised orders."""
-    done = m.vendor_order.filter(F.col("status").isin(*rules.REALISED)).select("checkout_id", "vendor_id")
-    return m.order_item.select("checkout_id", "vendor_id", "product_id", "quantity").join(done, ["checkout_id", "vendor_id"]).groupBy("product_id").agg(F.sum("quantity").alias("sold_count"))
+    done = m.checkout.filter(F.col("status").isin(*rules.REALISED)).select("checkout_id")
+    return m.order_item.select("checkout_id", "product_id", "quantity").join(done, "checkout_id").groupBy("product_id").agg(F.sum("quantity").alias("sold_count"))
 
 
 def listed(m: Market) -> DataFrame:
@@ -66,6 +66,20 @@ def page(rows: DataFrame, sort: str = "newest", limit: int = 20, after: tuple |
     return rows.orderBy(way(key), F.asc("id")).limit(limit)
 
 
+def rated(m: Market, rows: DataFrame) -> DataFrame:
+    """Product rows with rating_avg and rating_count, zero where no review is published."""
+    found = product_ratings(m).select(F.col("product_id").alias("id"), "rating_avg", "rating_count")
+    return rows.join(found, "id", "left").withColumns({"rating_avg": F.coalesce(F.col("rating_avg").cast("double"), F.lit(0.0)), "rating_count": F.coalesce("rating_count", F.lit(0))})
+
+
+def page_ahead(rows: DataFrame, sort: str = "newest", limit: int = 20, after: tuple | None = None) -> DataFrame:
+    """A page with has_next: one row more is looked for, and not returned."""
+    way, key = SORTS.get(sort, SORTS["newest"])
+    place = Window.orderBy(way(key), F.asc("id"))  # over one row more than a page
+    seen = page(rows, sort, limit + 1, after).withColumn("place", F.row_number().over(place)).withColumn("has_next", F.max("place").over(Window.partitionBy(F.lit(1))) > limit)
+    return seen.filter(F.col("place") <= limit)
+
+
 def suggest(m: Market, phrase: str = "al", limit: int = 6) -> DataFrame:
     """The best sold listed products whose normalised title holds the phrase."""
     sold = F.coalesce("sold_count", F.lit(0)).alias("sold_count")

@@ -30,6 +30,16 @@ def status_counts(m: Market) -> DataFrame:
     return of("vendor", m.vendor).unionByName(of("product", m.product)).unionByName(of("order", m.vendor_order))
 
 
+def vendor_status_map(m: Market) -> DataFrame:
+    """Each vendor's orders and products by status, as status:count in the order of the statuses' names."""
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        counts = rows.groupBy("vendor_id", "status").agg(F.count("*").alias("n")).groupBy("vendor_id").agg(F.sort_array(F.collect_list(F.struct("status", "n"))).alias("c"))
+        return counts.select(F.col("vendor_id").alias("id"), F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["status"], x["n"].cast("string"))), ",").alias(name))
+
+    rows = m.vendor.select("id").join(of(m.vendor_order, "orders"), "id", "left").join(of(m.product, "products"), "id", "left")
+    return rows.select("id", F.coalesce("orders", F.lit("")).alias("orders"), F.coalesce("products", F.lit("")).alias("products"))
+
+
 def gmv_summary(m: Market) -> DataFrame:
     done = m.commission.filter(F.col("status").isin(*rules.REALISED))
     return done.agg(F.coalesce(F.sum(F.col("subtotal") + F.col("delivery_fee")), F.lit(0)).cast("double").alias("gmv"), F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("commission_revenue"), F.count("*").alias("realized_orders"))
@@ -64,10 +74,11 @@ def admin_orders(m: Market, limit: int = 50) -> DataFrame:
 
 
 def order_detail(m: Market) -> DataFrame:
-    """Every order with its items as product:quantity in order."""
-    items = m.order_item.groupBy("checkout_id", "vendor_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "quantity", "line_total"))).alias("i"), F.sum("quantity").alias("units"))
+    """Every order with its items as product:quantity in order. Lines are grouped once."""
+    of = F.struct("product_id", "quantity", "line_total")
+    items = m.order_item.groupBy("checkout_id", "vendor_id").agg(F.sort_array(F.collect_list(of)).alias("i"), F.sum("quantity").alias("units"), F.sum("line_total").alias("subtotal"))
     lines = F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["product_id"].cast("string"), x["quantity"].cast("string"))), ",")
-    return m.vendor_order.join(items, ["checkout_id", "vendor_id"]).select("checkout_id", "vendor_id", "customer_id", "status", "units", lines.alias("items"), F.col("subtotal").cast("double").alias("subtotal"))
+    return items.join(m.checkout, "checkout_id").select("checkout_id", "vendor_id", "customer_id", "status", "units", lines.alias("items"), F.col("subtotal").cast("double").alias("subtotal"))
 
 
 def checkout_split(m: Market) -> DataFrame:
@@ -89,8 +100,8 @@ NEXT = {"PENDING": "CANCELLED", "SHIPPED": "DELIVERED", "DELIVERED": "RETURNED"}
 def stock_effects(m: Market) -> DataFrame:
     """Changes by variant if every pending order is cancelled, every shipped one delivered and every delivered one returned."""
     target = F.create_map(*[F.lit(x) for kv in NEXT.items() for x in kv])[F.col("status")]
-    moves = m.vendor_order.filter(F.col("status").isin(*NEXT)).select("checkout_id", "vendor_id", "status", target.alias("target"))
-    rows = m.order_item.join(moves, ["checkout_id", "vendor_id"])
+    moves = m.checkout.filter(F.col("status").isin(*NEXT)).select("checkout_id", "status", target.alias("target"))
+    rows = m.order_item.join(moves, "checkout_id")
     change = lambda k: F.sum(F.col("quantity") * rules.stock_delta(F.col("status"), F.col("target"), k))
     return rows.groupBy("variant_id").agg(change(0).alias("stock"), change(1).alias("reserved"), change(2).alias("sold"))
 
@@ -138,8 +149,8 @@ def reservation_expiry(m: Market) -> DataFrame:
 
 def expired_release(m: Market) -> DataFrame:
     """Units that come free by variant when lapsed orders are cancelled."""
-    gone = expired(m.vendor_order, AS_OF).select("checkout_id", "vendor_id")
-    return m.order_item.join(gone, ["checkout_id", "vendor_id"]).groupBy("variant_id").agg(F.sum("quantity").alias("released"), F.count("*").alias("lines"))
+    gone = expired(m.checkout, AS_OF).select("checkout_id")
+    return m.order_item.join(gone, "checkout_id").groupBy("variant_id").agg(F.sum("quantity").alias("released"), F.count("*").alias("lines"))
 
 
 def settle_payouts(m: Market) -> DataFrame:
@@ -185,8 +196,7 @@ def admission(requests: DataFrame, stock: DataFrame) -> DataFrame:
 
 
 def admission_fold(m: Market) -> DataFrame:
-    orders = m.vendor_order.select("checkout_id", "vendor_id", "placed_at")
-    requests = m.order_item.join(orders, ["checkout_id", "vendor_id"]).select("checkout_id", "variant_id", "placed_at", "quantity")
+    requests = m.order_item.join(m.checkout.select("checkout_id", "placed_at"), "checkout_id").select("checkout_id", "variant_id", "placed_at", "quantity")
     stock = m.product_variant.filter("is_active").select(F.col("id").alias("variant_id"), rules.available(F.col("stock"), F.col("reserved_stock")).alias("available"))
     return admission(requests, stock)
 

@@ -113,6 +113,19 @@ def _rule(name: str, rows: str, holds: str) -> str:
 
 
 QUERIES = {
+    "vendor_status_map": """
+select v.id, coalesce((select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from vendor_order where vendor_id = v.id group by 1)), '') as orders,
+  coalesce((select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from product where vendor_id = v.id group by 1)), '') as products from vendor v""",
+    "product_search_rating": """
+select id, title, vendor_id, store_name, category_id, base_price, rating_avg, rating_count, cast(place as int) as place, total > 50 as has_next from (
+  select l.id, title, vendor_id, store_name, category_id, cast(base_price as double) as base_price, coalesce(hundredths, 0) / 100.0::double as rating_avg, coalesce(rating_count, 0) as rating_count,
+    row_number() over (order by coalesce(hundredths, 0) desc, l.id) as place, count(*) over () as total from listed l left join product_rating r on r.product_id = l.id)
+where place <= 50""",
+    "otp_limits": """
+select *, short >= 3 or long >= 8 as refused from (
+  select id, phone_key, count(*) over (w range between interval 10 minutes preceding and current row) - 1 as short, count(*) over (w range between interval 60 minutes preceding and current row) - 1 as long from (
+    select id, phone_key % 4 as phone_key, timestamp '2024-01-01' + to_microseconds(cast((epoch_us(date_trunc('second', created_at)) - epoch_us(timestamp '2024-01-01')) / 100 as bigint)) as created_at from otp_code)
+  window w as (partition by phone_key order by created_at))""",
     "settlement_balances": f"""
 select c.vendor_id, v.store_name, cast(sum(subtotal - amount) as double) as balance, count(*) as orders from full_commission c join vendor v on v.id = c.vendor_id
 where payout_id is null and c.status in {DONE} group by 1, 2""",

@@ -22,6 +22,7 @@ def _ratings(rows: DataFrame) -> DataFrame:
 
 
 BUILDERS: dict[str, Callable[[Market], DataFrame]] = {
+    "vendor_status_map": orders.vendor_status_map, "product_search_rating": lambda m: catalog.page_ahead(catalog.rated(m, catalog.search(m)), sort="rating", limit=50), "otp_limits": accounts.otp_limits,
     "settlement_balances": orders.settlement_balances, "status_counts": orders.status_counts, "gmv_summary": orders.gmv_summary, "vendor_analytics": orders.vendor_analytics, "vendor_top_products": orders.vendor_top_products,
     "store_directory": catalog.store_directory, "category_tree": catalog.category_tree, "product_search": lambda m: catalog.search(m, words=["a", "e"], low="950", high="1400"), "product_search_category": _category_search,
     "product_search_page": lambda m: catalog.page(catalog.search(m), sort="price_asc", after=(950.0, 10)), "suggest_products": catalog.suggest, "suggest_categories": catalog.suggest_categories, "product_detail": catalog.product_detail,

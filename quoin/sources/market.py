@@ -84,16 +84,21 @@ class Market:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("checkout_id"), (F.col("l_partkey") % self._rows("supplier")).alias("vendor_id"), F.col("l_partkey").alias("product_id"), (F.col("l_partkey") * 10).alias("variant_id"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast(MONEY).alias("line_total"), "l_shipdate")
 
     @cached_property
-    def vendor_order(self) -> DataFrame:
-        """One row for each vendor of each checkout. Items are summed before the orders join, so both meet on the checkout's key."""
+    def checkout(self) -> DataFrame:
+        """What all of a checkout's orders have in common; no line items are read."""
         key = F.col("o_orderkey")
         status = (
             F.when(F.col("o_orderstatus") == "O", _cases(key % 4, {0: "PENDING", 1: "CONFIRMED", 2: "PREPARING"}, "SHIPPED"))
             .when(F.col("o_orderstatus") == "F", _cases(key % 2, {0: "DELIVERED"}, "COMPLETED"))
             .otherwise(_cases(key % 3, {0: "CANCELLED", 1: "RETURNED"}, "COMPLETED"))
         )
+        return self.raw("orders").select(key.alias("checkout_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("placed_at"), status.alias("status"))
+
+    @cached_property
+    def vendor_order(self) -> DataFrame:
+        """One row for each vendor of each checkout. Items are summed before the checkouts join, so both meet on one key."""
         items = self.order_item.groupBy("checkout_id", "vendor_id").agg(F.sum("line_total").alias("subtotal"), F.count("*").alias("item_count"))
-        return items.join(self.raw("orders"), key == F.col("checkout_id")).select("checkout_id", "vendor_id", F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("placed_at"), status.alias("status"), "subtotal", F.lit(DELIVERY_FEE).cast(MONEY).alias("delivery_fee"), "item_count")
+        return items.join(self.checkout, "checkout_id").select("checkout_id", "vendor_id", "customer_id", "placed_at", "status", "subtotal", F.lit(DELIVERY_FEE).cast(MONEY).alias("delivery_fee"), "item_count")
 
     @cached_property
     def commission(self) -> DataFrame:
