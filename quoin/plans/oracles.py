@@ -93,6 +93,30 @@ select * from (values ('PENDING', 'CONFIRMED', 'VENDOR'), ('PENDING', 'CANCELLED
     "address": """
 select c_custkey * 2 + k as id, c_custkey as user_id, (c_nationkey + k) % 25 as area_id, (k = 0) = (c_custkey % 3 <> 0) as is_default
 from customer cross join (select 0 as k union all select 1) t""",
+    "cart": """
+select l_orderkey as checkout_id, l_linenumber as line, l_partkey as product_id, cast(least(l_quantity, 9) as int) as quantity, o_custkey as customer_id, o_orderdate as placed_at,
+  case when l_partkey % 5 = 0 then null when l_partkey % 7 = 3 then l_partkey * 10 + 2 else l_partkey * 10 end as asked from lineitem join orders on o_orderkey = l_orderkey""",
+    "resolved": """
+select c.*, x.id as variant_id, x.price as unit_price, greatest(0, x.stock - x.reserved_stock) as available, p.vendor_id, p.title, v.user_id as vendor_user_id, coalesce(v.commission_rate, cast(0.1000 as decimal(5,4))) as rate,
+  case when x.id is null then 'variant' when p.status <> 'ACTIVE' or v.status <> 'APPROVED' then 'unavailable' end as reason
+from cart c join product p on p.id = c.product_id join vendor v on v.id = p.vendor_id
+left join product_variant x on x.product_id = c.product_id and x.is_active and (x.id = c.asked or (c.asked is null and (select count(*) from product_variant y where y.product_id = c.product_id and y.is_active) = 1))""",
+    "short_cart": """
+select distinct checkout_id from (select checkout_id, variant_id, sum(quantity) as need, any_value(available) as available from resolved where variant_id is not null group by 1, 2) where need > available""",
+    "verdict": """
+select checkout_id, coalesce(arg_min(reason, (line, reason)) filter (where reason is not null), case when checkout_id in (select checkout_id from short_cart) then 'stock' else 'ok' end) as verdict, count(*) as lines from resolved group by 1""",
+    "accepted": """
+select r.* from resolved r join verdict d on d.checkout_id = r.checkout_id where d.verdict = 'ok'""",
+    "placed_order": """
+select checkout_id, vendor_id, any_value(customer_id) as customer_id, any_value(placed_at) as placed_at, any_value(vendor_user_id) as vendor_user_id, any_value(rate) as rate, min(line) as first_line,
+  cast(sum(unit_price * quantity) as decimal(12,2)) as subtotal, count(*) as items from accepted group by 1, 2""",
+    "request": """
+select o.*, ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPLETED', 'CANCELLED', 'RETURNED'][(checkout_id + vendor_id) % 8 + 1] as target, ['CUSTOMER', 'VENDOR', 'ADMIN', 'SYSTEM'][checkout_id % 4 + 1] as actor,
+  concat('note ', checkout_id + vendor_id) as note from vendor_order o""",
+    "judged_request": """
+select r.*, case actor when 'CUSTOMER' then customer_id::varchar when 'VENDOR' then (vendor_id + 1000000)::varchar else lower(actor) end as actor_id,
+  case when status = target then 'same' when status in ('COMPLETED', 'CANCELLED', 'RETURNED') then 'terminal' when not exists (select 1 from edge e where e.old = status and e.new = target) then 'no_edge'
+  when actor <> 'ADMIN' and not exists (select 1 from edge e where e.old = status and e.new = target and e.actor = r.actor) then 'role' else 'ok' end as verdict from request r""",
     "norm": r"""
 select doc_id, lower(trim(regexp_replace(translate(regexp_replace(nfkc, '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]', '', 'g'), 'آأإٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'ااااي' || 'هوي' || '01234567890123456789'), '\s+', ' ', 'g'))) as t
 from (select doc_id, coalesce(text, '') as nfkc from documents)""",
@@ -113,6 +137,49 @@ def _rule(name: str, rows: str, holds: str) -> str:
 
 
 QUERIES = {
+    "order_place_verdicts": "select checkout_id, verdict, lines from verdict",
+    "order_place_orders": """
+select checkout_id, vendor_id, customer_id, cast(row_number() over (partition by checkout_id order by first_line, vendor_id) as int) as place, 'PENDING' as status, items, cast(subtotal as double) as subtotal, cast(5000 as double) as delivery_fee,
+  cast(subtotal + 5000 as double) as total, cast(rate as double) as rate, cast(floor(subtotal * rate + cast(0.5 as decimal(2,1))) as double) as commission from placed_order""",
+    "order_place_items": """
+select checkout_id, vendor_id, line, product_id, variant_id, title, quantity, cast(unit_price as double) as unit_price, cast(unit_price * quantity as double) as line_total, 'ACTIVE' as reservation,
+  strftime(placed_at + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as expires_at from accepted""",
+    "order_place_notices": """
+select checkout_id, vendor_id, unnest(['history', 'order.placed', 'order.new']) as kind, unnest([customer_id, customer_id, vendor_user_id]) as user_id,
+  unnest(['PENDING', concat('طلبك رقم ', number, ' بانتظار تأكيد البائع.'), concat('لديك طلب جديد رقم ', number, '.')]) as body
+from (select *, concat('SQ-', strftime(placed_at, '%y%m'), '-', case when length(checkout_id::varchar) >= 4 then checkout_id::varchar else lpad(checkout_id::varchar, 4, '0') end) as number from placed_order)""",
+    "order_change_orders": """
+select checkout_id, vendor_id, status, target, actor, verdict, case when verdict = 'ok' then target else status end as after, case when verdict = 'ok' and target = 'CANCELLED' then note end as cancel_reason from judged_request""",
+    "order_change_history": """
+select checkout_id, vendor_id, status as from_status, target as to_status, actor_id as changed_by, note, customer_id as notified,
+  concat('طلبك SQ-', strftime(placed_at, '%y%m'), '-', case when length(checkout_id::varchar) >= 4 then checkout_id::varchar else lpad(checkout_id::varchar, 4, '0') end, ': ', case target when 'CONFIRMED' then 'تم التأكيد' when 'PREPARING' then 'قيد التحضير'
+    when 'SHIPPED' then 'تم الشحن' when 'DELIVERED' then 'تم التوصيل' when 'COMPLETED' then 'مكتمل' when 'CANCELLED' then 'ملغى' when 'RETURNED' then 'مُرتجع' else 'بانتظار التأكيد' end, '.') as body,
+  case when target = 'DELIVERED' then 'CONSUMED' when target in ('CANCELLED', 'RETURNED') then 'RELEASED' else 'ACTIVE' end as reservations from judged_request where verdict = 'ok'""",
+    "order_change_stock": """
+select i.product_id, i.variant_id, cast(sum(i.quantity * case when target = 'DELIVERED' then -1 when target = 'RETURNED' and status = 'DELIVERED' then 1 else 0 end) as bigint) as stock,
+  cast(sum(i.quantity * case when target = 'RETURNED' and status = 'DELIVERED' then 0 else -1 end) as bigint) as reserved, cast(sum(i.quantity * case when target = 'DELIVERED' then 1 when target = 'RETURNED' and status = 'DELIVERED' then -1 else 0 end) as bigint) as sold
+from order_item i join judged_request r on r.checkout_id = i.checkout_id and r.vendor_id = i.vendor_id where verdict = 'ok' and target in ('DELIVERED', 'CANCELLED', 'RETURNED') group by 1, 2""",
+    "settle_stamps": f"select checkout_id, vendor_id, concat('P', vendor_id) as payout_id, cast(amount as double) as amount from full_commission where payout_id is null and status in {DONE}",
+    "settle_audit": f"""
+select concat('P', c.vendor_id) as entity_id, 'Payout' as entity_type, 'payout.create' as action, concat('{{"vendorId":', c.vendor_id, ',"amount":', cast(sum(subtotal - amount) as decimal(18,2)), ',"commissions":', count(*), '}}') as after,
+  c.vendor_id + 1000000 as notified, 'payout.paid' as notice from full_commission c join vendor v on v.id = c.vendor_id where payout_id is null and c.status in {DONE} group by c.vendor_id""",
+    "vendor_decisions": """
+select id, 1 as actor_id, 'VendorProfile' as entity_type, concat('vendor.', lower(decision)) as action, concat('{"status":"', status, '"}') as before, concat('{"status":"', decision, '"}') as after, decision as status,
+  case when decision = 'REJECTED' then note end as rejection_note, user_id as notified, case decision when 'APPROVED' then 'تم اعتماد متجرك' when 'REJECTED' then 'تم رفض طلب المتجر' else 'تم تعليق متجرك' end as title, note as body
+from (select *, ['APPROVED', 'REJECTED', 'SUSPENDED'][id % 3 + 1] as decision, case when id % 4 <> 1 then concat('note ', id) end as note from vendor where status = 'PENDING' or id % 6 = 2)""",
+    "product_decisions": """
+select p.id, 1 as actor_id, 'Product' as entity_type, case when p.id % 3 = 0 then 'product.reject' else 'product.approve' end as action, '{"status":"PENDING_REVIEW"}' as before,
+  case when p.id % 3 = 0 then '{"status":"REJECTED"}' else '{"status":"ACTIVE"}' end as after, case when p.id % 3 = 0 then 'REJECTED' else 'ACTIVE' end as status, v.user_id as notified,
+  case when p.id % 3 = 0 then 'تم رفض منتجك' else 'تم نشر منتجك' end as title, case when p.id % 3 = 0 then concat('note ', p.id) else concat('«', p.title, '» أصبح منشوراً.') end as body
+from product p join vendor v on v.id = p.vendor_id where p.status = 'PENDING_REVIEW'""",
+    "product_create": r"""
+select p.id as key, p.vendor_id, p.category_id, concat('New ', p.title) as title, lower(concat('New ', p.title)) as title_norm,
+  concat(regexp_replace(regexp_replace(lower(concat('New ', p.title)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), '-', lpad(lower(to_base(p.id, 36)), 5, '0')) as slug, cast(p.base_price as double) as base_price, 'DRAFT' as status
+from product p join vendor v on v.id = p.vendor_id where p.id % 9 = 4 and v.status = 'APPROVED'""",
+    "product_update": """
+select id, vendor_id, category_id, case when hit and id % 2 = 1 then concat('Edited ', title) else title end as title, case when hit and id % 2 = 1 then lower(concat('Edited ', title)) else title_norm end as title_norm,
+  cast(case when hit and id % 5 = 0 then 999 else base_price end as double) as base_price, case when hit and status = 'ACTIVE' then 'PENDING_REVIEW' else status end as status
+from (select *, id % 8 = 5 and id % 3 <> 0 and vendor_id in (select id from vendor) as hit from product)""",
     "vendor_status_map": """
 select v.id, coalesce((select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from vendor_order where vendor_id = v.id group by 1)), '') as orders,
   coalesce((select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from product where vendor_id = v.id group by 1)), '') as products from vendor v""",

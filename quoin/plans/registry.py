@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.operators import accounts, catalog, orders, updates
+from quoin.operators import accounts, catalog, moderation, orders, placement, updates
 from quoin.sources.market import Market
 
 
@@ -22,6 +22,9 @@ def _ratings(rows: DataFrame) -> DataFrame:
 
 
 BUILDERS: dict[str, Callable[[Market], DataFrame]] = {
+    "order_place_verdicts": placement.place_verdicts, "order_place_orders": placement.place_orders, "order_place_items": placement.place_items, "order_place_notices": placement.place_notices,
+    "order_change_orders": placement.change_orders, "order_change_history": placement.change_history, "order_change_stock": placement.change_stock, "settle_stamps": placement.settle_stamps, "settle_audit": placement.settle_audit,
+    "vendor_decisions": moderation.vendor_decisions, "product_decisions": moderation.product_decisions, "product_create": moderation.product_create, "product_update": moderation.product_update,
     "vendor_status_map": orders.vendor_status_map, "product_search_rating": lambda m: catalog.page_ahead(catalog.rated(m, catalog.search(m)), sort="rating", limit=50), "otp_limits": accounts.otp_limits,
     "settlement_balances": orders.settlement_balances, "status_counts": orders.status_counts, "gmv_summary": orders.gmv_summary, "vendor_analytics": orders.vendor_analytics, "vendor_top_products": orders.vendor_top_products,
     "store_directory": catalog.store_directory, "category_tree": catalog.category_tree, "product_search": lambda m: catalog.search(m, words=["a", "e"], low="950", high="1400"), "product_search_category": _category_search,

@@ -153,6 +153,6 @@ def test_signs_that_skip_compatibility_composition_are_left_alone_by_it():
 
     safe = re.compile(f"[{COMPOSED}]")
     signs = [chr(k) for k in range(0x3000) if safe.match(chr(k))]
-    assert len(signs) > 400 and all(unicodedata.normalize("NFKC", c) == c for c in signs)
+    assert len(signs) > 300 and all(unicodedata.normalize("NFKC", c) == c for c in signs)
     every = "".join(a + b for a in signs for b in signs)
     assert unicodedata.normalize("NFKC", every) == every
