@@ -202,7 +202,7 @@ def admission_fold(m: Market) -> DataFrame:
 
 
 def lifecycle(states: DataFrame, changes: DataFrame) -> DataFrame:
-    """States (order_id, status) after changes (order_id, at, target, actor), taken in order of time, then target; refused changes
+    """States (order_id, status) after changes (order_id, at, target, actor), taken in order of time, target and actor; refused changes
     leave the state. Returns order_id, status, applied and refused. Folded as a stream over sorted rows."""
     rows = states.join(changes, "order_id", "left")
     edges = {(a, b): set(actors) for a, b, actors in rules.EDGES}
@@ -228,7 +228,7 @@ def lifecycle(states: DataFrame, changes: DataFrame) -> DataFrame:
             yield batch_of(done)
         yield batch_of([now] if now is not None else [])
 
-    return rows.select("order_id", "status", "at", "target", "actor").repartition("order_id").sortWithinPartitions("order_id", "at", "target").mapInArrow(fold, "order_id long, status string, applied int, refused int")
+    return rows.select("order_id", "status", "at", "target", "actor").repartition("order_id").sortWithinPartitions("order_id", "at", "target", "actor").mapInArrow(fold, "order_id long, status string, applied int, refused int")
 
 
 def lifecycle_fold(m: Market) -> DataFrame:

@@ -93,6 +93,8 @@ select * from (values ('PENDING', 'CONFIRMED', 'VENDOR'), ('PENDING', 'CANCELLED
     "address": """
 select c_custkey * 2 + k as id, c_custkey as user_id, (c_nationkey + k) % 25 as area_id, (k = 0) = (c_custkey % 3 <> 0) as is_default
 from customer cross join (select 0 as k union all select 1) t""",
+    "local_listed": """
+select governorate_id, id, cast(row_number() over (partition by governorate_id order by id desc) as int) as place from listed where governorate_id is not null""",
     "cart": """
 select l_orderkey as checkout_id, l_linenumber as line, l_partkey as product_id, cast(least(l_quantity, 9) as int) as quantity, o_custkey as customer_id, o_orderdate as placed_at,
   case when l_partkey % 5 = 0 then null when l_partkey % 7 = 3 then l_partkey * 10 + 2 else l_partkey * 10 end as asked from lineitem join orders on o_orderkey = l_orderkey""",
@@ -117,6 +119,19 @@ select o.*, ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPL
 select r.*, case actor when 'CUSTOMER' then customer_id::varchar when 'VENDOR' then (vendor_id + 1000000)::varchar else lower(actor) end as actor_id,
   case when status = target then 'same' when status in ('COMPLETED', 'CANCELLED', 'RETURNED') then 'terminal' when not exists (select 1 from edge e where e.old = status and e.new = target) then 'no_edge'
   when actor <> 'ADMIN' and not exists (select 1 from edge e where e.old = status and e.new = target and e.actor = r.actor) then 'role' else 'ok' end as verdict from request r""",
+    "lifecycle_change": """
+select l_orderkey as order_id, target, actor, row_number() over (partition by l_orderkey order by l_shipdate, target, actor) as k from (
+  select *, ['CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPLETED', 'CANCELLED'][l_linenumber % 6 + 1] as target, case when l_linenumber % 6 = 4 then 'CUSTOMER' else 'VENDOR' end as actor from lineitem)""",
+    "lifecycle_state": """
+select o_orderkey as order_id, cast(0 as bigint) as k, 'PENDING' as status, 0 as applied, 0 as refused from orders
+union all
+select s.order_id, c.k, case when e.old is null then s.status else c.target end, s.applied + cast(e.old is not null as int), s.refused + cast(e.old is null as int)
+from lifecycle_state s join lifecycle_change c on c.order_id = s.order_id and c.k = s.k + 1 left join edge e on e.old = s.status and e.new = c.target and e.actor = c.actor""",
+    "try": """
+select *, sent_at + to_seconds(seq * (code_id % 9 * 10 + 5)) >= sent_at + interval 300 seconds as late, seq = code_id % 7 + 1 as matches from (
+  select id as code_id, created_at as sent_at, unnest(range(1, id % 8 + 2)) as seq from otp_code)""",
+    "counted_try": """
+select *, count(*) filter (where not late and not matches) over (partition by code_id order by seq rows between unbounded preceding and 1 preceding) as wrong from try""",
     "norm": r"""
 select doc_id, lower(trim(regexp_replace(translate(regexp_replace(nfkc, '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]', '', 'g'), 'آأإٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'ااااي' || 'هوي' || '01234567890123456789'), '\s+', ' ', 'g'))) as t
 from (select doc_id, coalesce(text, '') as nfkc from documents)""",
@@ -180,6 +195,40 @@ from product p join vendor v on v.id = p.vendor_id where p.id % 9 = 4 and v.stat
 select id, vendor_id, category_id, case when hit and id % 2 = 1 then concat('Edited ', title) else title end as title, case when hit and id % 2 = 1 then lower(concat('Edited ', title)) else title_norm end as title_norm,
   cast(case when hit and id % 5 = 0 then 999 else base_price end as double) as base_price, case when hit and status = 'ACTIVE' then 'PENDING_REVIEW' else status end as status
 from (select *, id % 8 = 5 and id % 3 <> 0 and vendor_id in (select id from vendor) as hit from product)""",
+    "cart_totals": """
+select cart_id, cast(sum(quantity) as bigint) as units, cast(sum(price * quantity) as double) as subtotal, cast(count(distinct vendor_id) * 5000 as double) as delivery, cast(sum(price * quantity) + count(distinct vendor_id) * 5000 as double) as total
+from (select i.checkout_id as cart_id, i.variant_id, p.vendor_id, x.price, least(sum(i.quantity), greatest(0, any_value(x.stock) - any_value(x.reserved_stock))) as quantity
+  from order_item i join product_variant x on x.id = i.variant_id join product p on p.id = i.product_id group by 1, 2, 3, 4) group by 1""",
+    "review_mine": "select user_id, product_id, id, rating, status from (select *, row_number() over (partition by user_id, product_id order by created_at desc, id desc) as k from review) where k = 1",
+    "auth_me": "select id, phone, name, role from app_user where not is_blocked",
+    "vendor_product_detail": """
+select p.id, p.vendor_id, p.title, p.category_id, cast(p.base_price as double) as base_price, p.status,
+  coalesce((select string_agg(concat(x.id, ':', cast(x.price as decimal(13,2)), ':', x.stock, ':', x.is_active), ',' order by x.id) from product_variant x where x.product_id = p.id), '') as variants from product p""",
+    "local_products": """
+select governorate_id, id, place, true as is_local from local_listed where place <= 10
+union all select g.id, e.id, e.place, false from governorate g, (select id, cast(row_number() over (order by id desc) as int) as place from listed) e where e.place <= 10 and g.id not in (select governorate_id from local_listed)""",
+    "variant_labels": "select x.id, case when x.id % 10 = 0 then 'افتراضي' else concat('size: ', p_size, '، brand: ', p_brand) end as label from product_variant x join part on p_partkey = x.product_id",
+    "rate_percent": "select id, cast(floor(commission_rate * 100 + 0.5) as bigint) as shown, cast(commission_rate * 100 as double) as percent from vendor where commission_rate is not null",
+    "slug_round_trip": r"""
+select id, url_encode(slug) as encoded, slug, 'a+b%zz' as broken from (select id, substr(regexp_replace(regexp_replace(lower(concat('متجر + ', title)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) as slug from product)""",
+    "session_tokens": "select id, sha256(concat('token-', id)) as token_hash from otp_code",
+    "ship_to": """select c_custkey as id, concat('{"fullName":"', c_name, '","governorate":"', g.name_ar, '","area":"', a.name_ar, '"}') as ship_to from customer join area a on a.id = c_nationkey join governorate g on g.id = a.governorate_id""",
+    "next_statuses": """
+select o.status, e.actor, string_agg(distinct e.new, ',' order by e.new) as targets, any_value(o.n) as checkouts
+from (select status, count(*) as n from (
+  select case o_orderstatus when 'O' then case o_orderkey % 4 when 0 then 'PENDING' when 1 then 'CONFIRMED' when 2 then 'PREPARING' else 'SHIPPED' end
+    when 'F' then case o_orderkey % 2 when 0 then 'DELIVERED' else 'COMPLETED' end else case o_orderkey % 3 when 0 then 'CANCELLED' when 1 then 'RETURNED' else 'COMPLETED' end end as status from orders) group by 1) o join (select old, new, actor from edge union all select distinct old, new, 'ADMIN' from edge) e on e.old = o.status group by 1, 2""",
+    "role_guard": """
+select wanted, count(*) filter (where role = 'ADMIN' or role = wanted) as allowed, count(*) as users from (select case when id % 97 = 5 then 'ADMIN' else role end as role, unnest(['CUSTOMER', 'VENDOR', 'ADMIN']) as wanted from app_user) group by 1""",
+    "otp_verify": """
+select code_id, cast(seq as int) as seq, matches, case when coalesce(bool_or(not late and ((matches and wrong < 5) or wrong >= 5)) over (partition by code_id order by seq rows between unbounded preceding and 1 preceding), false) then 'none'
+  when late then 'expired' when wrong >= 5 then 'too_many' when matches then 'ok' else 'wrong' end as verdict from counted_try""",
+    "category_changes": """
+select id, case name_ar when 'Brand#11' then 'Brand#11 new' else name_ar end as name_ar, parent_id, case when name_ar = 'Brand#12' and parent_id is not null then false else is_active end as is_active,
+  case when parent_id is null then 'kept' when name_ar in ('Brand#11', 'Brand#12') then 'category.update' when name_ar = 'Brand#14' then 'refused' else 'kept' end as action from category
+union all select concat(id, '/empty'), 'Empty', id, true, 'category.delete' from category where parent_id is null
+union all select concat(id, '/new'), 'New', id, true, 'category.create' from category where parent_id is null""",
+    "lifecycle_fold": "select order_id, arg_max(status, k) as status, arg_max(applied, k) as applied, arg_max(refused, k) as refused from lifecycle_state group by 1",
     "vendor_status_map": """
 select v.id, coalesce((select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from vendor_order where vendor_id = v.id group by 1)), '') as orders,
   coalesce((select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from product where vendor_id = v.id group by 1)), '') as products from vendor v""",
@@ -314,6 +363,7 @@ select id, phone_key, rotated_to::varchar as rotated_to, rotated_to is null and
             _rule("user.phone", "app_user", "regexp_full_match(phone, '[+]9647[0-9]{9}')"), _rule("user.name", "app_user", "length(name) between 2 and 60"), _rule("product.title", "product", "length(title) between 3 and 120"),
             _rule("product.price", "product", "base_price >= 250 and base_price <= 100000000 and base_price = floor(base_price)"), _rule("review.rating", "review", "rating between 1 and 5"), _rule("cart.quantity", "order_item", "quantity between 1 and 99"),
             _rule("variant.stock", "product_variant", "stock between 0 and 1000000"), _rule("vendor.store_name", "vendor", "length(store_name) between 2 and 80"), _rule("vendor.commission_rate", "vendor", "coalesce(commission_rate, 0) between 0 and 1"),
+            _rule("product.category", "product", "category_id is not null"), _rule("variant.price", "product_variant", "price >= 250 and price <= 100000000 and price = floor(price)"), _rule("vendor.governorate", "vendor", "governorate_id is not null"), _rule("category.name", "category", "length(name_ar) between 2 and 60"),
         ]
     ),
     "text_normalize": "select doc_id, sha256(t) as sha256 from norm",
@@ -359,7 +409,7 @@ def with_views(query: str) -> str:
 
     need(query)
     parts = [f"{name} as ({sql})" for name, sql in defined.items() if name in needed]
-    return f"with {', '.join(parts)} {query}" if parts else query
+    return f"with recursive {', '.join(parts)} {query}" if parts else query
 
 
 ORACLES = {name: with_views(sql) for name, sql in QUERIES.items()}
