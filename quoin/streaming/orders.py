@@ -1,12 +1,14 @@
-"""Structured Streaming forms: expiry of reservations, rate windows and toggles over event streams."""
+"""Structured Streaming forms: order states, code limits, expiry of reservations, rate windows and toggles over event streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quoin.functions import rules
 
@@ -19,6 +21,58 @@ def code_requests(codes: DataFrame, late: str = "10 minutes", window: str = "10
     return counts.select("phone_key", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "sent", (F.col("sent") >= most).alias("refused"))
 
 
+def order_states(changes: DataFrame, late: str = "1 hour", forget_days: int = 90) -> DataFrame:
+    """Each change of a stream (order_id, at, target, actor) with whether the order rules take it ('ok' or 'refused') and the order's
+    status afterwards. Orders begin as PENDING. Changes that come together are taken in order of time, target and actor.
+    The state of an order is its status; it is dropped forget_days of event time after its last change."""
+    edges = {(a, b): (*actors, "ADMIN") for a, b, actors in rules.EDGES}
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, last = state.get if state.exists else ("PENDING", 0)
+        rows = pd.concat(list(batches)).sort_values(["at", "target", "actor"])
+        out = []
+        for at, target, actor in zip(rows["at"], rows["target"], rows["actor"], strict=True):
+            ok = actor in edges.get((status, target), ())
+            status = target if ok else status
+            out.append((key[0], at, target, actor, "ok" if ok else "refused", status))
+        last = max(last, int(rows["at"].max().timestamp() * 1000))
+        state.update((status, last))
+        state.setTimeoutTimestamp(max(last + forget_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["order_id", "at", "target", "actor", "verdict", "status"])
+
+    seen = changes.select("order_id", F.col("at").cast("timestamp").alias("at"), "target", "actor").withWatermark("at", late).groupBy("order_id")
+    return seen.applyInPandasWithState(fold, "order_id long, at timestamp, target string, actor string, verdict string, status string", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def code_limits(codes: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each code of a stream (phone_key, id, created_at) with how many were sent to its phone in the 10 and in the 60 minutes before, both
+    bounds included, and whether 3 or 8 of them refuse it. The state of a phone is the times of its last 60 minutes; it is
+    dropped when the watermark passes them. Codes that come later than codes behind them don't change what was said of those."""
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
+        for code, at in zip(rows["id"], rows["created_at"], strict=True):
+            now = int(at.timestamp() * 1000)
+            short, long = (sum(now - minutes * 60_000 <= t <= now for t in times) for minutes in (10, 60))
+            out.append((key[0], code, at, short, long, short >= 3 or long >= 8))
+            times.append(now)
+        times = [t for t in times if t >= max(times) - 3_600_000]
+        state.update((times,))
+        state.setTimeoutTimestamp(max(max(times) + 3_600_000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["phone_key", "id", "created_at", "short", "long", "refused"])
+
+    seen = codes.select("phone_key", "id", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark("created_at", late).groupBy("phone_key")
+    return seen.applyInPandasWithState(count, "phone_key string, id long, created_at timestamp, short long, long long, refused boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def unconfirmed(placed: DataFrame, confirmed: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """Orders of a stream (order_id, placed_at) that no event of the other stream (order_id, confirmed_at) confirms within the
     reservation's minutes: they are released. An outer join with a time bound, so both sides' state is bounded."""
