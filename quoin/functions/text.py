@@ -10,9 +10,11 @@ from pyspark.sql.functions import pandas_udf
 
 # Arabic and Persian digits, marks, and letters that are folded.
 ARABIC_DIGITS, PERSIAN_DIGITS, LATIN_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
-MARKS = "[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED\\u0640]"
+MARKS = "".join(chr(k) for a, b in ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6ED), (0x640, 0x640)) for k in range(a, b + 1))
 FOLDED, INTO = "آأإٱىةؤئ", "ااااي" "هوي"
-WIDE_SPACES = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+WIDE = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Runs of white space other than a single blank.
+WIDE_SPACES = f"[{WIDE}&&[^ ]][{WIDE}]*+| [{WIDE}]++"
 
 
 #: Signs that compatibility composition leaves alone, alone and beside each other.
@@ -26,7 +28,7 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition, which Spark has no function for. Only texts with a sign that it may change go through Arrow."""
-    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text)
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^\\x00-\\x7F](?<![{COMPOSED}])"), text)), text)
 
 
 def latin_digits(text: Column) -> Column:
@@ -36,8 +38,10 @@ def latin_digits(text: Column) -> Column:
 def normalize_arabic(text: Column, compatibility: bool = True) -> Column:
     """Folded text for search; null counts as empty. ``compatibility`` off leaves out NFKC for texts known to be composed."""
     s = nfkc(text) if compatibility else text
-    s = F.translate(F.regexp_replace(s, MARKS, ""), FOLDED, INTO)
-    return F.lower(F.trim(F.regexp_replace(latin_digits(F.coalesce(s, F.lit(""))), WIDE_SPACES, " ")))
+    s = F.coalesce(s, F.lit(""))
+    folded = F.translate(s, FOLDED + ARABIC_DIGITS + PERSIAN_DIGITS + MARKS, INTO + LATIN_DIGITS * 2)
+    s = F.when(s.rlike("[\u0610-\u06FF]"), folded).otherwise(s)  # other texts have nothing to fold
+    return F.lower(F.trim(F.regexp_replace(s, WIDE_SPACES, " ")))
 
 
 def slugify(text: Column, compatibility: bool = True) -> Column:
