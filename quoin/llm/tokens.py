@@ -33,7 +33,7 @@ ENTRY = 180
 class Encoder:
     """text -> little-endian unsigned 32-bit ids. ``cache_bytes`` bounds the memory that kept words take."""
 
-    def __init__(self, vocabulary: str | None = None, cache_bytes: int = 16 << 20):
+    def __init__(self, vocabulary: str | None = None, cache_bytes: int = 48 << 20):
         import public_tokenizers
         import tiktoken
 

@@ -117,4 +117,4 @@ def test_known_words_are_bounded_and_go_with_the_task():
             own.encode(f"word w{k} x")
             assert own.held < 21_000 and len(own.cache) < 120
     assert not own.cache and not own.held
-    own.cache_bytes = 16 << 20
+    own.cache_bytes = 48 << 20
