@@ -256,3 +256,36 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by counting the shared shingles of all pairs and following links; for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS node, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), lists AS (
+  SELECT node, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts
+), words AS (
+  SELECT node, unnest(w) AS word, generate_subscripts(w, 1) AS place, len(w) AS many FROM lists
+), runs AS (
+  SELECT node, place, many, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle
+  FROM words WINDOW o AS (PARTITION BY node ORDER BY place)
+), shingles AS (
+  SELECT DISTINCT node, shingle FROM runs WHERE place <= greatest(many - 4, 1)
+), sizes AS (
+  SELECT node, count(*) AS n FROM shingles GROUP BY node
+), shared AS (
+  SELECT a.node AS x, b.node AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.node = x JOIN sizes q ON q.node = y WHERE 100 * k >= 80 * (p.n + q.n - k)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT node, node AS other FROM texts
+  UNION
+  SELECT r.node, e.y FROM reached r JOIN edges e ON e.x = r.other
+), classes AS (
+  SELECT r.node, min(t.doc_id) AS component_id FROM reached r JOIN texts t ON t.node = r.other GROUP BY r.node
+)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM texts t JOIN classes c ON c.node = t.node LEFT JOIN sizes s ON s.node = t.node
+"""

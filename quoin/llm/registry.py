@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filters": url_filter.ORACLE_SQL,
+    "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
 }

@@ -1,8 +1,10 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from quoin.llm.components import connected_components
 from quoin.llm import ngram_join
 from quoin.llm.ngram_join import near_duplicates, op2_ngram_jaccard_join, without_near_duplicates
@@ -170,3 +172,25 @@ def test_a_shingle_in_very_many_unlinked_documents(spark):
     docs = spark.range(100_000).selectExpr("id as doc_id", "concat_ws(' ', 'one very common line of words', transform(sequence(1, 20), k -> concat('u', id, 'x', k))) as text")
     got = near_duplicates(docs)
     assert got.filter("component_id = doc_id and n_shingles = 22").count() == 100_000
+
+
+def by_sql(rows):
+    """The registered SQL over rows (doc_id, text)."""
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    return sorted(con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({ngram_join.ORACLE_SQL})").fetchall())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sql_equals_brute_force(seed):
+    rows = corpus(seed)
+    assert by_sql(rows) == sorted((i, n, c) for i, (n, c) in brute(rows).items())
+
+
+def test_sql_and_operator_agree_on_repeated_ids(spark):
+    rnd = random.Random(8)
+    a, b = ([f"w{rnd.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "end"])), (3, " ".join([*b, "end"])), (3, None), (4, ""), (5, "x y"), (6, "X\ty"), (6, "X\ty")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(tuple, got)) == by_sql(rows)
+    assert by_sql([]) == []
