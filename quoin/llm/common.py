@@ -27,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches are bounded by rows and bytes, where the session doesn't set its own bounds."""
+    for key in BATCHES.keys() - spark.conf.getAll.keys():
+        spark.conf.set(key, BATCHES[key])
+
+
 def in_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow over batches bounded by rows and bytes. A single row is never cut, however long it is."""
-    conf = df.sparkSession.conf
-    for key in BATCHES.keys() - conf.getAll.keys():
-        conf.set(key, BATCHES[key])
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(make, schema)
 
 
