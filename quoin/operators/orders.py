@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import rules
+from quoin.operators.admission import admission
 from quoin.operators.catalog import sold_counts
 from quoin.sources.market import Market
-from quoin.sources.stored import store
 
 
 def stamp(column: str) -> Column:
@@ -165,41 +164,6 @@ def payout_history(m: Market, limit: int = 50) -> DataFrame:
     return rows.orderBy(F.desc("period_end"), "payout_id").limit(limit).select("payout_id", "vendor_id", F.col("amount").cast("double").alias("amount"), stamp("period_end"), "orders")
 
 
-def admission(requests: DataFrame, stock: DataFrame) -> DataFrame:
-    """Requests (checkout_id, variant_id, placed_at, quantity) by checkouts in order of time, then id: a checkout is admitted if
-    what is left of each of its variants' available stock (variant_id, available) holds all that it asks for; one line that
-    is not held refuses the whole cart, which then takes nothing. Returns checkout_id, variant_id, quantity, admitted, left.
-
-    The fold has no closed form, so it is taken in rounds over stored tables: running sums by variant bound what earlier
-    checkouts take, from below by the admitted ones and from above by all that aren't refused, and every checkout that both
-    bounds judge alike is settled. The first open one always is, so the rounds end; a round takes only variants that an
-    open checkout asks for. Unknown variants have nothing available;
-    quantities below one or null are refused. A variant's rows are sorted in one task.
-    """
-    cart = Window.partitionBy("checkout_id")
-    asked = requests.withColumn("quantity", F.col("quantity").cast("int")).withColumn("placed_at", F.min("placed_at").over(cart))
-    needs = asked.groupBy("checkout_id", "variant_id", "placed_at").agg(F.sum("quantity").alias("need"), (F.count_if(F.coalesce(F.col("quantity"), F.lit(0)) < 1) > 0).alias("bad"))
-    lines = needs.join(stock, "variant_id", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long")).withColumn("state", F.lit(None).cast("boolean"))
-    earlier = Window.partitionBy("variant_id").orderBy("placed_at", "checkout_id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = lambda which: F.coalesce(F.sum(F.when(which, F.col("need"))).over(earlier), F.lit(0))
-    lines, finished = store(lines, "admission"), []
-    while not lines.filter("state is null").isEmpty():
-        bounds = lines.withColumn("over", F.count_if(F.col("state").isNull()).over(Window.partitionBy("variant_id")) == 0)
-        bounds = bounds.withColumn("sure", taken(F.col("state"))).withColumn("possible", taken(F.coalesce("state", F.lit(True))))
-        line = F.when(F.col("bad") | (F.col("available") - F.col("sure") < F.col("need")), False).when(F.col("available") - F.col("possible") >= F.col("need"), True)
-        judged = bounds.withColumn("line", line)
-        whole = F.when(F.count_if(~F.col("line")).over(cart) > 0, False).when(F.count_if(F.col("line").isNull()).over(cart) == 0, True)
-        after = store(judged.withColumn("state", F.coalesce("state", whole)).select(*lines.columns, "over"), "admission")
-        finished.append(after.filter("over").drop("over"))
-        lines = after.filter("not over").drop("over")
-    settled = reduce(DataFrame.unionByName, finished, lines).select("checkout_id", "variant_id", "available", F.col("state").alias("admitted"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("checkout_id", "variant_id")]
-    rows = asked.alias("r").join(settled.alias("s"), same[0] & same[1]).select("r.checkout_id", "r.variant_id", "r.placed_at", "r.quantity", "available", "admitted")
-    until = Window.partitionBy("variant_id").orderBy("placed_at", "checkout_id", "quantity").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("available") - F.coalesce(F.sum(F.when(F.col("admitted"), F.col("quantity"))).over(until), F.lit(0))
-    return rows.select("checkout_id", "variant_id", "quantity", "admitted", left.cast("int").alias("left"))
-
-
 def admission_fold(m: Market) -> DataFrame:
     requests = m.order_item.join(m.checkout.select("checkout_id", "placed_at"), "checkout_id").select("checkout_id", "variant_id", "placed_at", "quantity")
     stock = m.product_variant.filter("is_active").select(F.col("id").alias("variant_id"), rules.available(F.col("stock"), F.col("reserved_stock")).alias("available"))
