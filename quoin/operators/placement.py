@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import rules
+from quoin.operators.numbering import number_orders, orders_so_far
 from quoin.sources.market import DELIVERY_FEE, MONEY, PLATFORM_RATE, RATE, Market
 
 HOLD_MINUTES = 30
@@ -82,9 +83,18 @@ def place_items(m: Market) -> DataFrame:
     return rows.select("checkout_id", "vendor_id", "line", "product_id", "variant_id", "title", "quantity", *money, F.lit("ACTIVE").alias("reservation"), stamp(until).alias("expires_at"))
 
 
+def numbered(m: Market) -> DataFrame:
+    """The new orders of all carts with their numbers, which go on from the orders that there are."""
+    return number_orders(new_orders(placed(m)), orders_so_far(m))
+
+
+def place_numbers(m: Market) -> DataFrame:
+    return numbered(m).select("checkout_id", "vendor_id", "place", "serial", "number")
+
+
 def place_notices(m: Market) -> DataFrame:
-    """For each new order its first history entry, and the notices to the customer and to the vendor."""
-    number = rules.order_number(F.col("placed_at"), F.col("checkout_id"))
+    """For each new order its first history entry, and the notices to the customer and to the vendor with its number."""
+    number = F.col("number")
     entry = lambda kind, user, body: F.struct(F.lit(kind).alias("kind"), user.alias("user_id"), body.alias("body"))
     # The texts of the notices.
     rows = F.array(
@@ -92,7 +102,7 @@ def place_notices(m: Market) -> DataFrame:
         entry("order.placed", F.col("customer_id"), F.concat(F.lit("طلبك رقم "), number, F.lit(" بانتظار تأكيد البائع."))),
         entry("order.new", F.col("vendor_user_id"), F.concat(F.lit("لديك طلب جديد رقم "), number, F.lit("."))),
     )
-    return new_orders(placed(m)).select("checkout_id", "vendor_id", F.explode(rows).alias("e")).select("checkout_id", "vendor_id", "e.*")
+    return numbered(m).select("checkout_id", "vendor_id", F.explode(rows).alias("e")).select("checkout_id", "vendor_id", "e.*")
 
 
 def change_status(orders: DataFrame, requests: DataFrame) -> DataFrame:

@@ -18,20 +18,20 @@ PLACE_BITS = 33
 
 
 def in_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """The rows as a stored table, with the range partition (``part``) that holds each and its place there from 0 (``place``)."""
+    """The rows as a stored table, with the range partition (``range_part``) that holds each and its place there from 0 (``range_place``)."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("in_range", F.monotonically_increasing_id())
     stored = store(ranged, name)
-    return stored.withColumns({"part": F.shiftright("in_range", PLACE_BITS), "place": F.col("in_range").bitwiseAND((1 << PLACE_BITS) - 1)}).drop("in_range")
+    return stored.withColumns({"range_part": F.shiftright("in_range", PLACE_BITS), "range_place": F.col("in_range").bitwiseAND((1 << PLACE_BITS) - 1)}).drop("in_range")
 
 
 def with_serials(rows: DataFrame, order: list[str], name: str = "serial", base: Column | int = 0) -> DataFrame:
     """rows with gapless numbers from base + 1 in the order of ``order``. Rows that are equal there get different numbers, in any order;
     nulls come first. An empty table stays empty."""
     ranged = in_ranges(rows, order, "serials")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    before = Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = ranged.groupBy("range_part").agg(F.count("*").alias("n")).select("range_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_offset"))
     base = base if isinstance(base, Column) else F.lit(base)
-    return ranged.join(F.broadcast(offsets), "part").withColumn(name, (base + F.col("offset") + F.col("place") + 1).cast("long")).drop("part", "place", "offset")
+    return ranged.join(F.broadcast(offsets), "range_part").withColumn(name, (base + F.col("range_offset") + F.col("range_place") + 1).cast("long")).drop("range_part", "range_place", "range_offset")
 
 
 def running_sums(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], hot_rows: int = 1_000_000) -> DataFrame:
@@ -45,11 +45,11 @@ def running_sums(rows: DataFrame, key: str, order: list[str], sums: dict[str, Co
     if hot.isEmpty():
         return local(rows, key)
     is_hot = F.col(key).eqNullSafe(F.col("hot_key"))  # at most a row for each hot_rows rows
-    ranged = local(in_ranges(rows.join(F.broadcast(hot), is_hot, "left_semi"), [key, *order], "hot_rows"), "part", key)
-    totals = ranged.groupBy("part", F.col(key).alias("hot_key")).agg(*[F.max_by(n, "place").alias(f"{n}_total") for n in sums])
-    before = Window.partitionBy("hot_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    carried = totals.select(F.col("part").alias("of"), "hot_key", *[F.coalesce(F.sum(f"{n}_total").over(before), F.lit(0)).alias(f"{n}_before") for n in sums])
-    met = ranged.join(F.broadcast(carried), (F.col("part") == F.col("of")) & is_hot)
+    ranged = local(in_ranges(rows.join(F.broadcast(hot), is_hot, "left_semi"), [key, *order], "hot_rows"), "range_part", key)
+    totals = ranged.groupBy("range_part", F.col(key).alias("hot_key")).agg(*[F.max_by(n, "range_place").alias(f"{n}_total") for n in sums])
+    before = Window.partitionBy("hot_key").orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = totals.select(F.col("range_part").alias("of"), "hot_key", *[F.coalesce(F.sum(f"{n}_total").over(before), F.lit(0)).alias(f"{n}_before") for n in sums])
+    met = ranged.join(F.broadcast(carried), (F.col("range_part") == F.col("of")) & is_hot)
     whole = met.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums}).select(*rows.columns, *sums)
     return local(rows.join(F.broadcast(hot), is_hot, "left_anti"), key).unionByName(whole)
 

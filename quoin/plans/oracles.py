@@ -35,6 +35,8 @@ select p_partkey * 10 + k as id, p_partkey as product_id,
        cast(p_size * 10 + k as int) as stock, cast((p_size * 3 + k * 7) % 40 as int) as reserved_stock,
        not (k = 2 and p_partkey % 4 = 0) as is_active
 from part cross join (select 0 as k union all select 1 union all select 2) v where k <= p_size % 3""",
+    "product_image": """
+select p_partkey * 10 + k as id, p_partkey as product_id, cast(k as int) as sort_order, concat('/img/', p_partkey, '/', k, '.jpg') as url from part, range(3) t(k) where k < p_size % 4""",
     "order_item": """
 select l_orderkey as checkout_id, l_partkey % (select count(*) from supplier) as vendor_id,
        l_partkey as product_id, l_partkey * 10 as variant_id, cast(l_quantity as int) as quantity,
@@ -112,6 +114,13 @@ select r.* from resolved r join verdict d on d.checkout_id = r.checkout_id where
     "placed_order": """
 select checkout_id, vendor_id, any_value(customer_id) as customer_id, any_value(placed_at) as placed_at, any_value(vendor_user_id) as vendor_user_id, any_value(rate) as rate, min(line) as first_line,
   cast(sum(unit_price * quantity) as decimal(12,2)) as subtotal, count(*) as items from accepted group by 1, 2""",
+    "numbered_order": """
+select *, row_number() over (order by placed_at, checkout_id, first_line, vendor_id) + (select count(*) from vendor_order) as serial, cast(row_number() over (partition by checkout_id order by first_line, vendor_id) as int) as place from placed_order""",
+    "asked_list": """
+select id as product_id, case when id % 4 <> 0 then list_transform(range(id % 10), lambda k: concat(case when id % 5 = 0 then 'ftp://x/' when id % 3 = 0 then 'https://cdn.example/' else '/img/' end, id, '/', k, '.jpg')) end as images,
+  case when id % 4 <> 0 and id % 10 > 8 then 'too_many' when id % 4 <> 0 and id % 5 = 0 and id % 10 > 0 then 'invalid' else 'ok' end as verdict from product where id % 7 = 3""",
+    "new_image": """
+select product_id, unnest(images) as url, cast(generate_subscripts(images, 1) - 1 as int) as sort_order from asked_list where verdict = 'ok'""",
     "request": """
 select o.*, ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPLETED', 'CANCELLED', 'RETURNED'][(checkout_id + vendor_id) % 8 + 1] as target, ['CUSTOMER', 'VENDOR', 'ADMIN', 'SYSTEM'][checkout_id % 4 + 1] as actor,
   concat('note ', checkout_id + vendor_id) as note from vendor_order o""",
@@ -162,7 +171,22 @@ select checkout_id, vendor_id, line, product_id, variant_id, title, quantity, ca
     "order_place_notices": """
 select checkout_id, vendor_id, unnest(['history', 'order.placed', 'order.new']) as kind, unnest([customer_id, customer_id, vendor_user_id]) as user_id,
   unnest(['PENDING', concat('طلبك رقم ', number, ' بانتظار تأكيد البائع.'), concat('لديك طلب جديد رقم ', number, '.')]) as body
-from (select *, concat('SQ-', strftime(placed_at, '%y%m'), '-', case when length(checkout_id::varchar) >= 4 then checkout_id::varchar else lpad(checkout_id::varchar, 4, '0') end) as number from placed_order)""",
+from (select *, concat('SQ-', strftime(placed_at, '%y%m'), '-', case when length(serial::varchar) >= 4 then serial::varchar else lpad(serial::varchar, 4, '0') end) as number from numbered_order)""",
+    "order_place_numbers": """
+select checkout_id, vendor_id, place, serial, concat('SQ-', strftime(placed_at, '%y%m'), '-', case when length(serial::varchar) >= 4 then serial::varchar else lpad(serial::varchar, 4, '0') end) as number from numbered_order""",
+    "order_serials": """
+select checkout_id, vendor_id, serial, concat('SQ-', strftime(placed_at, '%y%m'), '-', case when length(serial::varchar) >= 4 then serial::varchar else lpad(serial::varchar, 4, '0') end) as number from (
+  select *, row_number() over (order by placed_at, checkout_id, first_line, vendor_id) as serial from (
+    select l_orderkey as checkout_id, l_partkey % (select count(*) from supplier) as vendor_id, min(l_linenumber) as first_line, any_value(o_orderdate) as placed_at from lineitem join orders on o_orderkey = l_orderkey group by 1, 2))""",
+    "product_cards": """
+select l.id, l.title, l.store_name, cast(l.base_price as double) as base_price, arg_min(i.url, i.sort_order) as image, count(i.id) as images from listed l left join product_image i on i.product_id = l.id group by 1, 2, 3, 4""",
+    "product_images_create": """
+select a.product_id, a.verdict, cast(coalesce(len(a.images), 0) as int) as asked, n.sort_order, n.url from asked_list a left join new_image n on n.product_id = a.product_id""",
+    "product_images_replace": """
+select coalesce(i.product_id, n.product_id) as product_id, coalesce(i.sort_order, n.sort_order) as sort_order, coalesce(n.url, i.url) as url,
+  case when a.product_id is null or i.url is not distinct from n.url then 'keep' when n.url is null then 'remove' when i.url is null then 'add' else 'change' end as action
+from product_image i full join new_image n on n.product_id = i.product_id and n.sort_order = i.sort_order
+left join (select product_id from asked_list where verdict = 'ok' and images is not null) a on a.product_id = coalesce(i.product_id, n.product_id)""",
     "order_change_orders": """
 select checkout_id, vendor_id, status, target, actor, verdict, case when verdict = 'ok' then target else status end as after, case when verdict = 'ok' and target = 'CANCELLED' then note end as cancel_reason from judged_request""",
     "order_change_history": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.operators import accounts, catalog, moderation, orders, placement, shop, updates
+from quoin.operators import accounts, catalog, images, moderation, numbering, orders, placement, shop, updates
 from quoin.sources.market import Market
 
 
@@ -28,6 +28,7 @@ BUILDERS: dict[str, Callable[[Market], DataFrame]] = {
     "cart_totals": shop.cart_totals, "review_mine": shop.review_mine, "auth_me": shop.auth_me, "vendor_product_detail": shop.vendor_product_detail, "local_products": shop.local_products, "variant_labels": shop.variant_labels, "rate_percent": shop.rate_percent,
     "slug_round_trip": shop.slug_round_trip, "session_tokens": shop.session_tokens, "ship_to": shop.ship_to, "next_statuses": shop.next_statuses, "role_guard": shop.role_guard, "otp_verify": shop.otp_verify, "category_changes": shop.category_changes,
     "vendor_status_map": orders.vendor_status_map, "product_search_rating": lambda m: catalog.page_ahead(catalog.rated(m, catalog.search(m)), sort="rating", limit=50), "otp_limits": accounts.otp_limits,
+    "order_serials": numbering.order_serials, "order_place_numbers": placement.place_numbers, "product_cards": images.product_cards, "product_images_create": images.product_images_create, "product_images_replace": images.product_images_replace,
     "settlement_balances": orders.settlement_balances, "status_counts": orders.status_counts, "gmv_summary": orders.gmv_summary, "vendor_analytics": orders.vendor_analytics, "vendor_top_products": orders.vendor_top_products,
     "store_directory": catalog.store_directory, "category_tree": catalog.category_tree, "product_search": lambda m: catalog.search(m, words=["a", "e"], low="950", high="1400"), "product_search_category": _category_search,
     "product_search_page": lambda m: catalog.page(catalog.search(m), sort="price_asc", after=(950.0, 10)), "suggest_products": catalog.suggest, "suggest_categories": catalog.suggest_categories, "product_detail": catalog.product_detail,

@@ -79,6 +79,12 @@ class Market:
         k = F.col("k")
         return rows.select((key * 10 + k).alias("id"), key.alias("product_id"), (F.col("p_retailprice").cast(MONEY) + k * 10).cast("decimal(13,2)").alias("price"), (size * 10 + k).cast("int").alias("stock"), ((size * 3 + k * 7) % 40).cast("int").alias("reserved_stock"), (~((k == 2) & (key % 4 == 0))).alias("is_active"))
 
+    @cached_property
+    def product_image(self) -> DataFrame:
+        """Up to three images of each product, by its size."""
+        rows = self.raw("part").select("p_partkey", F.posexplode(F.filter(F.sequence(F.lit(-1), F.col("p_size") % 4 - 1), lambda k: k >= 0)).alias("sort_order", "k"))
+        return rows.select((F.col("p_partkey") * 10 + F.col("k")).alias("id"), F.col("p_partkey").alias("product_id"), "sort_order", F.concat(F.lit("/img/"), F.col("p_partkey"), F.lit("/"), F.col("k"), F.lit(".jpg")).alias("url"))
+
     @cached_property
     def order_item(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("checkout_id"), (F.col("l_partkey") % self._rows("supplier")).alias("vendor_id"), F.col("l_partkey").alias("product_id"), (F.col("l_partkey") * 10).alias("variant_id"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast(MONEY).alias("line_total"), "l_shipdate")
