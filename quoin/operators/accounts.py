@@ -52,17 +52,6 @@ def audit_feed(m: Market, limit: int = 50) -> DataFrame:
     return rows.select("id", "action", stamp("created_at"), F.coalesce("name", "phone", F.lit("النظام")).alias("actor"))
 
 
-SETTINGS = [("commission_rate", "0.12"), ("delivery_fee", '"4000"'), ("banner", '{"a": 1}')]
-
-
-def settings(m: Market, rows: list[tuple[str, str]] = SETTINGS) -> DataFrame:
-    """The two settings as numbers; a value of another JSON type gives the default."""
-    number = F.when(F.trim("value").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), F.col("value").try_cast("double"))
-    table = m.spark.createDataFrame(rows, "key string, value string").withColumn("number", number)
-    pick = lambda key, default: F.coalesce(F.max(F.when(F.col("key") == key, F.col("number"))), F.lit(default)).alias(key)
-    return table.agg(pick("commission_rate", 0.1), pick("delivery_fee", 5000.0))
-
-
 def favorites(m: Market) -> DataFrame:
     """What each user holds after all toggles: an odd number of them."""
     return m.favorite_toggle.groupBy("user_id", "product_id").agg(F.count("*").alias("toggles")).filter("toggles % 2 = 1").select("user_id", "product_id")

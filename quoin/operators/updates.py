@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import text
-from quoin.operators.accounts import SETTINGS, addresses
+from quoin.operators.accounts import addresses
 from quoin.operators.orders import stamp
 from quoin.sources.market import Market
 
@@ -130,13 +130,6 @@ def product_archive(m: Market) -> DataFrame:
     return set_fields(m.product.select("id", "vendor_id", "status"), asks, "id", "vendor_id", ("status",)).select("id", "status")
 
 
-def settings_update(m: Market, changes: tuple[tuple[str, str], ...] = (("commission_rate", "0.15"), ("delivery_fee", "6000"))) -> DataFrame:
-    """The settings after an upsert by key."""
-    old = m.spark.createDataFrame(SETTINGS, "key string, value string")
-    new = m.spark.createDataFrame(list(changes), "key string, value string")
-    return old.join(new, "key", "left_anti").unionByName(new)
-
-
 def complete_profile(m: Market) -> DataFrame:
     """Users after giving name and address; an empty address is stored as null."""
     key = F.col("id")

@@ -74,6 +74,38 @@ select event_id as id, user_id as actor_id, 'event.error' as action, ts as creat
 DONE = "('DELIVERED', 'COMPLETED')"
 
 # Shared steps that several queries start from, beside the views.
+#: Inputs by kind: their rows, and the rules in order.
+INPUTS = {
+    "otp": ("select id, case when id % 13 = 0 then substr(phone, 1, 9) else phone end as phone, substr(concat(' ', id * 977, ' '), 1, 12) as code, case when id % 17 = 0 then 'other' else 'login' end as purpose from app_user",
+        {"phone": "regexp_full_match(phone, '[+]9647[0-9]{9}')", "code": "regexp_full_match(trim(code), '[0-9]{4,8}')", "purpose": "purpose in ('login', 'verify')"}),
+    "profile": ("select id, name, case id % 3 when 0 then concat('u', id, '@example.com') when 1 then concat('u', id, '@x') end as email from app_user",
+        {"name": "length(trim(name)) between 2 and 60", "email": "email is null or regexp_full_match(email, '[a-z0-9]+@[a-z]+[.]com')"}),
+    "address": ("select u.id, name as full_name, phone, repeat('x', u.id % 205) as line, case when u.id % 19 <> 0 then c_nationkey end as area_id, case when u.id % 23 <> 0 then c_nationkey % 5 end as governorate_id from app_user u join customer on c_custkey = u.id where role = 'CUSTOMER'",
+        {"full_name": "length(trim(full_name)) between 2 and 60", "phone": "regexp_full_match(phone, '[+]9647[0-9]{9}')", "line": "length(line) between 3 and 200", "area": "area_id is not null", "governorate": "governorate_id is not null"}),
+    "vendor": ("select id, store_name, id * 37 % 600 as described, governorate_id, id % 3 as logo from vendor",
+        {"store_name": "length(trim(store_name)) between 2 and 80", "description": "described <= 500", "governorate": "governorate_id is not null", "logo": "logo <> 2", "payout_account": "true"}),
+    "decision": ("select id from vendor", {"decision": "id % 4 <> 3", "note": "id * 7 % 310 <= 300"}),
+    "status": ("select o_orderkey as id from orders", {"target": "o_orderkey % 8 in (1, 2, 3, 4, 6)", "note": "true"}),
+    "category": ("select id, name_ar from category", {"name": "length(name_ar) between 2 and 60", "icon": "length(id) * 3 <= 40", "sort_order": "length(id) >= 8"}),
+    "platform": ("select event_id as id, value from events where event_type = 'error'", {"commission_rate": "value / 80 between 0 and 1", "delivery_fee": "floor(value * 1500) between 0 and 100000"}),
+    "product": ("select id, title, base_price from product", {"title": "length(trim(title)) between 3 and 120", "category": "true", "price": "base_price between 250 and 100000000 and base_price % 1 = 0", "images": "id % 10 <= 8", "image": "id % 11 <> 0 or id % 10 = 0", "variants": "id % 29 <> 0"}),
+    "variant": ("select id, price, stock from product_variant", {"price": "price between 250 and 100000000 and price % 1 = 0", "stock": "stock - case when id % 31 = 0 then 1000 else 0 end between 0 and 1000000", "sku": "id % 70 <= 60"}),
+    "cart": ("select l_orderkey * 8 + l_linenumber as id, l_quantity * 2 as quantity, row_number() over () as r from lineitem", {"quantity": "quantity between 1 and 99"}),
+    "order": ("select o_orderkey as id from orders", {"address": "o_orderkey % 41 <> 0", "items": "o_orderkey % 6 >= 1", "note": "o_orderkey % 320 <= 300"}),
+    "review": ("select id, rating from review", {"rating": "rating + case when id % 9 = 0 then 1 else 0 end between 1 and 5", "comment": "id % 520 <= 500"}),
+    "list": ("select event_id as id, props, value from events where event_type = 'view'", {"limit": "event_id % 55 between 1 and 50", "phrase": "length(props) <= 80", "min_price": "value - 5 >= 0 and (value - 5) % 1 = 0", "sort": "event_id % 4 <> 3"}),
+}
+
+
+def _input_rules() -> str:
+    """A row for each input and rule; inputs that repeat an id have rows of their own by r."""
+    parts = []
+    for kind, (rows, holds) in INPUTS.items():
+        listed = ", ".join(f"{{'rule': '{kind}.{name}', 'n': {n}, 'ok': coalesce({rule.replace('o_orderkey', 'id').replace('event_id', 'id')}, false)}}" for n, (name, rule) in enumerate(holds.items()))
+        parts.append(f"select '{kind}' as kind, id::varchar as id, {'r' if kind == 'cart' else '0'} as r, unnest([{listed}], recursive := true) from ({rows})")
+    return " union all ".join(parts)
+
+
 STEPS = {
     "sold": f"""
 select i.product_id, cast(sum(i.quantity) as bigint) as sold_count from order_item i
@@ -141,6 +173,32 @@ select *, sent_at + to_seconds(seq * (code_id % 9 * 10 + 5)) >= sent_at + interv
   select id as code_id, created_at as sent_at, unnest(range(1, id % 8 + 2)) as seq from otp_code)""",
     "counted_try": """
 select *, count(*) filter (where not late and not matches) over (partition by code_id order by seq rows between unbounded preceding and 1 preceding) as wrong from try""",
+    "setting_change": """
+select event_id as id, ts, case when event_id % 4 = 3 then concat('banner_', event_id % 50) else ['commission_rate', 'delivery_fee', 'support_phone'][event_id % 3 + 1] end as key,
+  [n, concat(n, 'e-2'), concat('"', n, '"'), props, 'null', concat('{', n), concat('-', n, '.50')][event_id % 7 + 1] as value from (select *, regexp_extract(props, '([0-9]+)', 1) as n from events where event_type = 'error')""",
+    "typed_change": """
+select *, case when event_type = 'number' then cast(value as double) end as number, event_type as type from (
+  select *, case when not json_valid(value) then null when json_type(value) in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'number' when json_type(value) = 'VARCHAR' then 'string' else lower(json_type(value)) end as event_type from setting_change)""",
+    "setting_kept": """
+select key, arg_max(value, (ts, id)) as value, arg_max(id, (ts, id)) as id from setting_change where id % 2 = 0 group by 1""",
+    "setting_now": """
+select coalesce(max(number) filter (where t.key = 'commission_rate'), 0.1::double) as commission_rate, coalesce(max(number) filter (where t.key = 'delivery_fee'), 5000::double) as delivery_fee from typed_change t where id in (select id from setting_kept)""",
+    "session_log": """
+select event_id as id, user_id, ts, event_type, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id) as chain from events where event_type in ('click', 'error', 'signup')""",
+    "made_log": """
+select id, chain, greatest(0, row_number() over (partition by chain, user_id order by ts, id) - 1 - case when id % 3 = 0 then 1 else 0 end) as number, ts as moment, case when event_type = 'error' and id % 5 = 0 then 'logout' else 'refresh' end as kind
+from session_log where event_type <> 'signup'""",
+    "session_step": """
+select l.*, row_number() over (partition by l.chain order by l.moment, l.id) as k, coalesce(u.is_blocked, true) as blocked from made_log l join otp_code o on o.id = l.chain left join app_user u on u.id = o.phone_key""",
+    "token_state": """
+select id as chain, cast(null as bigint) as id, cast(0 as bigint) as k, cast(0 as bigint) as after, created_at as issued_at, true as is_open, cast(null as varchar) as verdict from otp_code
+union all
+select chain, id, k, case when kind = 'refresh' and verdict in ('ok', 'blocked') then after + 1 else after end, case when kind = 'refresh' and verdict in ('ok', 'blocked') then moment else issued_at end,
+  is_open and not (kind = 'logout' and number = after), verdict
+from (select x.*, t.after, t.issued_at, t.is_open, case when kind = 'logout' then 'ok' when number > t.after then 'unknown' when number < t.after or not t.is_open then 'revoked'
+    when moment >= t.issued_at + interval 5 days then 'expired' when blocked then 'blocked' else 'ok' end as verdict from token_state t join session_step x on x.chain = t.chain and x.k = t.k + 1)""",
+    "input_rule": _input_rules(),
+    "broken_rule": "select kind, id, r, rule, n from input_rule where not ok",
     "norm": r"""
 select doc_id, lower(trim(regexp_replace(translate(regexp_replace(nfkc, '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]', '', 'g'), 'آأإٱىةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'ااااي' || 'هوي' || '01234567890123456789'), '\s+', ' ', 'g'))) as t
 from (select doc_id, coalesce(text, '') as nfkc from documents)""",
@@ -324,7 +382,20 @@ select payout_id, vendor_id, cast(amount as double) as amount, strftime(period_e
     "audit_feed": """
 select a.id, a.action, strftime(a.created_at, '%Y-%m-%d %H:%M:%S') as created_at, coalesce(u.name, u.phone, 'النظام') as actor
 from (select * from audit_log order by created_at desc, id desc limit 50) a left join app_user u on u.id = a.actor_id""",
-    "settings": "select cast(0.12 as double) as commission_rate, cast(5000 as double) as delivery_fee",
+    "settings": "select * from setting_now",
+    "validation_rejects": "select kind, id, string_agg(rule, ',' order by n) as broken from broken_rule group by kind, id, r",
+    "validation_report": """
+select rule as rule_id, count(*) filter (where not ok) as broken, count(*) as total from input_rule group by 1""",
+    "setting_types": """
+select id, key, type, number, coalesce(number, case key when 'commission_rate' then 0.1 when 'delivery_fee' then 5000 end::double) as read_as from typed_change""",
+    "settings_in_force": """
+select v.id, cast(rate as double) as rate, cast(floor(100000 * rate + 0.5) as double) as on_100000, delivery_fee
+from (select id, coalesce(commission_rate, cast(least(greatest((select commission_rate from setting_now), 0), 1) as decimal(5,4))) as rate from vendor) v, setting_now""",
+    "product_search_indexed": "select id, title, vendor_id, store_name, category_id, cast(base_price as double) as base_price from listed where contains(title_norm, 'ing') and contains(title_norm, 're')",
+    "suggest_indexed": "select l.id, l.title, coalesce(s.sold_count, 0) as sold_count from listed l left join sold s on s.product_id = l.id where contains(title_norm, 'ring') order by sold_count desc, l.id limit 6",
+    "document_phrases": "select doc_id from documents where contains(lower(text), 'ation') and contains(lower(text), 'ment')",
+    "session_rotation": """
+select id, case when kind = 'logout' then 'ok' when made_log.chain is null then 'unknown' else verdict end as verdict, case when kind = 'refresh' and verdict = 'ok' then after end as issued from made_log left join token_state using (id)""",
     "vendor_inventory": """
 select p.id, p.vendor_id, p.status, coalesce(cast(sum(x.stock) as bigint), 0) as stock, coalesce(cast(sum(x.reserved_stock) as bigint), 0) as reserved, count(x.id) as variants
 from product p left join product_variant x on x.product_id = p.id group by 1, 2, 3""",
@@ -412,7 +483,9 @@ select id, case when id % 3 = 0 then concat('متجر ', id) else store_name end
 select id, price, stock, is_active, stock < reserved_stock as oversold from (select x.id, reserved_stock, cast(case when hit and x.id % 3 = 0 then 2500 else price end as double) as price, case when hit then cast(x.id % 20 as int) else stock end as stock, is_active and not (hit and x.id % 8 = 0) as is_active
 from (select *, id % 6 = 0 and id % 4 = 0 as hit from product_variant) x)""",
     "product_archive": "select id, case when id % 18 = 0 then 'ARCHIVED' else status end as status from product",
-    "settings_update": """select * from (values ('banner', '{"a": 1}'), ('commission_rate', '0.15'), ('delivery_fee', '6000')) t(key, value)""",
+    "settings_update": """
+select key, value from setting_kept where key not in (select key from setting_change where id % 2 = 1)
+union all select key, arg_max(value, (ts, id)) as value from setting_change where id % 2 = 1 group by 1""",
     "complete_profile": """
 select id, case when role = 'CUSTOMER' and id % 10 = 0 then concat('User ', id) else name end as name, case when role = 'CUSTOMER' and id % 20 = 10 then concat('u', id, '@example.com') end as email from app_user""",
 }

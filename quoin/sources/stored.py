@@ -19,9 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that later stages don't compute it again and
-    a lost executor costs only the tasks it ran."""
+    a lost executor costs only the tasks it ran. ``by`` names a column whose values get folders of their own."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quoin/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
