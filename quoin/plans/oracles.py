@@ -197,6 +197,13 @@ select chain, id, k, case when kind = 'refresh' and verdict in ('ok', 'blocked')
   is_open and not (kind = 'logout' and number = after), verdict
 from (select x.*, t.after, t.issued_at, t.is_open, case when kind = 'logout' then 'ok' when number > t.after then 'unknown' when number < t.after or not t.is_open then 'revoked'
     when moment >= t.issued_at + interval 5 days then 'expired' when blocked then 'blocked' else 'ok' end as verdict from token_state t join session_step x on x.chain = t.chain and x.k = t.k + 1)""",
+    "swept_order": """
+select * replace (case when status = 'PENDING' and placed_at + interval 30 minutes <= timestamp '1998-01-01' then 'CANCELLED' else status end as status) from vendor_order""",
+    "my_order": """
+select *, max(place) over (partition by customer_id) as most from (
+  select o.customer_id, cast(row_number() over (partition by o.customer_id order by o.placed_at desc, o.checkout_id, o.vendor_id) as int) as place, o.checkout_id, o.vendor_id, v.store_name, o.status, o.item_count,
+    (select arg_min(p.title, i.product_id) from order_item i join product p on p.id = i.product_id where i.checkout_id = o.checkout_id and i.vendor_id = o.vendor_id) as first_item,
+    strftime(o.placed_at, '%Y-%m-%d %H:%M:%S') as placed_at, cast(o.subtotal + 5000 as double) as total from swept_order o left join vendor v on v.id = o.vendor_id)""",
     "input_rule": _input_rules(),
     "broken_rule": "select kind, id, r, rule, n from input_rule where not ok",
     "norm": r"""
@@ -383,6 +390,14 @@ select payout_id, vendor_id, cast(amount as double) as amount, strftime(period_e
 select a.id, a.action, strftime(a.created_at, '%Y-%m-%d %H:%M:%S') as created_at, coalesce(u.name, u.phone, 'النظام') as actor
 from (select * from audit_log order by created_at desc, id desc limit 50) a left join app_user u on u.id = a.actor_id""",
     "settings": "select * from setting_now",
+    "my_orders_swept": "select customer_id, place, checkout_id, vendor_id, store_name, status, item_count, first_item, placed_at, total, most > 5 as has_next from my_order where place <= 5",
+    "my_orders_next": "select customer_id, cast(place - 5 as int) as place, checkout_id, vendor_id, store_name, status, item_count, first_item, placed_at, total, most > 10 as has_next from my_order where place between 6 and 10",
+    "dashboard": f"""
+select (select count(*) from app_user) as users, (select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from vendor group by 1)) as vendors,
+  (select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from product group by 1)) as products, (select string_agg(concat(status, ':', n), ',' order by status) from (select status, count(*) as n from swept_order group by 1)) as orders,
+  cast(coalesce(sum(o.subtotal + o.delivery_fee), 0) as double) as gmv, cast(coalesce(sum(c.amount), 0) as double) as commission_revenue, count(*) as realized_orders,
+  (select count(*) from vendor where status = 'PENDING') as pending_vendors, (select count(*) from product where status = 'PENDING_REVIEW') as pending_products
+from swept_order o join commission c on c.checkout_id = o.checkout_id and c.vendor_id = o.vendor_id where o.status in {DONE}""",
     "validation_rejects": "select kind, id, string_agg(rule, ',' order by n) as broken from broken_rule group by kind, id, r",
     "validation_report": """
 select rule as rule_id, count(*) filter (where not ok) as broken, count(*) as total from input_rule group by 1""",
