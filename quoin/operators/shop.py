@@ -20,7 +20,8 @@ def cart_lines(adds: DataFrame, variants: DataFrame) -> DataFrame:
 def cart_totals(m: Market) -> DataFrame:
     """Each checkout's lines as a cart: units, subtotal, and delivery for each of its distinct vendors."""
     lines = cart_lines(m.order_item.select(F.col("checkout_id").alias("cart_id"), "variant_id", "quantity"), m.product_variant)
-    vendors = m.product.select((F.col("id") * 10).alias("variant_id"), "vendor_id")
+    owners = m.product.select(F.col("id").alias("product_id"), "vendor_id")
+    vendors = m.product_variant.select(F.col("id").alias("variant_id"), "product_id").join(owners, "product_id").select("variant_id", "vendor_id")
     sums = lines.join(vendors, "variant_id").groupBy("cart_id").agg(F.sum("quantity").alias("units"), F.sum(F.col("price") * F.col("quantity")).cast(MONEY).alias("subtotal"), F.count_distinct("vendor_id").alias("vendors"))
     delivery = F.col("vendors") * DELIVERY_FEE
     return sums.select("cart_id", "units", F.col("subtotal").cast("double").alias("subtotal"), delivery.cast("double").alias("delivery"), (F.col("subtotal") + delivery).cast("double").alias("total"))
@@ -32,8 +33,10 @@ def review_mine(m: Market) -> DataFrame:
     return newest.select("user_id", "product_id", "r.id", "r.rating", "r.status")
 
 
-def auth_me(m: Market) -> DataFrame:
-    return m.app_user.filter("not is_blocked").select("id", "phone", "name", "role")
+def auth_me(m: Market, user_id: int | None = None) -> DataFrame:
+    """What a user who isn't blocked sees of itself; all such users if none is named."""
+    rows = m.app_user if user_id is None else m.app_user.filter(F.col("id") == user_id)
+    return rows.filter("not is_blocked").select("id", "phone", "name", "role")
 
 
 def vendor_product_detail(m: Market) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,17 +57,17 @@ def code_limits(codes: DataFrame, late: str = "10 minutes") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
+        times = sorted(state.get[0]) if state.exists else []
         out = []
         rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
         for code, at in zip(rows["id"], rows["created_at"], strict=True):
             now = int(at.timestamp() * 1000)
-            short, long = (sum(now - minutes * 60_000 <= t <= now for t in times) for minutes in (10, 60))
+            short, long = (bisect_right(times, now) - bisect_left(times, now - minutes * 60_000) for minutes in (10, 60))
             out.append((key[0], code, at, short, long, short >= 3 or long >= 8))
-            times.append(now)
-        times = [t for t in times if t >= max(times) - 3_600_000]
+            insort(times, now)
+        times = times[bisect_left(times, times[-1] - 3_600_000) :]
         state.update((times,))
-        state.setTimeoutTimestamp(max(max(times) + 3_600_000, state.getCurrentWatermarkMs()) + 1)
+        state.setTimeoutTimestamp(max(times[-1] + 3_600_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["phone_key", "id", "created_at", "short", "long", "refused"])
 
     seen = codes.select("phone_key", "id", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark("created_at", late).groupBy("phone_key")
