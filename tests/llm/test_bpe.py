@@ -3,12 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quoin.llm.bpe import Bpe, decode_bpe, digest_bpe, encode_bpe
 
-TEXTS = ["", " ", "a", "a  b", "a   b ", " lead", "don't they're 'S x's 'll", "tab\tand\nline \n next", "\n\n x", "é ü 東京 　 y", "a <|endoftext|> b<|endoftext|><|endoftext|", "x" * 3000, "ab" * 5000, " " * 3000, "n 1 23 456.7%", "mixed   nbsp", "a\x1cb\x1f c\x85d", "😀👩‍👩‍👧 ﷺ", "\x00\x01"]
+TEXTS = ["", " ", "a", "a  b", "a   b ", " lead", "don't they're 'S x's 'll", "tab\tand\nline \n next", "\n\n x", "é ü 東京 　 y", "a <|endoftext|> b<|endoftext|><|endoftext|", "x" * 3000, "ab" * 5000, " " * 3000, "n 1 23 456.7%", "mixed   nbsp", "a\x1cb\x1f c\x85d", "😀👩‍👩‍👧 ﷺ", "\x00\x01", " \n x", "a \n", "a \xa0b", "  a  ", "a \u2028 b", "x\ny " * 50]
 
 
 def library():
@@ -28,9 +29,11 @@ def test_ids_equal_the_library_with_and_without_kept_words():
             assert ids_of(own, t) == theirs.encode(t, add_special_tokens=False).ids, repr(t)
             assert own.decode(ids_of(own, t)) == t
     assert own.kept
+    assert own.encode_all(pa.array(texts)).to_pylist() == [ids_of(own, t) for t in texts]
+    assert own.encode_all(pa.array([], pa.string())).to_pylist() == [] and own.encode_all(pa.array(["", ""])).to_pylist() == [[], []]
     small = Bpe(cache_bytes=2000)
     assert [ids_of(small, t) for t in texts[:200]] == [ids_of(own, t) for t in texts[:200]]
-    assert small.held < 2000 + 500
+    assert small.held < 1000 + 500 and small.old
 
 
 def test_any_ids_are_decoded_as_the_library_does():
@@ -38,6 +41,8 @@ def test_any_ids_are_decoded_as_the_library_does():
     for _ in range(3000):
         ids = [rnd.randrange(50300) for _ in range(rnd.randint(0, 8))]
         assert own.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+        lists = pa.array([[7], ids, None, [], [None, 50256, 10**6, -5]], pa.list_(pa.int32()))
+        assert own.decode_all(lists).to_pylist() == [own.decode([7]), own.decode(ids), "", "", "<|endoftext|>"] and own.decode_all(lists[1:2]).to_pylist() == [own.decode(ids)]
 
 
 def test_merges_go_by_rank_then_place():
@@ -46,9 +51,10 @@ def test_merges_go_by_rank_then_place():
     for _ in range(500):
         word = bytes(rnd.choice(b" aaeinrstth") for _ in range(rnd.randint(1, 40)))
         ids = [bpe.first[b] for b in word]
-        while found := [(bpe.pairs[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in bpe.pairs]:  # noqa: B905
+        pair = lambda i: bpe.pairs.get(ids[i] << bpe.bits | ids[i + 1])
+        while found := [(pair(i) >> bpe.bits, i) for i in range(len(ids) - 1) if pair(i) is not None]:
             _, i = min(found)
-            ids[i : i + 2] = [bpe.pairs[ids[i], ids[i + 1]][1]]
+            ids[i : i + 2] = [pair(i) & (1 << bpe.bits) - 1]
         assert bpe.merge(word) == ids
 
 
