@@ -121,10 +121,12 @@ def admission(requests: DataFrame, stock: DataFrame, rounds: int = 2, fold_lines
     rows = store(by_cart(lines, carts).select(*OPEN, F.when(~F.col("possible"), False).alias("state")), "admission")
     settled = [rows]
     while True:
-        for _ in range(rounds if rows.filter("state is null").count() > fold_lines else 0):
+        n = rows.filter("state is null").count()
+        for _ in range(rounds if n > fold_lines else 0):
             rows = by_bounds(rows, hot_rows)
             settled.append(rows)
-        left = store(open_lines(rows, hot_rows), "open")
+        untouched = rows is settled[0]  # nothing is admitted yet
+        left = rows.filter("state is null").select(*OPEN) if untouched and n <= fold_lines else store(open_lines(rows, hot_rows), "open")
         n = left.count()
         if not n:
             break
@@ -135,6 +137,8 @@ def admission(requests: DataFrame, stock: DataFrame, rounds: int = 2, fold_lines
         if every:
             break
     known = union_all([r.filter("state is not null").select(F.col("checkout_id").alias("cart"), "placed_at", F.col("state").alias("admitted")) for r in settled]).distinct()
-    judged = store(by_cart(asked.drop("placed_at"), known).join(there, F.col("variant_id") == F.col("of"), "left").drop("of").withColumn("nth", F.monotonically_increasing_id()), "judged")
-    sums = running_sums(judged, "variant_id", [*ORDER, "quantity", "nth"], {"gone": F.when(F.col("admitted"), F.col("quantity").cast("long"))}, hot_rows)
+    judged = by_cart(asked.drop("placed_at"), known).join(there, F.col("variant_id") == F.col("of"), "left").drop("of").withColumn("nth", F.monotonically_increasing_id())
+    lines = asked.count()
+    judged = store(judged, "judged") if lines > hot_rows else judged
+    sums = running_sums(judged, "variant_id", [*ORDER, "quantity", "nth"], {"gone": F.when(F.col("admitted"), F.col("quantity").cast("long"))}, hot_rows, lines)
     return sums.select("checkout_id", "variant_id", "quantity", "admitted", (F.coalesce("available", F.lit(0)) - F.col("gone")).cast("int").alias("left"))

@@ -34,12 +34,13 @@ def with_serials(rows: DataFrame, order: list[str], name: str = "serial", base:
     return ranged.join(F.broadcast(offsets), "range_part").withColumn(name, (base + F.col("range_offset") + F.col("range_place") + 1).cast("long")).drop("range_part", "range_place", "range_offset")
 
 
-def running_sums(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], hot_rows: int = 1_000_000) -> DataFrame:
+def running_sums(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], hot_rows: int = 1_000_000, count: int | None = None) -> DataFrame:
     """rows with running sums of whole numbers over each key's rows in the order of ``order`` (unique in a key), the row itself
     included; nulls add nothing. rows is a stored table: keys with more than hot_rows rows are looked for first, and dealt to
-    range partitions, whose sums are carried from one to the next; the others are sums over a window each."""
+    range partitions, whose sums are carried from one to the next; the others are sums over a window each. ``count``: how many
+    rows there are, if that is known."""
     local = lambda df, *by: df.withColumns({n: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) for n, c in sums.items()})
-    if rows.count() <= hot_rows:
+    if (rows.count() if count is None else count) <= hot_rows:
         return local(rows, key)
     hot = store(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select(F.col(key).alias("hot_key")), "hot_keys")
     if hot.isEmpty():
