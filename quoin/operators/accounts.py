@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import rules, text
 from quoin.operators.orders import stamp
+from quoin.operators.settings import typed
 from quoin.sources.market import Market
 
 
@@ -52,6 +53,11 @@ def audit_feed(m: Market, limit: int = 50) -> DataFrame:
     return rows.select("id", "action", stamp("created_at"), F.coalesce("name", "phone", F.lit("النظام")).alias("actor"))
 
 
+def settings(m: Market, rows: list[tuple[str, str]]) -> DataFrame:
+    """The two settings of rows (key, value) as numbers; a value of another JSON type gives the default."""
+    return typed(m.spark.createDataFrame(rows, "key string, value string"))
+
+
 def favorites(m: Market) -> DataFrame:
     """What each user holds after all toggles: an odd number of them."""
     return m.favorite_toggle.groupBy("user_id", "product_id").agg(F.count("*").alias("toggles")).filter("toggles % 2 = 1").select("user_id", "product_id")
