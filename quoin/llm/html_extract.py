@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is read once into blocks of text, each with the chain of elements that hold it. A classifier sums graded evidence
-(containers, words of class names, links, length) into log odds, which are the capacities between a block and the two
-terminals, content and boilerplate. Blocks that follow each other or share a container are joined by smoothness
-edges, the weaker the farther apart they stand in the document tree. Capacities and edges are of one order, so a block of
+(containers, words of class names, links, length, sentences that only notices have) into log odds, which are the capacities
+between a block and the two terminals, content and boilerplate. No word decides alone: a listed word in a name with other
+words weighs less than what a paragraph of an article earns, and a notice's phrase weighs as much as its sentence's share of
+the block, and little inside an article, as texts have lines of licences of their own. Blocks that follow each other or share
+a container are joined by smoothness edges, the weaker the farther apart they stand in the document tree. Capacities and edges are of one order, so a block of
 weak evidence takes the label of those around it. The minimum cut is the labelling of least total cost. A block whose own
 capacity exceeds all its edges together keeps its label in every minimum cut; max-flow runs on all others.
 
@@ -34,9 +36,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 BOILER = frozenset("nav footer aside form menu dialog head header".split())
 MAIN = frozenset("article main".split())
-#: Words of class names, ids and roles that tell boilerplate in any company.
+#: Words of class names, ids and roles that tell boilerplate, alone or beside each other and words of layout.
 STRONG = frozenset("ad ads advert advertisement sponsor sponsored promo promotion cookie cookies consent popup modal overlay newsletter navbar navigation breadcrumb breadcrumbs footer masthead sidebar related recommended comments disqus pagination pager gdpr".split())
-#: Those that do so alone, or beside words of layout.
+#: Those that name parts of articles too.
 WEAK = frozenset("banner notice subscribe signup login share sharing social nav menu header side aside widget comment reply replies respond discussion form search toolbar legal copyright alert".split())
 LAYOUT = frozenset("area bar block bottom box btn button buttons container content group inner item items left links list main outer page panel right row section site slot small top wrap wrapper".split())
 MAIN_WORDS = frozenset("article content main post story entry body text".split())
@@ -48,9 +50,18 @@ COMMENT_END = re.compile(r"--!?>")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
+NUMBERED = re.compile(r"\d+(?:x\d+)?")
+#: Sentences that only notices, forms and links to other parts of a site have, in the four languages of the corpus.
+NOTICE = re.compile(
+    r"all rights reserved|\(c\) ?\d{4}|© ?\d{4}|copyright ©|sign up for (?:our|the|free)|subscribe to (?:our|the) (?:news|letter|list)|join our (?:mailing|news)|(?:we|this (?:site|page|website)) uses? cookies|accept (?:all )?cookies"
+    r"|(?:read|see) our (?:privacy|cookie|terms)|terms (?:of (?:use|service)|and conditions) apply|log in to (?:comment|reply)|leave a (?:comment|reply)|share (?:this|on) (?:article|page|post|facebook)|follow us on|click here to (?:subscribe|sign)"
+    r"|alle rechte vorbehalten|wir verwenden cookies|newsletter abonnieren|melden sie sich (?:an|für unseren)|tous droits réservés|nous utilisons des cookies|abonnez-vous à|inscrivez-vous à|todos los derechos reservados|usamos cookies|utilizamos cookies|suscr[ií]bete a",
+    re.I,
+)
+SENTENCE = re.compile(r"[^.!?…]+[.!?…]*")
 
 # Log odds of the classifier, and the smoothness edges.
-IN_MAIN, BESIDE_MAIN, BY_TAG, BY_STRONG, BY_WEAK, BY_HALF, BY_MAIN_WORD, FLOOR, HIDDEN = 2.0, -2.5, -4.0, -4.0, -4.0, -1.5, 0.8, -8.0, -20.0
+IN_MAIN, BESIDE_MAIN, BY_TAG, BY_NAME, BY_HALF, BY_MAIN_WORD, BY_NOTICE, BY_NOTICE_IN_MAIN, FLOOR, HIDDEN = 2.0, -2.5, -4.0, -4.0, -1.5, 0.8, -6.5, -1.5, -8.0, -20.0
 ADJACENT, SIBLING, NEAR = 1.2, 0.4, 8
 
 
@@ -85,13 +96,11 @@ def evidence(tag: str, attributes: dict[str, str]) -> tuple[float, float]:
         for token in attributes[name].lower().split() if name in attributes else ():
             words = {w for w in SPLIT.split(token) if w}
             weak, strong = words & WEAK, words & STRONG
-            alone = words <= WEAK | STRONG | (LAYOUT if tag != "article" else frozenset())
+            alone = all(w in WEAK or w in STRONG or tag != "article" and (w in LAYOUT or NUMBERED.fullmatch(w)) for w in words)
             if tag in ("body", "html", "main") or tag == "article" and not alone:
                 continue
-            if strong:
-                against = min(against, BY_STRONG)
-            elif weak:
-                against = min(against, BY_WEAK if alone else BY_HALF)
+            if strong or weak:
+                against = min(against, BY_NAME if alone else BY_HALF)
             if words & MAIN_WORDS and not strong and not (weak and alone):
                 support = BY_MAIN_WORD
     return against, support
@@ -201,7 +210,7 @@ class Reader:
             if self.aside and self.aside[-1][0] == tag:
                 name, inner, *rest = self.aside[-1]
                 self.aside[-1] = (name, inner + 1, *rest)
-            elif attributes and tag not in VOID and evidence(tag, attributes)[0] <= BY_STRONG:
+            elif attributes and tag not in VOID and evidence(tag, attributes)[0] <= BY_NAME:
                 self.aside.append((tag, 0, self.parent, self.parts, self.links))
                 self.number += 1
                 self.parent, self.parts, self.links = Element(tag, self.parent, self.number, attributes), [], 0
@@ -256,13 +265,20 @@ def blocks_of(page: str) -> list[Block]:
     return Reader(page).blocks()
 
 
+def notice_share(text: str) -> float:
+    """The share of a text's characters that stand in sentences of notices."""
+    if not NOTICE.search(text):
+        return 0.0
+    return sum(m.end() - m.start() for m in SENTENCE.finditer(text) if NOTICE.search(m[0])) / len(text)
+
+
 def costs(block: Block, has_main: bool) -> float:
     """Log odds that a block is content."""
     held, n = block.parent, len(block.text)
     if held.boiler <= HIDDEN:
         return HIDDEN
     density = block.links / n
-    odds = held.prior + held.boiler + min(1.2, math.log1p(n) / 3 - 1.0)
+    odds = held.prior + held.boiler + min(1.2, math.log1p(n) / 3 - 1.0) + (BY_NOTICE_IN_MAIN if held.main else BY_NOTICE) * notice_share(block.text)
     if held.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
         odds += 0.5 if held.main or held.boiler else 2.0
     if held.main:
@@ -392,7 +408,7 @@ def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """Adds text (empty if there is none) and n_chars (code points), replacing columns so named. Null html is empty; equal rows
     stay separate rows; no page is cut, whatever its length."""
     made = ("text", "n_chars")
-    kept = [c for c in pages.columns if c.lower() not in made]
+    kept = [c for c in pages.columns if c == html_column or c.lower() not in made]
     rows, at = pages.select(*kept), kept.index(html_column)
     others = [c for c in kept if c != html_column]
 

@@ -91,3 +91,29 @@ def test_query(spark, tmp_path):
     assert [r.text for r in got] == [main_text(PAGE), "", "", ""] and [r.n_chars for r in got] == [len(main_text(PAGE)), 0, 0, 0]
     pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
     assert extract_text(pages).columns == ["page_id", "url", "text", "n_chars"] and extract_text(pages.limit(0)).count() == 0
+
+
+SENTENCE = "A sentence of the article, with a number of words in it, that says something. "
+
+
+@pytest.mark.parametrize("name", ["cookie-recipe", "related-work", "modal-verbs", "newsletter-history", "popup-theatre"])
+def test_no_word_of_a_name_decides_alone(name):
+    page = f"<body><article><h1>Head</h1><section class='{name}'>" + f"<p>{SENTENCE * 3}</p>" * 3 + "</section></article></body>"
+    assert main_text(page) == "\n".join(["Head", *[(SENTENCE * 3).strip()] * 3])
+    assert main_text(page.replace(name, name.split("-")[0] + "-box")) == main_text(page.replace(name, "ad-300x250")) == "Head"
+
+
+@pytest.mark.parametrize("tag", ["div", "p"])
+def test_notices_without_listed_names(tag):
+    notices = f"<{tag}>All rights reserved by the owner of these pages.</{tag}><{tag}>Sign up for our letter and get tips every week.</{tag}>"
+    body = "<h1>Head</h1>" + f"<p>{SENTENCE * 3}</p>" * 3
+    text = "\n".join(["Head", *[(SENTENCE * 3).strip()] * 3])
+    assert main_text(f"<body><div>{body}{notices}</div></body>") == text
+    assert main_text(f"<body><article>{body}<p>All rights reserved.</p></article></body>") == text + "\nAll rights reserved."
+    assert main_text(f"<body><div>{body}<p>{SENTENCE * 2}They wrote that all rights reserved were void. {SENTENCE * 3}</p></div></body>").count("\n") == 4
+
+
+def test_html_in_a_column_named_text(spark):
+    pages = spark.createDataFrame([(1, "<article><p>Kept</p></article>", 5), (2, None, 6)], "page_id long, text string, N_CHARS int")
+    out = extract_text(pages, "text")
+    assert out.columns == ["page_id", "text", "n_chars"] and sorted(map(tuple, out.collect())) == [(1, "Kept", 4), (2, "", 0)]
