@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Each word of a clause is read as a symbol: an insult (a learned stem), a negation, a verb of speech, a quotation mark, an
-intent, a harm, a target, or another word. Four transducers rewrite the symbols, and their composition is one machine:
-*threat* (intent, harm, then a target within a few words), *target* (an insult close behind a target, or just before one),
-*negation* (what follows within a few words) and *reported* (behind a verb of speech, or inside quotation marks). *Insult* is
-the weighted acceptor of stems below them. The machine turns a clause into events such as ``insult+target+negated``; an
+intent, a harm, a target, an object (a target that may stand before its verb), a form of "to be", a word of contrast, or another
+word. Some symbols are runs of words (``going to``) or endings (``n't``). Four transducers rewrite the symbols, and
+their composition is one machine: *threat* (intent, harm, then a target within a few words, or an object just before the harm),
+*target* (an insult close behind a target, farther behind a target with a form of "to be", or just before a target),
+*negation* (what follows within a few words) and *reported* (behind a verb of speech, or inside quotation marks); a word of
+contrast ends negation and speech. *Insult* is the weighted acceptor of stems below them. Quotations are paired within a line,
+go on over the ends of clauses, and need their closing mark: one that is never closed quotes nothing. The machine turns a clause into events such as ``insult+target+negated``; an
 insult's event carries its stem's weight. A document's score is a logistic of the sums by event. Stems' weights and events'
 coefficients are learned from labelled rows; word classes are given below. A clause without a stem or a harm word has no
 event, so whole texts are first searched for these by an Aho-Corasick automaton, and only clauses around its
@@ -15,10 +18,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Callable, Hashable
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +35,36 @@ from quoin.llm.common import held_out, in_batches, store, table
 from quoin.llm.shingles import shingle_sets
 
 # Word classes of the grammar, in the four languages of the corpus.
-TARGETS = frozenset("you your you're he she they them him her these those du ihr euch dich sie er vous tu toi ils elle te vosotros usted ustedes tú él ella".split())
-NEGATIONS = frozenset("not never no isn't aren't wasn't don't nicht kein keine nie pas jamais nunca tampoco".split())
+TARGETS = frozenset("you your he she they him them her these those du ihr sie er vous tu toi ils elle vosotros usted ustedes tú él ella".split())
+OBJECTS = frozenset("te dich euch os ihn lui leur".split())
+COPULAS = frozenset("are is am was were be being been bist ist sind seid war es est sont êtes suis eres son soy sois".split())
+PREDICATES = frozenset("you're he's she's they're t'es c'est".split())
+NEGATIONS = frozenset("not never no nicht kein keine nie pas jamais nunca tampoco".split())
 SPEECH = frozenset("said says wrote writes called calls quoted reported alleged sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
-INTENTS = frozenset("will gonna shall werde werden vais allons voy vamos".split())
+INTENTS = frozenset("will gonna wanna shall werde werden wird vais allons va veux voy vamos quiero".split())
+#: Symbols of several words, each written with single spaces.
+INTENT_RUNS = ("going to", "want to", "wants to", "plan to", "about to", "have to", "need to", "möchte gern", "envie de", "tengo que")
 HARMS = frozenset("kill hurt destroy beat burn shoot stab töten umbringen schlagen verletzen tuer frapper blesser matar golpear herir".split())
-CLASSES = {w: name for name, words in (("target", TARGETS), ("intent", INTENTS), ("speech", SPEECH), ("negation", NEGATIONS), ("harm", HARMS)) for w in words}
-#: What events weigh before anything is learned, and after how many words negation, a target and a harm lose hold.
-RAISED, LOWERED, REPORTED, THREAT, REACH = 1.3, 0.35, 0.5, 2.0, 3
+CONTRASTS = frozenset("but however yet though although aber doch sondern mais pourtant pero sino aunque".split())
+GROUPS = {"target": TARGETS, "object": OBJECTS, "copula": COPULAS, "predicate": PREDICATES, "intent": INTENTS | {*INTENT_RUNS}, "speech": SPEECH, "negation": NEGATIONS, "harm": HARMS, "contrast": CONTRASTS}
+CLASSES = {w: name for name, words in GROUPS.items() for w in words}
+ENDINGS = {"n't": "negation", "'ll": "intent"}
+#: What events weigh before anything is learned; after how many words negation, a target and a harm lose hold, and a target with
+#: a form of "to be".
+RAISED, LOWERED, REPORTED, THREAT, REACH, FAR = 1.3, 0.35, 0.5, 2.0, 3, 8
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-PART = re.compile(WORD.pattern + r"|[\"“”„«»]")
+#: Opening marks of quotations with the marks that close them. An apostrophe never opens one.
+MARKS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "”": "”", "‘": "’"}
+MARK = re.compile(r"[\"“”„«»‘’]")
+PART = re.compile(r"\b(?:" + "|".join(r.replace(" ", r"[^\S\n]+") for r in INTENT_RUNS) + r")\b|" + WORD.pattern + "|" + MARK.pattern)
+SIGNS = frozenset("\"“”„«»‘’")
+SPACE = re.compile(r"\s+")
 CLAUSE_ENDS = ".!?;:\n"
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 STEMS = (4, 5, 6, 7, 8)
 END = "end"
-SYMBOLS = ("insult", "negation", "speech", "quote", "intent", "harm", "target", "other", END)
+SYMBOLS = ("insult", "quote", *GROUPS, "other", END)
 TRANSDUCERS = ("threat", "target", "negation", "reported")
 EVENTS = tuple(f"{kind}{n}{r}" for kind in ("insult", "insult+target", "threat") for n in ("", "+negated") for r in ("", "+reported"))
 PRIOR = np.array([(THREAT if "threat" in e else 1.0) * (RAISED if "target" in e else 1.0) * (LOWERED if "negated" in e else 1.0) * (REPORTED if "reported" in e else 1.0) for e in EVENTS])
@@ -94,33 +113,45 @@ def _is_word(symbol: str) -> bool:
 
 
 def _threat(state, symbol):
-    intent, left = state
+    """State: intent seen, words that a harm still reaches, whether an object stands within two words before."""
+    intent, left, near = state
     if symbol == END:
-        return (False, 0), (END,)
-    if symbol == "target" and left:
-        return (intent, 0), ("threat", "target")
+        return (False, 0, 0), (END,)
+    if symbol in ("target", "object") and left:
+        return (intent, 0, 0), ("threat", symbol)
+    if symbol == "harm" and intent and near:
+        return (intent, 0, 0), ("threat", symbol)
     if _is_word(symbol):
         left = REACH if symbol == "harm" and intent else max(0, left - 1)
-    return (intent or symbol == "intent", left), (symbol,)
+        near = 3 if symbol == "object" else max(0, near - 1)
+    return (intent or symbol == "intent", left, near), (symbol,)
 
 
 def _target(state, symbol):
+    """State: words that a target still reaches, whether an insult waits for the next word."""
     left, waiting = state
-    if symbol == "threat":  # a target is next
+    addressed = symbol in ("target", "object", "predicate")
+    if symbol == "threat":  # its target, or its harm, is next
         return (left, False), (*(("insult+target",) if waiting else ()), symbol)
-    out = [("insult+target" if symbol == "target" else "insult")] if waiting else []
+    out = [("insult+target" if addressed else "insult")] if waiting else []
     if symbol in ("quote", END):
         return (left if symbol == "quote" else 0, False), (*out, symbol)
     if symbol == "insult":
         return (max(0, left - 1), not left), (*out, *(("insult+target",) if left else ()))
-    return (REACH if symbol == "target" else max(0, left - 1), False), (*out, symbol)
+    if symbol == "contrast":
+        left = 0
+    elif symbol == "predicate" or symbol == "copula" and left:
+        left = FAR
+    else:
+        left = REACH if addressed else max(0, left - 1)
+    return (left, False), (*out, symbol)
 
 
 def _negation(left, symbol):
     if symbol == END:
         return 0, (END,)
     out = symbol + "+negated" if left and symbol.startswith(("insult", "threat")) else symbol
-    return (REACH if symbol == "negation" else max(0, left - _is_word(symbol))), (out,)
+    return (REACH if symbol == "negation" else 0 if symbol == "contrast" else max(0, left - _is_word(symbol))), (out,)
 
 
 def _reported(state, symbol):
@@ -128,10 +159,10 @@ def _reported(state, symbol):
     if symbol == END:
         return (False, False), (END,)
     out = symbol + "+reported" if (speech or quoted) and symbol.startswith(("insult", "threat")) else symbol
-    return (speech or symbol == "speech", quoted != (symbol == "quote")), (out,)
+    return ((speech or symbol == "speech") and symbol != "contrast", quoted != (symbol == "quote")), (out,)
 
 
-STEPS = {"threat": ((False, 0), _threat), "target": ((0, False), _target), "negation": (0, _negation), "reported": ((False, False), _reported)}
+STEPS = {"threat": ((False, 0, 0), _threat), "target": ((0, False), _target), "negation": (0, _negation), "reported": ((False, False), _reported)}
 
 
 @lru_cache(maxsize=16)
@@ -142,17 +173,56 @@ def machine(transducers: tuple[str, ...] = TRANSDUCERS) -> list[dict[str, tuple[
     return [{s: (to, tuple(EVENTS.index(o) for o in out if o in EVENTS)) for s, (to, out) in row.items()} for row in whole.arcs]
 
 
-def clause_events(parts: list[str], weight: Callable[[str], float], arcs: list, sums: dict[int, float]) -> None:
-    """Adds a clause's events to sums. ``weight`` maps a word to its weight as an insult, 0 if it is none."""
-    state, held = 0, deque()
-    for part in [*parts, END]:
-        if part is END:
+def symbol_of(part: str) -> str:
+    """The symbol of a word, or of a run of words, that is no insult."""
+    part = part.replace("’", "'") if "’" in part else part
+    found = CLASSES.get(part)
+    if found is None and " " in (run := SPACE.sub(" ", part)):
+        found = CLASSES.get(run)
+    return found or ENDINGS.get(part[-3:], "other")
+
+
+def quotation_marks(text: str, start: int, end: int) -> list[int]:
+    """Where quotations open and close in a line text[start:end], in order: an opening mark counts if a mark that closes it
+    follows, and inside a quotation no other mark does."""
+    marks = [(m.start(), m[0]) for m in MARK.finditer(text, start, end) if m[0] != "’" or not inside_word(text, m.start())]
+    last = {}  # where each mark stands last
+    for at, sign in marks:
+        last[sign] = at
+    out, closes = [], ""
+    for at, sign in marks:
+        if closes:
+            if sign in closes:
+                out.append(at)
+                closes = ""
+        elif sign in MARKS and any(last.get(c, -1) > at for c in MARKS[sign]):
+            out.append(at)
+            closes = MARKS[sign]
+    return out
+
+
+def inside_word(text: str, at: int) -> bool:
+    """Whether the mark at this place is an apostrophe between two letters."""
+    return text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha()
+
+
+def clause_events(text: str, start: int, end: int, marks: list[int], weight: Callable[[str], float], arcs: list, sums: dict[int, float]) -> None:
+    """Adds the events of the clause text[start:end] to sums. ``marks`` are the line's quotation marks; ``weight`` maps a word to
+    its weight as an insult, 0 if it is none."""
+    held, k = deque(), bisect_left(marks, start)
+    state = arcs[0]["quote"][0] if k % 2 else 0
+    for m in chain(PART.finditer(text, start, end), (None,)):
+        if m is None:
             symbol = END
-        elif w := weight(part):
+        elif m[0] in SIGNS:
+            if k == len(marks) or marks[k] != m.start():
+                continue
+            symbol, k = "quote", k + 1
+        elif w := weight(m[0]):
             symbol = "insult"
             held.append(w)
         else:
-            symbol = CLASSES.get(part) or ("other" if part[0].isalpha() else "quote")
+            symbol = symbol_of(m[0])
         state, events = arcs[state][symbol]
         for e in events:
             sums[e] = sums.get(e, 0.0) + (1.0 if EVENTS[e].startswith("threat") else held.popleft())
@@ -185,14 +255,19 @@ class Grammar:
     def events(self, text: str, automaton) -> dict[int, float]:
         """Sums by event over the clauses of a text."""
         low, arcs = text.lower(), machine(self.transducers)
-        sums, done = {}, -1
+        sums, done, line, marks = {}, -1, -1, []
         for at, n in automaton.iter(low) if len(automaton) else ():
             if at < done or (at - n >= 0 and low[at - n].isalpha()):
                 continue
             start = max(low.rfind(c, 0, at) for c in CLAUSE_ENDS) + 1 if done < 0 else max(done, max(low.rfind(c, done, at) for c in CLAUSE_ENDS) + 1)
             ends = CLAUSE_END.search(low, at)
             done = ends.start() + 1 if ends else len(low)
-            clause_events(PART.findall(low, start, done), self.weight, arcs, sums)
+            if start > line:  # the clause stands in another line than the one before
+                first = low.rfind("\n", 0, start) + 1
+                line = low.find("\n", start)
+                line = len(low) if line < 0 else line
+                marks = quotation_marks(low, first, line)
+            clause_events(low, start, done, marks, self.weight, arcs, sums)
         return sums
 
     def score(self, sums: dict[int, float]) -> float:

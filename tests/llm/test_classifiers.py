@@ -1,17 +1,18 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 from quoin.llm.quality import WIDTH, Voters, fit_voters, leading, op4_quality_classifier, score_quality, text_vector
-from quoin.llm.toxicity import CLASSES, EVENTS, PART, TRANSDUCERS, Grammar, clause_events, fit_grammar, logistic, machine, op6_toxicity, score_toxicity
+from quoin.llm.toxicity import EVENTS, PART, TRANSDUCERS, Grammar, clause_events, fit_grammar, logistic, machine, op6_toxicity, quotation_marks, score_toxicity, symbol_of
 
 
 def events(text, weights, transducers=TRANSDUCERS):
     sums = {}
-    clause_events(PART.findall(text), lambda w: weights.get(w, 0.0), machine(transducers), sums)
+    clause_events(text, 0, len(text), quotation_marks(text, 0, len(text)), lambda w: weights.get(w, 0.0), machine(transducers), sums)
     return {EVENTS[e]: v for e, v in sums.items()}
 
 
@@ -19,47 +20,82 @@ def test_transducers_compose():
     got = lambda s, *a: events(s, {"fool": 2.0, "ass": 1.0}, *a)
     assert got("the fool") == {"insult": 2} and got("a fine day") == got("") == {}
     assert got("you fool") == got("fool you") == {"insult+target": 2} and got("fool ass you") == {"insult": 2, "insult+target": 1}
-    assert got("not a fool") == {"insult+negated": 2} and got("not that he was such a fool") == {"insult": 2}
+    assert got("not a fool") == {"insult+negated": 2} and got("not that one saw such a fool") == {"insult": 2} and got("not that he was such a fool") == {"insult+target": 2}
     assert got("she called him a fool") == {"insult+target+reported": 2} and got('a "fool" and ass') == {"insult+reported": 2, "insult": 1}
     assert got("i will kill you") == {"threat": 1} and got("i will kill time") == got("they kill you") == {} and got("she said i will not kill you") == {"threat+negated+reported": 1}
     assert got("fool fool") == {"insult": 4}
     assert got("she said you fool", ("target",)) == {"insult+target": 2} and got("she said you fool", ()) == {"insult": 2}
 
 
-def plain_events(text, weights):
-    """The same events by looking around each word."""
-    out, parts = {}, PART.findall(text)
-    words = [(w, k) for k, w in enumerate(parts) if w[0].isalpha()]
+PAIRS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "”": "”", "‘": "’"}
+
+
+def plain_events(line, weight):
+    """The same events of a line by looking around each word."""
+    parts = [(m[0], m.start()) for m in re.finditer(PART.pattern + r"|[.!?;:]", line)]
+    quoted, marks, k = set(), set(), 0
+    while k < len(parts):  # a quotation: an opening mark and the nearest one that closes it
+        closing = next((c for c in range(k + 1, len(parts)) if parts[c][0] in PAIRS.get(parts[k][0], "")), None)
+        if closing is not None:
+            quoted |= set(range(k, closing))
+            marks |= {k, closing}
+            k = closing
+        k += 1
+    out, clause = {}, []
+    for k, (part, _) in enumerate([*parts, (".", 0)]):
+        if part in ".!?;:":
+            add_clause(clause, weight, out)
+            clause = []
+        elif part[0].isalpha() or k in marks:
+            clause.append((part, k in quoted))
+    return out
+
+
+def add_clause(clause, weight, out):
+    words = [(w, q, k) for k, (w, q) in enumerate(clause) if w[0].isalpha()]
+    kind = [None if weight(w) else symbol_of(w) for w, _, _ in words]
+    addressed = ("target", "object", "predicate")
     add = lambda e, v: out.update({e: out.get(e, 0.0) + v})
-    kind = [None if weights.get(w) else CLASSES.get(w) for w, _ in words]
-    waits = 0
-    for i, (w, k) in enumerate(words):
-        reported = "speech" in kind[:i] or parts[:k].count('"') % 2 == 1
-        tail = ("+negated" if "negation" in kind[max(0, i - 3) : i] else "") + ("+reported" if reported else "")
-        if weights.get(w):
-            near = "target" in kind[max(0, i - 3) : i] or kind[i + 1 : i + 2] == ["target"] and parts[k + 1] != '"'
-            add(f"insult{'+target' * near}{tail}", weights[w])
-        if kind[i] == "target" and waits:
+
+    def left(i):
+        """How many words on a target before word i still reaches."""
+        for j in range(i - 1, -1, -1):
+            far = 3 if kind[j] in ("target", "object") else 8 if kind[j] == "predicate" or kind[j] == "copula" and left(j) else None
+            if far or kind[j] == "contrast":
+                return max(0, (far or 0) - (i - 1 - j))
+        return 0
+
+    waits = near = 0
+    for i, (w, q, k) in enumerate(words):
+        since = max((j for j in range(i) if kind[j] == "contrast"), default=-1) + 1
+        tail = ("+negated" if "negation" in kind[max(since, i - 3) : i] else "") + ("+reported" if q or "speech" in kind[since:i] else "")
+        if weight(w):
+            before = i + 1 < len(words) and kind[i + 1] in addressed and words[i + 1][2] == k + 1
+            add(f"insult{'+target' * bool(left(i) or before)}{tail}", weight(w))
+        if kind[i] in ("target", "object") and waits or kind[i] == "harm" and near and "intent" in kind[:i]:
             add(f"threat{tail}", 1.0)
-            waits = 0
+            waits = near = 0
         else:
             waits = 3 if kind[i] == "harm" and "intent" in kind[:i] else max(0, waits - 1)
-    return out
+            near = 3 if kind[i] == "object" else max(0, near - 1)
+
+
+WORDS = ["you", "fool", "ass", "not", "said", "will", "kill", "him", "te", "are", "you're", "but", "going to", "don't", "x", "y", '"', "“", "”", "‘", "’"]
 
 
 def test_the_composition_against_looking_around_each_word():
     rnd = random.Random(14)
     weights = {"fool": 2.0, "ass": 1.0}
     for _ in range(20_000):
-        text = " ".join(rnd.choice(["you", "fool", "ass", "not", "said", "will", "kill", "him", "x", "y", '"']) for _ in range(rnd.randint(0, 12)))
-        assert events(text, weights) == pytest.approx(plain_events(text, weights)), text
+        text = " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 14)))
+        assert events(text, weights) == pytest.approx(plain_events(text, lambda w: weights.get(w, 0.0))), text
     assert len(machine()) > 100
 
 
 def brute(grammar, text):
     sums = {}
-    for clause in re.split(r"[.!?;:\n]", text.lower()):
-        for e, v in plain_events(clause, {w: grammar.weight(w) for w in PART.findall(clause)}).items():
+    for line in text.lower().split("\n"):
+        for e, v in plain_events(line, grammar.weight).items():
             sums[e] = sums.get(e, 0.0) + v
     return sums
 
@@ -69,11 +105,61 @@ def test_search_finds_the_clauses_that_a_full_parse_finds():
     grammar = Grammar({"fool": 2.0, "idio": 3.0, "bad$": 1.0})
     automaton = grammar.automaton()
     for _ in range(3000):
-        text = " ".join(rnd.choice(["you", "fool", "fools", "idiotic", "bad", "badly", "xfool", "not", "said", "x.", "will", "kill", "him", "ok;", "Fool\n", "é", '"']) for _ in range(rnd.randint(0, 14)))
+        text = " ".join(rnd.choice(["you", "fool", "fools", "idiotic", "bad", "badly", "xfool", "not", "said", "x.", "will", "kill", "him", "ok;", "Fool\n", "é", '"', "“", "”", "but", "are"]) for _ in range(rnd.randint(0, 18)))
         assert {EVENTS[e]: v for e, v in grammar.events(text, automaton).items()} == pytest.approx(brute(grammar, text)), text
     assert Grammar().events("anything", Grammar().automaton()) == {}
 
 
+def test_sentences_of_the_grammar():
+    grammar = Grammar({"stup": 2.0, "idio": 3.0})
+    automaton = grammar.automaton()
+    got = lambda text: {EVENTS[e]: v for e, v in grammar.events(text, automaton).items()}
+    assert got('"You are stupid. You are an idiot," he said.') == {"insult+target+reported": 5}
+    for text in ("I want to kill you", "I am going  to kill you", "I'll kill you", "I’ll kill you", "Je vais te tuer", "Ich werde dich töten", "Te voy a matar"):
+        assert got(text) == {"threat": 1}, text
+    assert got("I won't say that. I will kill time") == {} and got("They don't want to hurt you") == {"threat+negated": 1} and got("They don't ever want to hurt you") == {"threat": 1}
+    assert got("He never said that, but you are an idiot.") == {"insult+target": 3}
+    assert got("‘You are an idiot’, they told us") == got("»You are an idiot«") == {"insult+target+reported": 3} and got("the dogs’ idiot") == {"insult": 3}
+    for text in ("You are a big fat ugly lazy idiot", "You are, I think, an idiot", "You’re such a complete and utter idiot"):
+        assert got(text) == {"insult+target": 3}, text
+    assert got('a 5" idiot') == {"insult": 3} and got('"open\nidiot" and "no') == {"insult": 3}
+
+
+def test_long_lines_take_linear_time():
+    grammar = Grammar({"stup": 2.0})
+    automaton = grammar.automaton()
+    for text in ("stupid. " * 100_000, '"stupid. ' * 100_000, "‘stupid, " * 100_000, "« stupid\n" * 100_000):
+        start = time.process_time()
+        grammar.events(text, automaton)
+        assert time.process_time() - start < 4, text[:12]
+
+
+def test_each_transducer_decides_documents(spark):
+    """A planted table: an eighth of the clean documents hold the same words as the toxic ones, used in another way."""
+    rnd = random.Random(8)
+    toxic = ["you are a {f} {f} idiot", "I am going to kill you", "he never said that, but you are an idiot"]
+    twins = ["one idiot of {f} and {f}", "they said that you are an idiot", '"{f} you are an idiot. you are an idiot," as they put it', "you are not an idiot", "I never want to kill you"]
+    plain = ["I am going to see the {f} but you are {f}", "he never said that {f}", "people kill {f} and {f}", "you are a {f}"]
+    names = [a + b for a in "tree stone river cloud lamp chair paper glass".split() for b in "abcdefghij"]
+    rows = []
+    for k in range(3000):
+        y = k % 3 == 0
+        some = [rnd.choice(toxic if y else twins if rnd.random() < 1 / 8 else plain), rnd.choice(plain), *["{f} {f} {f} {f}"] * 4]
+        rnd.shuffle(some)
+        rows.append((k, re.sub("{f}", lambda _: rnd.choice(names), ".\n".join(some)), int(y)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = fit_grammar(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    automaton = grammar.automaton()
+
+    def wrong(transducers):
+        model = Grammar(grammar.stems, grammar.bias, grammar.coefficients, transducers)
+        return sum((model.score(model.events(text, automaton)) >= 0.5) != y for _, text, y in rows)
+
+    changed = {t: wrong(tuple(u for u in TRANSDUCERS if u != t)) for t in TRANSDUCERS}
+    assert wrong(TRANSDUCERS) <= 60, (wrong(TRANSDUCERS), changed, grammar)
+    assert min(changed.values()) > wrong(TRANSDUCERS) + 20, (wrong(TRANSDUCERS), changed)
+
+
 def test_coefficients_are_learned():
     rnd = np.random.default_rng(1)
     x = np.zeros((4000, len(EVENTS)))
