@@ -257,16 +257,17 @@ def decode(media: bytes) -> Audio:
 
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces or adds ``media`` (binary): the text's UTF-8 bytes, padded by zeros to a positive multiple of 64, as MPEG
-    audio. A null text counts as empty; other columns and repeated rows stay."""
-    kept = [c for c in docs.columns if c.lower() != "media"]
+    audio. A null text counts as empty; other columns and repeated rows stay. A text column named ``media`` is replaced."""
+    kept = [c for c in docs.columns if c == text or c.lower() != "media"]
+    others = [c for c in kept if c.lower() != "media"]
     rows = docs.select(*kept)
 
     def make(batches):
         for batch in batches:
             media = [encode(padded((t or "").encode())) for t in batch.column(kept.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(media, pa.binary())], names=[*kept, "media"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(kept.index(c)) for c in others), pa.array(media, pa.binary())], names=[*others, "media"])
 
-    return in_batches(rows, make, rows.withColumn("media", F.lit(b"")).schema)
+    return in_batches(rows, make, docs.select(*others).withColumn("media", F.lit(b"")).schema)
 
 
 MEASURES = "payload binary, duration_us long, sample_rate int, frames long, bad_sums long, skipped_bytes long, table_frames long, table_bytes long, intact boolean, seek_offsets array<long>, feature string"

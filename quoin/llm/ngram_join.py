@@ -247,11 +247,12 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
         return without_ids(docs, gone, doc_id)
     repeated = twice.select(F.col("doc_id").cast(id_type).alias(doc_id))
     once = without_ids(docs, store(gone.unionByName(repeated), "gone"), doc_id)
-    kept = rows.filter(stays & (F.col("n") > 0)).join(twice, "doc_id").select(F.col("doc_id").cast(id_type).alias(doc_id), F.col("n").alias("set_n"), F.col("d1").alias("set_d1"), F.col("d2").alias("set_d2")).distinct()
-    key = [doc_id, "set_n", "set_d1", "set_d2"]
-    more = with_digests(docs.join(repeated, doc_id, "left_semi"), text)
+    kept = rows.filter(stays & (F.col("n") > 0)).join(twice, "doc_id").select(F.col("doc_id").cast(id_type).alias("set_id"), F.col("n").alias("set_n"), F.col("d1").alias("set_d1"), F.col("d2").alias("set_d2")).distinct()
+    key = ["set_id", "set_n", "set_d1", "set_d2"]
+    whole = docs.join(repeated, doc_id, "left_semi").select(F.struct("*").alias("row"), F.col(doc_id).alias("set_id"), F.col(text).alias("set_text"))
+    more = with_digests(whole, "set_text")
     more = more.filter("set_n = 0").unionByName(more.filter("set_n > 0").dropDuplicates(key).join(kept, key, "left_semi"))
-    return once.unionByName(more.select(*docs.columns))
+    return once.unionByName(more.select("row.*"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,8 @@ def test_measures_of_a_media_column(spark):
     assert bytes(got[1].payload) == padded(b"some text") and got[1].intact and got[1].duration_us == 36000 and len(got[1].seek_offsets) == got[1].frames == 1
     assert bytes(got[2].payload) == bytes(64) and [got[k].frames for k in (3, 4)] == [0, 0] and got[4].skipped_bytes == 8 and got[3].seek_offsets == []
     assert measure_media(media.limit(0)).count() == 0
+
+
+def test_text_in_a_column_named_media(spark):
+    out = to_media(spark.createDataFrame([("some text", 1), (None, 2)], "media string, k int"), "media")
+    assert out.columns == ["k", "media"] and {r.k: decode(bytes(r.media)).payload for r in out.collect()} == {1: padded(b"some text"), 2: bytes(64)}

@@ -194,3 +194,11 @@ def test_sql_and_operator_agree_on_repeated_ids(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(map(tuple, got)) == by_sql(rows)
     assert by_sql([]) == []
+
+
+def test_extra_columns_with_clashing_names(spark):
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, words, 7, "a", 1), (1, "another text of some six words", 7, "b", 2), (2, words, 8, "c", 3), (None, words, 9, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_n int, row string, set_id int")
+    out = without_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r.row for r in out.collect()) == ["a", "b", "d"]
