@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quoin.functions import rules
 from quoin.operators.admission import admission
 from quoin.operators.catalog import sold_counts
-from quoin.sources.market import Market
+from quoin.sources.market import DELIVERY_FEE, PLATFORM_RATE, RATE, Market, commission_amount
 
 
 def stamp(column: str) -> Column:
@@ -81,6 +81,28 @@ def order_detail(m: Market) -> DataFrame:
     return items.join(m.checkout, "checkout_id").select("checkout_id", "vendor_id", "customer_id", "status", "units", lines.alias("items"), F.col("subtotal").cast("double").alias("subtotal"))
 
 
+def order_page(m: Market, customer: int | None = None, vendor: int | None = None) -> DataFrame:
+    """Orders in full: items in order, the history of states from the oldest on, fees, commission and what the vendor gets.
+
+    ``customer`` and ``vendor`` keep their own orders only, as their pages must; the conditions reach the scans. Lines move once,
+    by checkout: that serves their grouping and both joins. An order without history or whose vendor is gone stays, with
+    an empty history and the platform's rate."""
+    checkouts = m.checkout if customer is None else m.checkout.filter(F.col("customer_id") == customer)
+    lines = m.order_item if vendor is None else m.order_item.filter(F.col("vendor_id") == vendor)
+    items = lines.repartition("checkout_id").groupBy("checkout_id", "vendor_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "quantity", "line_total"))).alias("i"), F.sum("line_total").alias("subtotal"))
+    past = m.status_history.groupBy("checkout_id").agg(F.sort_array(F.collect_list(F.struct("at", "status"))).alias("h"))
+    history = F.array_join(F.transform(F.coalesce("h", F.array()), lambda h: F.concat_ws("@", h["status"], F.date_format(h["at"], "yyyy-MM-dd"))), ",")
+    shown = F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["product_id"].cast("string"), x["quantity"].cast("string"))), ",")
+    vendors = m.vendor.select(F.col("id").alias("vendor_id"), "store_name", "commission_rate")
+    rate = F.coalesce("commission_rate", F.lit(PLATFORM_RATE).cast(RATE))
+    amount = commission_amount(F.col("subtotal"), rate)
+    rows = items.join(checkouts, "checkout_id").join(past, "checkout_id", "left").join(vendors, "vendor_id", "left")
+    return rows.select(
+        "checkout_id", "vendor_id", "customer_id", "store_name", "status", shown.alias("items"), history.alias("history"), F.col("subtotal").cast("double").alias("subtotal"), F.lit(DELIVERY_FEE).cast("double").alias("delivery_fee"),
+        rate.cast("double").alias("rate"), amount.cast("double").alias("commission"), (F.col("subtotal") - amount).cast("double").alias("net"),
+    )
+
+
 def checkout_split(m: Market) -> DataFrame:
     """Each checkout as its vendors' orders with fees, and the delivery total over its distinct vendors."""
     return m.vendor_order.groupBy("checkout_id").agg(F.count("*").alias("orders"), F.sum("item_count").alias("items"), F.sum("subtotal").cast("double").alias("subtotal"), F.sum("delivery_fee").cast("double").alias("delivery"), F.sum(F.col("subtotal") + F.col("delivery_fee")).cast("double").alias("total"))

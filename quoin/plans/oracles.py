@@ -375,6 +375,18 @@ join app_user u on u.id = o.customer_id join vendor v on v.id = o.vendor_id""",
     "order_detail": """
 select o.checkout_id, o.vendor_id, o.customer_id, o.status, cast(sum(i.quantity) as bigint) as units, string_agg(concat(i.product_id, ':', i.quantity), ',' order by i.product_id, i.quantity, i.line_total) as items, cast(o.subtotal as double) as subtotal
 from vendor_order o join order_item i on i.checkout_id = o.checkout_id and i.vendor_id = o.vendor_id group by 1, 2, 3, 4, o.subtotal""",
+    "order_page": """
+select o.checkout_id, o.vendor_id, o.customer_id, v.store_name, o.status, i.items, h.history, cast(o.subtotal as double) as subtotal, cast(o.delivery_fee as double) as delivery_fee,
+  cast(v.rate as double) as rate, cast(floor(o.subtotal * v.rate + 0.5) as double) as commission, cast(o.subtotal - floor(o.subtotal * v.rate + 0.5) as double) as net
+from vendor_order o
+join (select checkout_id, vendor_id, string_agg(concat(product_id, ':', quantity), ',' order by product_id, quantity, line_total) as items from order_item group by 1, 2) i on i.checkout_id = o.checkout_id and i.vendor_id = o.vendor_id
+join (select c.checkout_id, string_agg(concat(p.state, '@', strftime(c.placed_at + to_days(p.k), '%Y-%m-%d')), ',' order by p.k) as history
+  from (select distinct checkout_id, placed_at, status from vendor_order) c
+  join (select status, unnest(states) as state, cast(generate_subscripts(states, 1) as int) - 1 as k from (values
+    ('PENDING', ['PENDING']), ('CONFIRMED', ['PENDING', 'CONFIRMED']), ('PREPARING', ['PENDING', 'CONFIRMED', 'PREPARING']), ('SHIPPED', ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED']),
+    ('DELIVERED', ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED']), ('COMPLETED', ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPLETED']),
+    ('RETURNED', ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'RETURNED']), ('CANCELLED', ['PENDING', 'CANCELLED'])) as s(status, states)) p on p.status = c.status group by 1) h on h.checkout_id = o.checkout_id
+left join (select id, store_name, coalesce(commission_rate, 0.1000) as rate from vendor) v on v.id = o.vendor_id""",
     "admin_vendors": """
 select v.id, v.store_name, v.status, u.phone, g.name_ar as governorate, (select count(*) from product p where p.vendor_id = v.id) as products, (select count(*) from vendor_order o where o.vendor_id = v.id) as orders
 from vendor v join app_user u on u.id = v.user_id left join governorate g on g.id = v.governorate_id""",

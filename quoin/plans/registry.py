@@ -35,7 +35,7 @@ BUILDERS: dict[str, Callable[[Market], DataFrame]] = {
     "store_directory": catalog.store_directory, "category_tree": catalog.category_tree, "product_search": lambda m: catalog.search(m, words=["a", "e"], low="950", high="1400"), "product_search_category": _category_search,
     "product_search_page": lambda m: catalog.page(catalog.search(m), sort="price_asc", after=(950.0, 10)), "suggest_products": catalog.suggest, "suggest_categories": catalog.suggest_categories, "product_detail": catalog.product_detail,
     "store_page": catalog.store_page, "governorate_areas": accounts.governorate_areas, "customer_orders": lambda m: orders.newest_orders(m, "customer_id", 10), "vendor_orders": lambda m: orders.newest_orders(m, "vendor_id", 30),
-    "admin_orders": orders.admin_orders, "order_detail": orders.order_detail, "admin_vendors": accounts.admin_vendors, "admin_categories": accounts.admin_categories, "pending_products": accounts.pending_products,
+    "admin_orders": orders.admin_orders, "order_detail": orders.order_detail, "order_page": orders.order_page, "admin_vendors": accounts.admin_vendors, "admin_categories": accounts.admin_categories, "pending_products": accounts.pending_products,
     "payout_history": orders.payout_history, "user_search": accounts.user_search, "audit_feed": accounts.audit_feed, "settings": platform.settings, "vendor_inventory": orders.vendor_inventory, "favorite_toggle": accounts.favorites,
     "favorites_list": accounts.favorites_list, "product_reviews": accounts.product_reviews, "notif_feed": accounts.notif_feed, "notif_unread": accounts.notif_unread, "address_list": accounts.address_list, "default_address": accounts.default_address,
     "transition_check": orders.transition_check, "stock_effects": orders.stock_effects, "available_stock": orders.available_stock, "commission_calc": orders.commission_calc, "order_numbers": orders.order_numbers,

@@ -22,6 +22,16 @@ def _cases(key: Column, values: dict[int, str | None], default: str | None) -> C
     return out.otherwise(F.lit(default))
 
 
+#: The way to each state, by the legal changes.
+_TO_DELIVERED = ("PENDING", "CONFIRMED", "PREPARING", "SHIPPED", "DELIVERED")
+PATHS = {s: _TO_DELIVERED[: k + 1] for k, s in enumerate(_TO_DELIVERED)} | {"COMPLETED": (*_TO_DELIVERED, "COMPLETED"), "RETURNED": (*_TO_DELIVERED, "RETURNED"), "CANCELLED": ("PENDING", "CANCELLED")}
+
+
+def commission_amount(subtotal: Column, rate: Column) -> Column:
+    """The platform's share, rounded half up to whole units."""
+    return F.floor(subtotal * rate + F.lit("0.5").cast("decimal(2,1)")).cast(MONEY)
+
+
 class Market:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -100,6 +110,13 @@ class Market:
         )
         return self.raw("orders").select(key.alias("checkout_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("placed_at"), status.alias("status"))
 
+    @cached_property
+    def status_history(self) -> DataFrame:
+        """The states that a checkout's orders went through, one a day from placing on: (checkout_id, status, at)."""
+        path = F.create_map(*[F.lit(x) for status, states in PATHS.items() for x in (status, ",".join(states))])[F.col("status")]
+        rows = self.checkout.select("checkout_id", "placed_at", F.posexplode(F.split(path, ",")).alias("k", "status"))
+        return rows.select("checkout_id", "status", (F.col("placed_at").cast("timestamp") + F.make_dt_interval(days="k")).alias("at"))
+
     @cached_property
     def vendor_order(self) -> DataFrame:
         """One row for each vendor of each checkout. Items are summed before the checkouts join, so both meet on one key."""
@@ -109,8 +126,7 @@ class Market:
     @cached_property
     def commission(self) -> DataFrame:
         vendors = self.vendor.select(F.col("id").alias("vendor_id"), F.coalesce("commission_rate", F.lit(PLATFORM_RATE).cast(RATE)).alias("rate"))
-        amount = F.floor(F.col("subtotal") * F.col("rate") + F.lit("0.5").cast("decimal(2,1)")).cast(MONEY)
-        return self.vendor_order.join(vendors, "vendor_id").select("checkout_id", "vendor_id", "rate", amount.alias("amount"), F.when(F.col("checkout_id") % 3 == 0, F.col("vendor_id") * 1000).alias("payout_id"), "subtotal", "delivery_fee", "status", "placed_at")
+        return self.vendor_order.join(vendors, "vendor_id").select("checkout_id", "vendor_id", "rate", commission_amount(F.col("subtotal"), F.col("rate")).alias("amount"), F.when(F.col("checkout_id") % 3 == 0, F.col("vendor_id") * 1000).alias("payout_id"), "subtotal", "delivery_fee", "status", "placed_at")
 
     def _events(self, kind: str) -> DataFrame:
         return self.raw("events").filter(F.col("event_type") == kind)
