@@ -4,7 +4,7 @@ A page is read once into blocks of text, each with the chain of elements that ho
 (containers, words of class names, links, length, sentences that only notices have) into log odds, which are the capacities
 between a block and the two terminals, content and boilerplate. No word decides alone: a listed word in a name with other
 words weighs less than what a paragraph of an article earns, and a notice's phrase weighs as much as its sentence's share of
-the block, and little inside an article, as texts have lines of licences of their own. Blocks that follow each other or share
+the block, and nothing inside an article, as texts have lines of licences of their own. Blocks that follow each other or share
 a container are joined by smoothness edges, the weaker the farther apart they stand in the document tree. Capacities and edges are of one order, so a block of
 weak evidence takes the label of those around it. The minimum cut is the labelling of least total cost. A block whose own
 capacity exceeds all its edges together keeps its label in every minimum cut; max-flow runs on all others.
@@ -55,13 +55,12 @@ NUMBERED = re.compile(r"\d+(?:x\d+)?")
 NOTICE = re.compile(
     r"all rights reserved|\(c\) ?\d{4}|© ?\d{4}|copyright ©|sign up for (?:our|the|free)|subscribe to (?:our|the) (?:news|letter|list)|join our (?:mailing|news)|(?:we|this (?:site|page|website)) uses? cookies|accept (?:all )?cookies"
     r"|(?:read|see) our (?:privacy|cookie|terms)|terms (?:of (?:use|service)|and conditions) apply|log in to (?:comment|reply)|leave a (?:comment|reply)|share (?:this|on) (?:article|page|post|facebook)|follow us on|click here to (?:subscribe|sign)"
-    r"|alle rechte vorbehalten|wir verwenden cookies|newsletter abonnieren|melden sie sich (?:an|für unseren)|tous droits réservés|nous utilisons des cookies|abonnez-vous à|inscrivez-vous à|todos los derechos reservados|usamos cookies|utilizamos cookies|suscr[ií]bete a",
-    re.I,
+    r"|alle rechte vorbehalten|wir verwenden cookies|newsletter abonnieren|melden sie sich (?:an|für unseren)|tous droits réservés|nous utilisons des cookies|abonnez-vous à|inscrivez-vous à|todos los derechos reservados|usamos cookies|utilizamos cookies|suscr[ií]bete a"
 )
 SENTENCE = re.compile(r"[^.!?…]+[.!?…]*")
 
 # Log odds of the classifier, and the smoothness edges.
-IN_MAIN, BESIDE_MAIN, BY_TAG, BY_NAME, BY_HALF, BY_MAIN_WORD, BY_NOTICE, BY_NOTICE_IN_MAIN, FLOOR, HIDDEN = 2.0, -2.5, -4.0, -4.0, -1.5, 0.8, -6.5, -1.5, -8.0, -20.0
+IN_MAIN, BESIDE_MAIN, BY_TAG, BY_NAME, BY_HALF, BY_MAIN_WORD, BY_NOTICE, FLOOR, HIDDEN = 2.0, -2.5, -4.0, -4.0, -1.5, 0.8, -6.5, -8.0, -20.0
 ADJACENT, SIBLING, NEAR = 1.2, 0.4, 8
 
 
@@ -266,7 +265,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def notice_share(text: str) -> float:
-    """The share of a text's characters that stand in sentences of notices."""
+    """The share of a lower-case text's characters that stand in sentences of notices."""
     if not NOTICE.search(text):
         return 0.0
     return sum(m.end() - m.start() for m in SENTENCE.finditer(text) if NOTICE.search(m[0])) / len(text)
@@ -278,11 +277,13 @@ def costs(block: Block, has_main: bool) -> float:
     if held.boiler <= HIDDEN:
         return HIDDEN
     density = block.links / n
-    odds = held.prior + held.boiler + min(1.2, math.log1p(n) / 3 - 1.0) + (BY_NOTICE_IN_MAIN if held.main else BY_NOTICE) * notice_share(block.text)
+    odds = held.prior + held.boiler + min(1.2, math.log1p(n) / 3 - 1.0)
     if held.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
         odds += 0.5 if held.main or held.boiler else 2.0
     if held.main:
         return odds + IN_MAIN - density
+    if held.boiler > BY_NAME:
+        odds += BY_NOTICE * notice_share(block.text.lower())
     return odds + (BESIDE_MAIN if has_main else 0.0) - 4.0 * density - (0.7 if held.tag == "li" else 0.0)
 
 
