@@ -1,16 +1,19 @@
 """Personal data by candidate generation and gradient boosting.
 
 Generators of high recall propose spans, which may overlap. Spans of the four base kinds follow a fixed format and always
-stay. Looser candidates (addresses with spelled-out signs, digit groups of unusual form, values that look like keys) are
-added by explicit evidence, a naming word in front or both signs of an address in brackets, whatever the table around them.
-The others are scored by boosted trees, one model with a threshold of its own for each kind; those above it are added too.
+stay. Looser candidates (addresses with spelled-out signs, digit groups of unusual form, values that look like keys or stand
+behind a naming word) are added if boosted trees score them above a threshold, and in no other way. A kind has two models:
 
-The trees are trained here, on a bounded number of candidates of each kind (``train_rows``) taken in hash order from the
-whole table. Explicit evidence is the label, so the trees see a candidate as if it weren't there: naming word, sign and
-quotes in front are cut out before any context is read, and an address is read with its signs replaced. So what the trees
-learn are the form of the values and the words and signs around, and they carry these over to values without a name. Form
-comes first: the later trees, with smaller steps, are those on the context. Since values without explicit evidence may be
-personal too, they are taken as unlabelled, not as negative: the threshold is half the mean score of held-out named values.
+* The first trees (``first_trees``) learn from examples written by rule (``pii_examples``), personal values and look-alikes.
+  They read form, context and explicit evidence (naming words, bracketed signs, a plus) and are the same for every table.
+* The table's trees are trained on a bounded number of candidates of each kind (``train_rows``) taken in hash order from the
+  whole table, and carry over the forms that personal data have there. Explicit evidence is their label, so they see a
+  candidate as if it weren't there: naming word, sign and quotes in front are cut out before any context is read, and an
+  address is read with its signs replaced. Form comes first: the later trees, with smaller steps, are those on the context.
+  Values without explicit evidence may be personal too, so they are unlabelled, not negative: the threshold is half the mean
+  score of held-out named values.
+
+A candidate that reaches either threshold is added; of overlapping ones the best scored.
 
 A value behind a naming word is proposed whatever its length and signs. The exception is a word of letters alone that
 follows a blank and is itself followed by another word ("password: must be long"): that is prose, not evidence.
@@ -22,7 +25,8 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoin.llm.common import in_batches, table
+from quoin.llm.pii_examples import PLACEHOLDERS, examples
 
 KINDS = ("email", "ip", "card", "phone", "secret", "contact", "number")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -142,7 +147,7 @@ def digit_groups(text: str) -> Iterator[Span]:
         if sum(b - a for a, b in parts) <= 15:
             runs = [(chain.start(), parts)]
         else:
-            runs = [(parts[i][0], parts[i : i + k]) for i in range(len(parts)) for k in range(2, min(5, len(parts) - i) + 1)]
+            runs = [(parts[i][0] - (text[parts[i][0] - 1 : parts[i][0]] == "("), parts[i : i + k]) for i in range(len(parts)) for k in range(2, min(5, len(parts) - i) + 1)]
         for start, run in runs:
             if 7 <= sum(b - a for a, b in run) <= 15:
                 yield "number", start, run[-1][1]
@@ -225,26 +230,49 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+#: A plus before a number, or before a chain that the number ends.
+PLUS = re.compile(r"\+[0-9\x20().-]{0,12}$")
+EVIDENCE = ("named", "name_far", "private_front", "public_front", "bracketed", "signs", "placeholder", "letters_only", "code_value", "plus", "first_group", "second_group", "balanced", "upper_digits", "digits_behind")
+
+
+def evidence(text: str, span: Span) -> list[float]:
+    """What the first trees read besides features(): explicit evidence, words right in front, and more of the form."""
+    kind, start, end = span
+    value, front = text[start:end], text[max(0, start - 40) : start]
+    groups = DIGITS.findall(value[:400]) if kind == "number" else []
+    signs = [AT.search(value)[0], *SPELLED_DOT.findall(value)] if kind == "contact" else []
+    last = " ".join(front.split()[-2:])
+    return [
+        float(candidate_label(text, span)), float(bool((NUMBERED if kind == "number" else NAMED).search(text[max(0, start - 80) : start].rstrip() + "="))), float(bool(PRIVATE.search(last))), float(bool(PUBLIC.search(last))),
+        sum(map(bracketed, signs)) / max(1, len(signs)), float(len(signs)), float(value.rstrip(".,") in PLACEHOLDERS), float(value.isalpha()), float(sum(c in "$%{}()[]*" for c in value[:400])) / max(1, min(400, len(value))),
+        float(bool(PLUS.search(front))), float(len(groups[0])) if groups else 0.0, float(len(groups[1])) if len(groups) > 1 else 0.0, float(value.count("(") - value.count(")")),
+        float(value.isupper() and value.isalnum() and not value.isdigit()), float(text[end : end + 2].strip(" -.)/(")[:1].isdigit()),
+    ]
+
+
 @dataclass
 class Trees:
-    """Gradient boosting on logistic loss with trees of depth two over quantile bins; ``threshold`` is on the probability.
-    ``numbers`` and ``contacts`` are the models for digit groups and addresses, with thresholds of their own."""
+    """Gradient boosting on logistic loss with trees of small depth over quantile bins; ``threshold`` is on the probability.
+    ``numbers`` and ``contacts`` are the models for digit groups and addresses, with thresholds of their own. ``first`` has
+    the first trees by kind; where it isn't given, they are those of first_trees()."""
 
     base: float = 0.0
     trees: list[tuple] = field(default_factory=list)
     threshold: float = 1.0
     numbers: Trees | None = None
     contacts: Trees | None = None
+    first: dict[str, Trees] | None = None
 
     def accepts(self, text: str, span: Span) -> float | None:
-        """The probability of a candidate that reaches the threshold of its kind's trees."""
-        model = {"number": self.numbers, "contact": self.contacts}.get(span[0], self)
-        if model is None or model.threshold > 1 or (p := model.score(features(text, span))) < model.threshold:
-            return None
-        return p
+        """The best probability of a candidate by those of its kind's two models whose thresholds it reaches."""
+        row = features(text, span)
+        first = (self.first or first_trees())[span[0]]
+        own = {"number": self.numbers, "contact": self.contacts}.get(span[0], self)
+        reached = [p for m, r in ((first, row + evidence(text, span)), (own, row)) if m is not None and m.threshold <= 1 and (p := m.score(r)) >= m.threshold]
+        return max(reached, default=None)
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, form_rounds: int = 30, context_rounds: int = 10, form_rate: float = 0.3, context_rate: float = 0.1, least: int = 5) -> Trees:
+    def fit(x: np.ndarray, y: np.ndarray, form_rounds: int = 30, context_rounds: int = 10, form_rate: float = 0.3, context_rate: float = 0.1, least: int = 5, depth: int = 2, whole_rounds: int = 0) -> Trees:
         model = Trees(base=float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
         at = np.full(len(y), model.base)
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.05, 0.95, 19))) for j in range(x.shape[1])]
@@ -271,12 +299,12 @@ class Trees:
             return j, cut, grow(rows[low], g, h, depth - 1), grow(rows[~low], g, h, depth - 1)
 
         form, context = range(FORM), range(FORM, x.shape[1])
-        for columns, rate in [(form, form_rate)] * form_rounds + [(context, context_rate)] * context_rounds:
+        for columns, rate in [(range(x.shape[1]), form_rate)] * whole_rounds + [(form, form_rate)] * form_rounds + [(context, context_rate)] * context_rounds:
             p = 1 / (1 + np.exp(-at))
             g, h = y - p, p * (1 - p)
             if np.abs(g).max() < 0.01:
                 continue
-            tree = grow(np.arange(len(y)), g, h, 2)
+            tree = grow(np.arange(len(y)), g, h, depth)
             model.trees.append(tree)
             at += np.array([walk(tree, r) for r in x])
         return model
@@ -292,8 +320,8 @@ def walk(tree, row) -> float:
 
 
 def candidate_label(text: str, span: Span) -> int:
-    """Explicit evidence, which decides by itself and is the training label: whether words in front name the value as a secret
-    or number, or the spelled-out address has both signs in brackets."""
+    """Explicit evidence, the training label of a table's trees: whether words in front name the value as a secret or number, or
+    the spelled-out address has both signs in brackets."""
     kind, start, end = span
     if kind == "contact":
         signs = [AT.search(text, start, end)[0], *SPELLED_DOT.findall(text, start, end)]
@@ -304,6 +332,34 @@ def candidate_label(text: str, span: Span) -> int:
 MODELS = ("secret", "number", "contact")
 
 
+@lru_cache(maxsize=2)
+def first_trees(rows: int = 1500, seed: int = 0) -> dict[str, Trees]:
+    """The first trees of each kind: on the candidates in four fifths of ``rows`` texts of pii_examples, with the threshold
+    that has the best F1 on the others. Candidates that overlap a base span are never added, so they don't count."""
+    out = {}
+    for kind in MODELS:
+        x, y, held = [], [], []
+        for i, (text, place) in enumerate(examples(kind, rows, seed)):
+            base = base_spans(text)
+            for s in dict.fromkeys(loose_spans(text)):
+                if s[0] == kind and not any(b[1] < s[2] and s[1] < b[2] for b in base):
+                    x.append(features(text, s) + evidence(text, s))
+                    y.append(float(s[1:] == place))
+                    held.append(i % 5 == 0)
+        x, y, held = np.array(x), np.array(y), np.array(held)
+        model = Trees.fit(x[~held], y[~held], form_rounds=0, context_rounds=0, whole_rounds=25, depth=3)
+        scores, truth = np.array([model.score(r) for r in x[held].tolist()]), y[held]
+        f1 = lambda c, p=scores, t=truth: 2 * t[p >= c].sum() / max(1.0, (p >= c).sum() + t.sum())
+        model.threshold = max((k / 20 for k in range(4, 19)), key=lambda c: (f1(c), -abs(c - 0.5)))
+        out[kind] = model
+    return out
+
+
+def with_first(model: Trees | None) -> Trees:
+    """The model with its first trees, so that tasks needn't train them."""
+    return replace(model or Trees(threshold=2.0), first=(model and model.first) or first_trees())
+
+
 def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, least_score: float = 0.25) -> Trees:
     """Trees on at most train_rows candidates of each kind: for each label and each of train_rows / 2 hash slots, the candidate
     with the smallest hash of all rows. Tasks send one candidate a slot at most. Named values that no format proposes
@@ -311,7 +367,7 @@ def fit_trees(docs: DataFrame, text: str = "text", train_rows: int = 4000, least
 
     The threshold of each kind is half the mean score of the named ones in a fifth of its candidates that is held out, and at least
     ``least_score``: where named values are a share c of all personal ones, the scores are c times the probability. With
-    fewer than 20 candidates of either label there are no trees (threshold above 1), and explicit evidence alone adds spans.
+    fewer than 20 candidates of either label the table has no forms to carry over (threshold above 1), and the first trees judge.
     """
     half = train_rows // 2
 
@@ -356,7 +412,7 @@ def find_pii(docs: DataFrame, text: str = "text", model: Trees | None = None) ->
     """Adds pii: array of (kind, start, end) by start, then kind; code points, end exclusive. A column so named is replaced.
 
     Base spans are all kept, also where kinds overlap. An added span must not overlap a base span or an earlier added one;
-    those with explicit evidence come first and need no model.
+    the best scored come first. Without a model the first trees alone judge.
     Null and empty texts have an empty array. Work is linear in the text; equal rows stay separate rows.
     """
     kept = [c for c in docs.columns if c.lower() != "pii"]
@@ -364,7 +420,7 @@ def find_pii(docs: DataFrame, text: str = "text", model: Trees | None = None) ->
     span_type = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = T.StructType([*rows.schema.fields, T.StructField("pii", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     at = kept.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model or Trees(threshold=2.0))
+    shared = docs.sparkSession.sparkContext.broadcast(with_first(model))
 
     def spans(batches):
         trees = shared.value
@@ -381,9 +437,7 @@ def all_spans(text: str, trees: Trees) -> list[Span]:
     found = base_spans(text)
     kept = []
     for s in loose_spans(text):
-        if candidate_label(text, s):
-            kept.append((math.inf, s))
-        elif (p := trees.accepts(text, s)) is not None:
+        if (p := trees.accepts(text, s)) is not None:
             kept.append((p, s))
     taken = bytearray(len(text) if kept else 0)
     for _, start, end in found if kept else ():
@@ -398,7 +452,7 @@ def all_spans(text: str, trees: Trees) -> list[Span]:
 def redact(docs: DataFrame, text: str = "text", model: Trees | None = None) -> DataFrame:
     """Replaces each span by its kind in angle brackets; of overlapping spans the union is replaced once, named after the
     first. Null texts stay null. Other columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or Trees(threshold=2.0))
+    shared = docs.sparkSession.sparkContext.broadcast(with_first(model))
     at = docs.columns.index(text)
 
     def clean(batches):
