@@ -103,14 +103,18 @@ def product_detail(m: Market) -> DataFrame:
     return rows.select("id", "title", "store_name", "category_name", F.col("base_price").cast("double").alias("base_price"), F.coalesce("variants", F.lit("")).alias("variants"))
 
 
-def store_directory(m: Market, limit: int = 60) -> DataFrame:
-    """Approved stores by rating (unrated last), with their count of active products and governorate."""
+def approved_stores(m: Market) -> DataFrame:
+    """Approved stores with their rating, their count of active products and their governorate."""
     ratings = vendor_ratings(m)
     counts = m.product.filter("status = 'ACTIVE'").groupBy(F.col("vendor_id").alias("id")).agg(F.count("*").alias("product_count"))
     places = m.governorate.select(F.col("id").alias("governorate_id"), F.col("name_ar").alias("governorate"))
     rows = m.vendor.filter("status = 'APPROVED'").join(ratings.withColumnRenamed("vendor_id", "id"), "id", "left").join(counts, "id", "left").join(places, "governorate_id", "left")
-    rows = rows.select("id", "store_name", "governorate", F.coalesce(F.col("rating_avg").cast("double"), F.lit(0.0)).alias("rating_avg"), F.coalesce("rating_count", F.lit(0)).alias("rating_count"), F.coalesce("product_count", F.lit(0)).alias("product_count"))
-    return rows.orderBy(F.desc("rating_avg"), "id").limit(limit)
+    return rows.select("id", "store_name", "governorate_id", "governorate", F.coalesce(F.col("rating_avg").cast("double"), F.lit(0.0)).alias("rating_avg"), F.coalesce("rating_count", F.lit(0)).alias("rating_count"), F.coalesce("product_count", F.lit(0)).alias("product_count"))
+
+
+def store_directory(m: Market, limit: int = 60) -> DataFrame:
+    """Approved stores by rating (unrated last)."""
+    return approved_stores(m).drop("governorate_id").orderBy(F.desc("rating_avg"), "id").limit(limit)
 
 
 def store_page(m: Market, limit: int = 24) -> DataFrame:

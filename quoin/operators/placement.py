@@ -114,6 +114,52 @@ def change_status(orders: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumns({"after": F.when(ok, F.col("target")).otherwise(F.col("status")), "cancel_reason": F.when(ok & (F.col("target") == "CANCELLED"), F.col("note"))})
 
 
+# Who may call each procedure, and the states that it may ask for.
+PROCEDURES = {
+    "cancel": ("CUSTOMER", ("CANCELLED",)), "confirm": ("CUSTOMER", ("COMPLETED",)), "update": ("VENDOR", ("CONFIRMED", "PREPARING", "SHIPPED", "DELIVERED", "CANCELLED")),
+    "force": ("ADMIN", ("CONFIRMED", "PREPARING", "SHIPPED", "DELIVERED", "COMPLETED", "CANCELLED", "RETURNED")),
+}
+
+
+def call_procedures(orders: DataFrame, calls: DataFrame) -> DataFrame:
+    """calls (checkout_id, vendor_id, procedure, by, target, note; one an order) judged against orders (checkout_id, vendor_id, customer_id,
+    vendor_user_id, status). Verdicts in this order: 'invalid' for a target (or procedure) that isn't the procedure's,
+    'not_found' for an order that isn't there or is another buyer's or vendor's, those of change_status, 'ok'."""
+    pick = lambda at: F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for p, v in PROCEDURES.items() for x in (p, v[at])])[F.col("procedure")]
+    rows = calls.join(orders, ["checkout_id", "vendor_id"], "left").withColumn("actor", pick(0))
+    owner = F.when(F.col("actor") == "CUSTOMER", F.col("customer_id")).when(F.col("actor") == "VENDOR", F.col("vendor_user_id")).otherwise(F.col("by"))
+    refused = F.when(~F.coalesce(F.array_contains(pick(1), F.col("target")), F.lit(False)), "invalid").when(F.col("status").isNull() | ~owner.eqNullSafe(F.col("by")), "not_found")
+    verdict = F.coalesce(refused, rules.transition_reason(F.col("status"), F.col("target"), F.col("actor")), F.lit("ok"))
+    return rows.withColumn("verdict", verdict).withColumn("after", F.when(F.col("verdict") == "ok", F.col("target")).otherwise(F.col("status")))
+
+
+def forced_audit(judged: DataFrame) -> DataFrame:
+    """The audit entry of each forced change that was accepted."""
+    after = F.to_json(F.struct(F.col("target").alias("status"), "note"))
+    entity = F.concat_ws("/", F.col("checkout_id").cast("string"), F.col("vendor_id").cast("string"))
+    return judged.filter("verdict = 'ok' and procedure = 'force'").select(F.col("by").alias("actor_id"), F.lit("order.force_status").alias("action"), F.lit("Order").alias("entity_type"), entity.alias("entity_id"), after.alias("after"))
+
+
+def called(m: Market) -> DataFrame:
+    """Every order with a made-up call by its keys: one in six by somebody else, one in eight of the forced ones without a note."""
+    key = F.col("checkout_id") + F.col("vendor_id")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    orders = m.vendor_order.select("checkout_id", "vendor_id", "customer_id", (F.col("vendor_id") + 1000000).alias("vendor_user_id"), "status")
+    procedure = pick(tuple(PROCEDURES), F.col("checkout_id"))
+    target = F.when(procedure == "cancel", "CANCELLED").when(procedure == "confirm", "COMPLETED").otherwise(pick(rules.STATUSES, key))
+    by = F.when(procedure == "force", F.lit(1)).when(procedure == "update", F.col("vendor_user_id")).otherwise(F.col("customer_id")) + F.when((procedure != "force") & (key % 6 == 0), 1).otherwise(0)
+    calls = orders.select("checkout_id", "vendor_id", procedure.alias("procedure"), by.cast("long").alias("by"), target.alias("target"), F.when(key % 8 != 0, F.concat(F.lit("note "), key.cast("string"))).alias("note"))
+    return call_procedures(orders, calls)
+
+
+def order_calls(m: Market) -> DataFrame:
+    return called(m).select("checkout_id", "vendor_id", "procedure", "by", "target", "verdict", "after")
+
+
+def order_force_audit(m: Market) -> DataFrame:
+    return forced_audit(called(m))
+
+
 def reservation_state(target: Column) -> Column:
     return F.when(target == "DELIVERED", "CONSUMED").when(target.isin("CANCELLED", "RETURNED"), "RELEASED").otherwise("ACTIVE")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import rules, text
-from quoin.operators.catalog import listed
+from quoin.operators.catalog import approved_stores, listed
 from quoin.sources.market import DELIVERY_FEE, MONEY, Market
 
 
@@ -27,6 +27,37 @@ def cart_totals(m: Market) -> DataFrame:
     return sums.select("cart_id", "units", F.col("subtotal").cast("double").alias("subtotal"), delivery.cast("double").alias("delivery"), (F.col("subtotal") + delivery).cast("double").alias("total"))
 
 
+def change_carts(changes: DataFrame, variants: DataFrame) -> DataFrame:
+    """Lines (cart_id, variant_id, quantity, price) after changes (cart_id, variant_id, seq, op, quantity) in the order of seq, which
+    differs within a line. 'add' (one or more) puts units on a line or makes it, up to what is available; 'set' changes a
+    line that is there, to nothing at zero or less; 'remove' takes it away. Lines without units aren't kept; unknown
+    variants and null keys have none.
+
+    Nothing is folded row by row: what counts are the adds behind a line's last removal, from the last 'set' on that finds it.
+    These moments are aggregates, combined before each shuffle, so a line with very many changes is no task of its own."""
+    line = ["cart_id", "variant_id"]
+    gone = (F.col("op") == "remove") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
+    add, put = F.col("op") == "add", F.col("op") == "set"
+    cleared = changes.filter(gone).groupBy(*line).agg(F.max("seq").alias("cleared"))
+    alive = changes.filter(~gone).join(cleared, line, "left").filter(F.col("cleared").isNull() | (F.col("seq") > F.col("cleared"))).drop("cleared")
+    made = alive.filter(add).groupBy(*line).agg(F.min("seq").alias("made"))
+    there = alive.join(made, line).filter(F.col("seq") >= F.col("made"))
+    last = there.filter(put).groupBy(*line).agg(F.max("seq").alias("last"))
+    counted = there.join(last, line, "left").filter(F.col("last").isNull() | (F.col("seq") >= F.col("last")))
+    stock = variants.select(F.col("id").alias("variant_id"), "price", rules.available(F.col("stock"), F.col("reserved_stock")).alias("most"))
+    units = counted.groupBy(*line).agg(F.sum("quantity").alias("asked"))
+    return units.join(stock, "variant_id").select(*line, F.least(F.col("asked"), F.col("most")).cast("int").alias("quantity"), "price").filter("quantity > 0")
+
+
+def cart_changes(m: Market) -> DataFrame:
+    """Every event as a change of its user's cart; what it does and to which variant depends on its key."""
+    key = F.col("event_id")
+    op = F.when(key % 11 == 3, "remove").when(key % 3 == 1, "set").otherwise("add")
+    quantity = F.when(op == "set", key % 6 - 1).otherwise(key % 4 + 1)
+    made = m.raw("events").select(F.col("user_id").alias("cart_id"), ((key % 7 + 1) * 10).alias("variant_id"), key.alias("seq"), op.alias("op"), quantity.alias("quantity"))
+    return change_carts(made, m.product_variant).withColumn("price", F.col("price").cast("double"))
+
+
 def review_mine(m: Market) -> DataFrame:
     """Each user's own review of each product, the newest if there are several, whatever its status."""
     newest = m.review.groupBy("user_id", "product_id").agg(F.max(F.struct("created_at", "id", "rating", "status")).alias("r"))
@@ -56,6 +87,18 @@ def local_products(m: Market, limit: int = 10) -> DataFrame:
     return local.withColumn("is_local", F.lit(True)).unionByName(places.join(everywhere, "place").select("governorate_id", "id", "place", F.lit(False).alias("is_local")))
 
 
+def local_stores(m: Market, limit: int = 60) -> DataFrame:
+    """For each governorate its approved stores by rating; where there are none, those of the whole country."""
+    stores = approved_stores(m).select("governorate_id", "id", "rating_avg")
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rating_avg"), "id"))
+    local = stores.filter("governorate_id is not null").withColumn("place", best("governorate_id")).filter(F.col("place") <= limit)
+    everywhere = stores.orderBy(F.desc("rating_avg"), "id").limit(limit).select("id", "rating_avg", best(F.lit(1)).alias("place"))  # ``limit`` rows
+    empty = m.governorate.select(F.col("id").alias("governorate_id")).join(local.select("governorate_id").distinct(), "governorate_id", "left_anti")
+    places = empty.select("governorate_id", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("place")).join(everywhere, "place")
+    columns = ("governorate_id", "id", "place", "rating_avg")
+    return local.select(*columns, F.lit(True).alias("is_local")).unionByName(places.select(*columns, F.lit(False).alias("is_local")))
+
+
 def variant_label(attributes: Column) -> Column:
     """Attributes as 'key: value' in the order of the map. The separator and the label without attributes."""
     parts = F.transform(F.map_entries(attributes), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))

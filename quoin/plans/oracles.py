@@ -160,6 +160,13 @@ select o.*, ['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPL
 select r.*, case actor when 'CUSTOMER' then customer_id::varchar when 'VENDOR' then (vendor_id + 1000000)::varchar else lower(actor) end as actor_id,
   case when status = target then 'same' when status in ('COMPLETED', 'CANCELLED', 'RETURNED') then 'terminal' when not exists (select 1 from edge e where e.old = status and e.new = target) then 'no_edge'
   when actor <> 'ADMIN' and not exists (select 1 from edge e where e.old = status and e.new = target and e.actor = r.actor) then 'role' else 'ok' end as verdict from request r""",
+    "judged_call": """
+select c.*, case when procedure = 'update' and target in ('PENDING', 'COMPLETED', 'RETURNED') or procedure = 'force' and target = 'PENDING' then 'invalid' when procedure <> 'force' and key % 6 = 0 then 'not_found'
+  when status = target then 'same' when status in ('COMPLETED', 'CANCELLED', 'RETURNED') then 'terminal' when not exists (select 1 from edge e where e.old = status and e.new = target) then 'no_edge'
+  when procedure <> 'force' and not exists (select 1 from edge e where e.old = status and e.new = target and e.actor = case procedure when 'update' then 'VENDOR' else 'CUSTOMER' end) then 'role' else 'ok' end as verdict
+from (select o.*, case when procedure = 'cancel' then 'CANCELLED' when procedure = 'confirm' then 'COMPLETED' else (['PENDING', 'CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPLETED', 'CANCELLED', 'RETURNED'])[(key % 8 + 1)::int] end as target,
+    cast(case procedure when 'force' then 1 when 'update' then vendor_id + 1000000 + (key % 6 = 0)::int else customer_id + (key % 6 = 0)::int end as bigint) as "by", case when key % 8 <> 0 then concat('note ', key) end as note
+  from (select checkout_id, vendor_id, customer_id, status, checkout_id + vendor_id as key, (['cancel', 'confirm', 'update', 'force'])[(checkout_id % 4 + 1)::int] as procedure from vendor_order) o) c""",
     "lifecycle_change": """
 select l_orderkey as order_id, target, actor, row_number() over (partition by l_orderkey order by l_shipdate, target, actor) as k from (
   select *, ['CONFIRMED', 'PREPARING', 'SHIPPED', 'DELIVERED', 'COMPLETED', 'CANCELLED'][l_linenumber % 6 + 1] as target, case when l_linenumber % 6 = 4 then 'CUSTOMER' else 'VENDOR' end as actor from lineitem)""",
@@ -293,6 +300,25 @@ from (select i.checkout_id as cart_id, i.variant_id, p.vendor_id, x.price, least
     "vendor_product_detail": """
 select p.id, p.vendor_id, p.title, p.category_id, cast(p.base_price as double) as base_price, p.status,
   coalesce((select string_agg(concat(x.id, ':', cast(x.price as decimal(13,2)), ':', x.stock, ':', x.is_active), ',' order by x.id) from product_variant x where x.product_id = p.id), '') as variants from product p""",
+    "order_calls": "select checkout_id, vendor_id, procedure, \"by\", target, verdict, case when verdict = 'ok' then target else status end as after from judged_call",
+    "order_force_audit": """
+select "by" as actor_id, 'order.force_status' as action, 'Order' as entity_type, concat(checkout_id, '/', vendor_id) as entity_id,
+  case when note is null then concat('{"status":"', target, '"}') else concat('{"status":"', target, '","note":"', note, '"}') end as after from judged_call where verdict = 'ok' and procedure = 'force'""",
+    "cart_changes": """
+select * from (with recursive made as (select *, row_number() over (partition by cart_id, variant_id order by event_id) as k from (
+    select user_id as cart_id, (event_id % 7 + 1) * 10 as variant_id, event_id, op, case op when 'set' then event_id % 6 - 1 else event_id % 4 + 1 end as quantity
+    from (select *, case when event_id % 11 = 3 then 'remove' when event_id % 3 = 1 then 'set' else 'add' end as op from events))),
+  known as (select m.*, x.price, greatest(0, x.stock - x.reserved_stock) as most from made m join product_variant x on x.id = m.variant_id),
+  folded as (
+    select cart_id, variant_id, price, most, cast(0 as bigint) as k, cast(0 as bigint) as quantity from known where k = 1
+    union all select f.cart_id, f.variant_id, f.price, f.most, r.k, cast(case when r.op = 'remove' then 0 when r.op = 'add' then least(f.quantity + r.quantity, f.most) when f.quantity > 0 then greatest(0, least(r.quantity, f.most)) else 0 end as bigint)
+    from folded f join known r on r.cart_id = f.cart_id and r.variant_id = f.variant_id and r.k = f.k + 1)
+  select cart_id, variant_id, cast(arg_max(quantity, k) as int) as quantity, cast(any_value(price) as double) as price from folded group by 1, 2 having arg_max(quantity, k) > 0)""",
+    "local_stores": """
+select * from (with rated as (select v.id, v.governorate_id, coalesce(r.hundredths, 0) / 100.0::double as rating_avg from vendor v left join vendor_rating r on r.vendor_id = v.id where v.status = 'APPROVED'),
+  best as (select *, cast(row_number() over (partition by governorate_id order by rating_avg desc, id) as int) as place from rated where governorate_id is not null)
+  select governorate_id, id, place, rating_avg, true as is_local from best where place <= 60
+  union all select g.id, e.id, e.place, e.rating_avg, false from governorate g, (select *, cast(row_number() over (order by rating_avg desc, id) as int) as place from rated) e where e.place <= 60 and g.id not in (select governorate_id from best))""",
     "local_products": """
 select governorate_id, id, place, true as is_local from local_listed where place <= 10
 union all select g.id, e.id, e.place, false from governorate g, (select id, cast(row_number() over (order by id desc) as int) as place from listed) e where e.place <= 10 and g.id not in (select governorate_id from local_listed)""",

@@ -28,6 +28,7 @@ BUILDERS: dict[str, Callable[[Market], DataFrame]] = {
     "vendor_decisions": moderation.vendor_decisions, "product_decisions": moderation.product_decisions, "product_create": moderation.product_create, "product_update": moderation.product_update,
     "cart_totals": shop.cart_totals, "review_mine": shop.review_mine, "auth_me": shop.auth_me, "vendor_product_detail": shop.vendor_product_detail, "local_products": shop.local_products, "variant_labels": shop.variant_labels, "rate_percent": shop.rate_percent,
     "slug_round_trip": shop.slug_round_trip, "session_tokens": shop.session_tokens, "ship_to": shop.ship_to, "next_statuses": shop.next_statuses, "role_guard": shop.role_guard, "otp_verify": shop.otp_verify, "category_changes": shop.category_changes,
+    "order_calls": placement.order_calls, "order_force_audit": placement.order_force_audit, "cart_changes": shop.cart_changes, "local_stores": shop.local_stores,
     "vendor_status_map": orders.vendor_status_map, "product_search_rating": lambda m: catalog.page_ahead(catalog.rated(m, catalog.search(m)), sort="rating", limit=50), "otp_limits": accounts.otp_limits,
     "order_serials": numbering.order_serials, "order_place_numbers": placement.place_numbers, "product_cards": images.product_cards, "product_images_create": images.product_images_create, "product_images_replace": images.product_images_replace,
     "product_search_indexed": lambda m: text_index.search_indexed(m, ["ing", "re"]), "suggest_indexed": text_index.suggest_indexed, "document_phrases": text_index.document_phrases, "session_rotation": sessions.session_rotation, "my_orders_swept": snapshot.my_orders_swept, "my_orders_next": snapshot.my_orders_next, "dashboard": snapshot.dashboard, "validation_report": validation.validation_report, "validation_rejects": validation.validation_rejects, "setting_types": platform.setting_types, "settings_in_force": platform.settings_in_force,

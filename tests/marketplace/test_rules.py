@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import rules, text
-from quoin.operators import accounts, catalog, orders
+from quoin.operators import accounts, catalog, orders, placement, shop
 from quoin.sources.market import Market
 from quoin.streaming import orders as streaming
 
@@ -176,3 +176,41 @@ def test_stateful_streams_over_several_batches(spark, tmp_path):
             assert [(r.verdict, r.status) for r in taken if r.order_id == 2] == [("refused", "PENDING"), ("ok", "CANCELLED")]
         else:
             assert {r.id: (r.short, r.long, r.refused) for r in taken} == {0: (0, 0, False), 1: (1, 1, False), 2: (2, 2, False), 9: (0, 0, False), 3: (3, 3, True), 4: (1, 4, False), 5: (0, 5, False)}
+
+
+def test_calls_by_others_with_foreign_targets_and_for_missing_orders(spark):
+    orders = spark.createDataFrame([(1, 1, 7, 1000001, "PENDING"), (2, 1, 7, 1000001, "DELIVERED"), (3, 1, 7, 1000001, "PENDING"), (4, 1, 7, 1000001, "SHIPPED"), (5, 1, 7, 1000001, "CONFIRMED"), (6, 1, 7, 1000001, "PENDING"), (7, 1, None, 1000001, "PENDING")], "checkout_id long, vendor_id long, customer_id long, vendor_user_id long, status string")
+    calls = [(1, "cancel", 7, "CANCELLED", "ok"), (2, "confirm", 8, "COMPLETED", "not_found"), (3, "update", 1000001, "COMPLETED", "invalid"), (4, "update", 1000001, "DELIVERED", "ok"), (5, "cancel", 7, "CANCELLED", "role"), (6, "force", 1, "CONFIRMED", "ok"), (7, "cancel", 7, "CANCELLED", "not_found"), (8, "force", 1, "CONFIRMED", "not_found"), (9, "other", 1, "CONFIRMED", "invalid"), (10, "update", 1000001, None, "invalid")]
+    rows = spark.createDataFrame([(c, 1, p, by, t, 'no "one"' if c == 6 else None) for c, p, by, t, _ in calls], "checkout_id long, vendor_id long, procedure string, by long, target string, note string")
+    judged = placement.call_procedures(orders, rows)
+    assert {r.checkout_id: r.verdict for r in judged.collect()} == {c: v for c, *_, v in calls}
+    assert [tuple(r) for r in placement.forced_audit(judged).collect()] == [(1, "order.force_status", "Order", "6/1", '{"status":"CONFIRMED","note":"no \\"one\\""}')]
+
+
+def test_cart_changes_against_a_loop(spark):
+    rnd = random.Random(4)
+    stock = {v: (rnd.randint(0, 9), rnd.randint(0, 3)) for v in range(6)}
+    changes = [(c, v, k, rnd.choice(("add", "add", "set", "remove")), rnd.randint(-1, 5)) for k, (c, v) in enumerate((rnd.randint(0, 40), rnd.randint(0, 6)) for _ in range(3000))]
+    changes = [(c, v, k, op, max(1, q) if op == "add" else q) for c, v, k, op, q in changes] + [(None, 1, 9000, "add", 1), (1, None, 9001, "add", 1)]
+    want: dict[tuple[int, int], int] = {}
+    for c, v, _, op, q in changes:
+        most = max(0, stock[v][0] - stock[v][1]) if v in stock else 0
+        if op == "remove":
+            want.pop((c, v), None)
+        elif op == "add":
+            want[c, v] = min(want.get((c, v), 0) + q, most)
+        elif (c, v) in want:
+            want[c, v] = max(0, min(q, most))
+        if want.get((c, v)) == 0:
+            del want[c, v]
+    variants = spark.createDataFrame([(v, 10.0, a, b) for v, (a, b) in stock.items()], "id long, price double, stock int, reserved_stock int")
+    got = shop.change_carts(spark.createDataFrame(changes, "cart_id long, variant_id long, seq long, op string, quantity long"), variants)
+    assert {(r.cart_id, r.variant_id): r.quantity for r in got.collect()} == {k: q for k, q in want.items() if None not in k}
+    assert shop.change_carts(spark.createDataFrame([], "cart_id long, variant_id long, seq long, op string, quantity long"), variants).count() == 0
+
+
+def test_places_without_stores_show_those_of_the_whole_country(spark):
+    m = Market(spark, "/root/testdata/sf0.001")
+    rows = shop.local_stores(m, limit=2).collect()
+    homes = {r.governorate_id for r in m.vendor.filter("status = 'APPROVED' and governorate_id is not null").collect()}
+    assert {r.governorate_id for r in rows} == {r.id for r in m.governorate.collect()} and all(r.is_local == (r.governorate_id in homes) and r.place <= 2 for r in rows)
