@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quoin.functions import rules, text
 from quoin.operators.orders import stamp
+from quoin.operators.ranking import running_sums
 from quoin.operators.settings import typed
 from quoin.sources.market import Market
+from quoin.sources.stored import store
 
 
 def governorate_areas(m: Market) -> DataFrame:
@@ -108,18 +110,35 @@ def default_address(m: Market) -> DataFrame:
     return addresses(m).groupBy("user_id").agg(F.max_by("id", F.struct("is_default", -F.col("id"))).alias("address_id"))
 
 
+def sent_within(codes: DataFrame, windows: dict[str, str], hot_rows: int = 1_000_000) -> DataFrame:
+    """codes (id, phone_key, created_at, ...) with how many were sent to the same phone from each interval before on, both bounds and codes
+    of the same moment included, the code itself too.
+
+    A window is the difference of two running counts: up to the moment, and up to just before the window opens. Moments are
+    counted once and the sums are taken in order, so neither a crowded window nor a phone with very many codes costs more."""
+    moments = codes.groupBy("phone_key", "created_at").agg(F.count("*").alias("n"))
+    marks = [(F.expr(f"created_at - interval {span}"), F.lit(0).cast("long")) for span in windows.values()] + [(F.col("created_at"), F.col("n"))]
+    # A window's opening comes before the codes of its moment, which belong to it.
+    marks = F.array(*[F.struct(at.alias("at"), F.lit(k).alias("turn"), n.alias("n")) for k, (at, n) in enumerate(marks)])
+    rows = store(moments.select("phone_key", "created_at", F.explode(marks).alias("m")).select("phone_key", "created_at", "m.*"), "moments")
+    sums = running_sums(rows, "phone_key", ["at", "turn"], {"so_far": F.col("n")}, hot_rows)
+    up_to = lambda turn: F.max(F.when(F.col("turn") == turn, F.col("so_far")))
+    counts = sums.groupBy(F.col("phone_key").alias("phone"), F.col("created_at").alias("moment")).agg(*[(up_to(len(windows)) - up_to(k)).alias(name) for k, name in enumerate(windows)])
+    met = F.col("phone_key").eqNullSafe(F.col("phone")) & F.col("created_at").eqNullSafe(F.col("moment"))
+    return codes.join(counts, met).drop("phone", "moment")
+
+
 def otp_rate_limit(m: Market, hours: int = 24, most: int = 3) -> DataFrame:
     """Codes sent to the same phone within the hours before (itself left out), and whether the limit refuses another."""
-    window = f"over (partition by phone_key order by created_at range between interval {hours} hours preceding and current row)"
-    return m.otp_code.select("id", "phone_key", F.expr(f"count(*) {window}").alias("recent")).withColumn("refused", F.col("recent") > most)
+    return sent_within(m.otp_code, {"recent": f"{hours} hours"}).select("id", "phone_key", "recent", (F.col("recent") > most).alias("refused"))
 
 
 def otp_refusals(codes: DataFrame) -> DataFrame:
     """Codes (id, phone_key, created_at) by the reference's limit: another code is refused when 3 or more were sent to the phone
     in the 10 minutes before, or 8 or more in the 60 minutes before, both bounds and codes of the same moment included. The
     code itself is left out of both counts."""
-    sent = lambda minutes: F.expr(f"count(*) over (partition by phone_key order by created_at range between interval {minutes} minutes preceding and current row) - 1")
-    rows = codes.select("id", "phone_key", sent(10).alias("short"), sent(60).alias("long"))
+    sent = sent_within(codes, {"short": "10 minutes", "long": "60 minutes"})
+    rows = sent.select("id", "phone_key", (F.col("short") - 1).alias("short"), (F.col("long") - 1).alias("long"))
     return rows.withColumn("refused", (F.col("short") >= 3) | (F.col("long") >= 8))
 
 
