@@ -26,4 +26,4 @@ def number_orders(orders: DataFrame, already: int | Column = 0) -> DataFrame:
 
 def orders_so_far(m: Market) -> Column:
     """The number of orders, as a scalar subquery."""
-    return m.order_item.select("checkout_id", "vendor_id").distinct().agg(F.count("*")).scalar()
+    return m.dealt(m.order_item.select("checkout_id", "vendor_id"), "checkout_id").distinct().agg(F.count("*")).scalar()

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONEY, RATE = "decimal(12,2)", "decimal(5,4)"
+#: Order lines that one task sorts or groups at a time, whatever the size of the tables.
+TASK_LINES = 200_000
 DELIVERY_FEE, PLATFORM_RATE = 5000, "0.1000"
 
 
@@ -43,6 +45,15 @@ class Market:
         """The number of a raw table's rows, as a scalar subquery."""
         return self.raw(name).agg(F.count("*")).scalar()
 
+    @cached_property
+    def parts(self) -> int:
+        """How many tasks the order lines are dealt to; the files' footers tell how many lines there are."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.raw("lineitem").count() // TASK_LINES))
+
+    def dealt(self, rows: DataFrame, by: str) -> DataFrame:
+        """rows dealt by a key with few lines each, a checkout or an order. Grouping and joining by that key, alone or with others, move them no more."""
+        return rows.repartition(self.parts, by)
+
     @cached_property
     def governorate(self) -> DataFrame:
         return self.raw("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name_ar"), F.upper(F.substring("r_name", 1, 3)).alias("code"), F.col("r_regionkey").alias("sort_order"))
@@ -119,9 +130,9 @@ class Market:
 
     @cached_property
     def vendor_order(self) -> DataFrame:
-        """One row for each vendor of each checkout. Items are summed before the checkouts join, so both meet on one key."""
-        items = self.order_item.groupBy("checkout_id", "vendor_id").agg(F.sum("line_total").alias("subtotal"), F.count("*").alias("item_count"))
-        return items.join(self.checkout, "checkout_id").select("checkout_id", "vendor_id", "customer_id", "placed_at", "status", "subtotal", F.lit(DELIVERY_FEE).cast(MONEY).alias("delivery_fee"), "item_count")
+        """One row for each vendor of each checkout. Lines and checkouts move once, by checkout."""
+        items = self.dealt(self.order_item.select("checkout_id", "vendor_id", "line_total"), "checkout_id").groupBy("checkout_id", "vendor_id").agg(F.sum("line_total").alias("subtotal"), F.count("*").alias("item_count"))
+        return items.join(self.dealt(self.checkout, "checkout_id"), "checkout_id").select("checkout_id", "vendor_id", "customer_id", "placed_at", "status", "subtotal", F.lit(DELIVERY_FEE).cast(MONEY).alias("delivery_fee"), "item_count")
 
     @cached_property
     def commission(self) -> DataFrame:
