@@ -192,10 +192,12 @@ def admission_fold(m: Market) -> DataFrame:
     return admission(requests, stock)
 
 
-def lifecycle(states: DataFrame, changes: DataFrame) -> DataFrame:
+def lifecycle(states: DataFrame, changes: DataFrame, tasks: int | None = None) -> DataFrame:
     """States (order_id, status) after changes (order_id, at, target, actor), taken in order of time, target and actor; refused changes
-    leave the state. Returns order_id, status, applied and refused. Folded as a stream over sorted rows."""
-    rows = states.join(changes, "order_id", "left")
+    leave the state. Returns order_id, status, applied and refused. Folded as a stream over sorted rows; both tables move once, by
+    order, to so many ``tasks`` (none given: as many as the session shuffles to)."""
+    tasks = tasks or int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = states.repartition(tasks, "order_id").join(changes.repartition(tasks, "order_id"), "order_id", "left")
     edges = {(a, b): set(actors) for a, b, actors in rules.EDGES}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +221,11 @@ def lifecycle(states: DataFrame, changes: DataFrame) -> DataFrame:
             yield batch_of(done)
         yield batch_of([now] if now is not None else [])
 
-    return rows.select("order_id", "status", "at", "target", "actor").repartition("order_id").sortWithinPartitions("order_id", "at", "target", "actor").mapInArrow(fold, "order_id long, status string, applied int, refused int")
+    return rows.select("order_id", "status", "at", "target", "actor").sortWithinPartitions("order_id", "at", "target", "actor").mapInArrow(fold, "order_id long, status string, applied int, refused int")
 
 
 def lifecycle_fold(m: Market) -> DataFrame:
     """Every checkout from PENDING through a made-up batch of changes: a change for each of its order lines."""
     steps = F.element_at(F.array(*[F.lit(s) for s in ("CONFIRMED", "PREPARING", "SHIPPED", "DELIVERED", "COMPLETED", "CANCELLED")]), (F.col("l_linenumber") % 6 + 1).cast("int"))
     changes = m.raw("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("at"), steps.alias("target"), F.when(F.col("l_linenumber") % 6 == 4, "CUSTOMER").otherwise("VENDOR").alias("actor"))
-    return lifecycle(m.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.lit("PENDING").alias("status")), changes)
+    return lifecycle(m.raw("orders").select(F.col("o_orderkey").alias("order_id"), F.lit("PENDING").alias("status")), changes, m.parts)
