@@ -10,19 +10,23 @@ from quoin.operators.catalog import approved_stores, listed
 from quoin.sources.market import DELIVERY_FEE, MONEY, Market
 
 
-def cart_lines(adds: DataFrame, variants: DataFrame) -> DataFrame:
-    """adds (cart_id, variant_id, quantity of one or more) as lines: a line holds all that was added, at most what is available."""
-    stock = variants.select(F.col("id").alias("variant_id"), "price", rules.available(F.col("stock"), F.col("reserved_stock")).alias("most"))
+def cart_lines(adds: DataFrame, variants: DataFrame, *also: str) -> DataFrame:
+    """adds (cart_id, variant_id, quantity of one or more) as lines: a line holds all that was added, at most what is available.
+    ``also`` names further columns of the variants."""
+    stock = variants.select(F.col("id").alias("variant_id"), "price", *also, rules.available(F.col("stock"), F.col("reserved_stock")).alias("most"))
     sums = adds.groupBy("cart_id", "variant_id").agg(F.sum("quantity").alias("asked"))
-    return sums.join(stock, "variant_id").select("cart_id", "variant_id", F.least(F.col("asked"), F.col("most")).cast("int").alias("quantity"), "price")
+    return sums.join(stock, "variant_id").select("cart_id", "variant_id", F.least(F.col("asked"), F.col("most")).cast("int").alias("quantity"), "price", *also)
 
 
 def cart_totals(m: Market) -> DataFrame:
     """Each checkout's lines as a cart: units, subtotal, and delivery for each of its distinct vendors."""
-    lines = cart_lines(m.order_item.select(F.col("checkout_id").alias("cart_id"), "variant_id", "quantity"), m.product_variant)
     owners = m.product.select(F.col("id").alias("product_id"), "vendor_id")
-    vendors = m.product_variant.select(F.col("id").alias("variant_id"), "product_id").join(owners, "product_id").select("variant_id", "vendor_id")
-    sums = lines.join(vendors, "variant_id").groupBy("cart_id").agg(F.sum("quantity").alias("units"), F.sum(F.col("price") * F.col("quantity")).cast(MONEY).alias("subtotal"), F.count_distinct("vendor_id").alias("vendors"))
+    goods = m.product_variant.join(owners, "product_id").select("id", "price", "stock", "reserved_stock", "vendor_id")
+    adds = m.order_item.select(F.col("checkout_id").alias("cart_id"), "variant_id", "quantity")
+    # Lines move twice: by variant, where they are summed and meet it, and by cart.
+    lines = m.dealt(cart_lines(m.dealt(adds, "variant_id"), m.dealt(goods, "id"), "vendor_id"), "cart_id")
+    parts = lines.groupBy("cart_id", "vendor_id").agg(F.sum("quantity").alias("units"), F.sum(F.col("price") * F.col("quantity")).alias("subtotal"))
+    sums = parts.groupBy("cart_id").agg(F.sum("units").alias("units"), F.sum("subtotal").cast(MONEY).alias("subtotal"), F.count("vendor_id").alias("vendors"))
     delivery = F.col("vendors") * DELIVERY_FEE
     return sums.select("cart_id", "units", F.col("subtotal").cast("double").alias("subtotal"), delivery.cast("double").alias("delivery"), (F.col("subtotal") + delivery).cast("double").alias("total"))
 

@@ -2,11 +2,15 @@
 
 import datetime
 import random
+import re
+from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from quoin.operators import accounts
+from quoin.plans import registry
+from quoin.plans.registry import QUERIES
+from quoin.sources import market
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -28,3 +32,29 @@ def test_codes_of_crowded_windows_are_counted_by_running_sums(spark, hot_rows):
 
     assert {(r.id, r.short, r.long) for r in found.collect()} == {(i, sent(p, at, 10), sent(p, at, 60)) for i, p, at in rows}
     assert "RangeFrame" not in plan(accounts.otp_refusals(codes))  # a sliding window counts its rows anew for each code
+
+
+def moves_of_lines(df) -> int:
+    """Shuffles of whole tables of lines: those to a fixed number of tasks or by a key, broadcasts and totals left out."""
+    return plan(df).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="the test tables aren't here")
+@pytest.mark.parametrize(("name", "most"), [("order_change_history", 2), ("order_change_orders", 2), ("order_calls", 2), ("lifecycle_fold", 2)])
+def test_orders_with_made_up_requests_move_once(spark, name, most):
+    """Lines and checkouts move once each; orders aren't joined with requests made of themselves."""
+    assert moves_of_lines(QUERIES[name](spark, DATA)) <= most
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="the test tables aren't here")
+@pytest.mark.parametrize("name", ["order_change_history", "order_place_items", "order_place_verdicts", "order_place_orders", "order_calls", "lifecycle_fold", "cart_totals"])
+def test_tasks_grow_in_number_with_the_lines(spark, name, monkeypatch):
+    """The session's eight shuffle tasks would hold ever more lines each."""
+    monkeypatch.setattr(market, "TASK_LINES", 60)
+    m = market.Market(spark, DATA)
+    assert m.parts == -(-m.raw("lineitem").count() // 60) > 50
+    moved = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan(registry.BUILDERS[name](m)))]
+    assert moved and set(moved) == {m.parts}
