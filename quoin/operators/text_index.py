@@ -10,8 +10,11 @@ changed or gone since only make candidates that the check drops.
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +24,42 @@ from quoin.sources.stored import shared_dir
 
 #: Ids of one block have all but their last 16 bits in common.
 BLOCK_BITS = 16
+#: So many ids are held in lists before they are handed on.
+HELD_IDS = 2_000_000
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct runs of three code points of a text; none of a null or shorter one. Long texts are cut into overlapping parts
+    """The distinct runs of three code points of a text, as a column (the index takes the same in batches); none of a null or shorter one. Long texts are cut into overlapping parts
     first, as taking the k-th sign of a text is linear in k."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)(?=(.{1,66})).{1,64}"), F.lit(1))
     starts = lambda part: F.when(F.length(part) >= 3, F.sequence(F.lit(1), F.length(part) - 2)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.flatten(F.transform(parts, lambda part: F.transform(starts(part), lambda k: F.substr(part, k, F.lit(3))))))
 
 
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, ids) of rows (id, text): the lists of many texts at once, so that lists are shuffled and not single ids."""
+
+    def batch_of(lists: dict[int, dict[str, list[int]]]) -> pa.RecordBatch:
+        rows = [(gram, block, ids) for block, grams in lists.items() for gram, ids in grams.items()]
+        grams, blocks, ids = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(blocks, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["gram", "block", "ids"])
+
+    for batch in batches:
+        lists: dict[int, dict[str, list[int]]] = {}
+        held = 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
+            of = lists.setdefault(key >> BLOCK_BITS, defaultdict(list))
+            grams = {text[k : k + 3] for k in range(len(text) - 2)}
+            for gram in grams:
+                of[gram].append(key)
+            held += len(grams)
+            if held >= HELD_IDS:
+                yield batch_of(lists)
+                lists, held = {}, 0
+        yield batch_of(lists)
+
+
 @dataclass
 class TrigramIndex:
     """An index in a folder that all executors reach."""
@@ -44,9 +73,10 @@ class TrigramIndex:
 
     def add(self, rows: DataFrame, id_column: str, text: str) -> TrigramIndex:
         """Adds rows' texts; ids are whole numbers. Rows that repeat do no harm, rows with null ids aren't found."""
-        grams = rows.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.explode(trigrams(F.col(text))).alias("gram"))
-        lists = grams.groupBy("gram", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
-        out = lists.withColumn("bucket", self.bucket(F.col("gram"))).repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block")
+        texts = rows.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+        parts = texts.mapInArrow(posting_lists, "gram string, block long, ids array<long>")
+        lists = parts.groupBy("gram", "block").agg(F.collect_list("ids").alias("ids"))
+        out = lists.withColumn("bucket", self.bucket(F.col("gram"))).repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").withColumn("ids", F.flatten("ids"))
         out.write.mode("append").partitionBy("bucket").parquet(self.path)
         return self
 

@@ -5,9 +5,11 @@ import random
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quoin.operators import accounts
+from quoin.operators import accounts, text_index
 from quoin.plans import registry
 from quoin.plans.registry import QUERIES
 from quoin.sources import market
@@ -58,3 +60,16 @@ def test_tasks_grow_in_number_with_the_lines(spark, name, monkeypatch):
     assert m.parts == -(-m.raw("lineitem").count() // 60) > 50
     moved = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan(registry.BUILDERS[name](m)))]
     assert moved and set(moved) == {m.parts}
+
+
+def test_the_index_shuffles_lists_and_not_single_ids(spark, monkeypatch):
+    rows = spark.range(0, 3000, 1, 3).selectExpr("id", "concat('same text ', cast(id % 7 as string), ' \U0001f600é') as title")
+    parts = rows.mapInArrow(text_index.posting_lists, "gram string, block long, ids array<long>")
+    found = parts.select("gram", F.explode("ids").alias("id"))
+    want = rows.select(F.explode(text_index.trigrams(F.col("title"))).alias("gram"), "id")
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert parts.count() <= 3 * 40 < found.count()
+    made = iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 70000]), pa.array(["abcd", None, "ab"])], names=["id", "text"])])
+    monkeypatch.setattr(text_index, "HELD_IDS", 1)
+    split = [r for b in text_index.posting_lists(made) for r in b.to_pylist()]
+    assert sorted((r["gram"], r["block"], *r["ids"]) for r in split) == [("abc", 0, 1), ("bcd", 0, 1)]
